@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, packing, sharding, token_store, topk_search, url_filter
+from . import decontam, html_extract, language_id, lm_scoring, near_dup, packing, sharding, token_store, topk_search, url_filter
 from .common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -38,10 +38,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_tokens", F.round("log10_mean", 6).alias("log10_mean"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import atexit
     import uuid
@@ -59,17 +68,56 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
     "op3_html_extract": op3_html_extract,
     "op4_packing": op4_packing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_sharding": op6_sharding,
+    "op7_near_dup": op7_near_dup,
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_lm_scoring": """
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+          FROM documents),
+        t AS (SELECT r, generate_subscripts(w, 1) AS p, unnest(w) AS c FROM d WHERE len(w) > 0),
+        g AS (SELECT r, p, c, lag(c) OVER q AS b, lag(c, 2) OVER q AS a FROM t WINDOW q AS (PARTITION BY r ORDER BY p)),
+        o1 AS (SELECT r, c, count(*) AS n FROM g GROUP BY ALL),
+        o2 AS (SELECT r, b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+        o3 AS (SELECT r, a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
+        c1 AS (SELECT c, sum(n) AS n FROM o1 GROUP BY ALL),
+        c2 AS (SELECT b, c, sum(n) AS n FROM o2 GROUP BY ALL),
+        c3 AS (SELECT a, b, c, sum(n) AS n FROM o3 GROUP BY ALL),
+        l AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+        x1 AS (SELECT o1.r, o1.c, c1.n - o1.n AS n FROM o1 JOIN c1 USING (c)),
+        x2 AS (SELECT o2.r, o2.b, o2.c, c2.n - o2.n AS n FROM o2 JOIN c2 USING (b, c)),
+        x3 AS (SELECT o3.r, o3.a, o3.b, o3.c, c3.n - o3.n AS n FROM o3 JOIN c3 USING (a, b, c)),
+        s AS (
+          SELECT g.r, CASE
+            WHEN x3.n > 0 THEN log10(x3.n / y2.n)
+            WHEN x2.n > 0 THEN log10(x2.n / y1.n) + CASE WHEN g.a IS NULL THEN 0 ELSE log10(0.4) END
+            ELSE CASE WHEN x1.n > 0 THEN log10(x1.n / ((SELECT count(*) FROM t) - l.n)) ELSE -log10((SELECT count(*) FROM t)) END
+                 + (CASE WHEN g.b IS NULL THEN 0 ELSE 1 END + CASE WHEN g.a IS NULL THEN 0 ELSE 1 END) * log10(0.4) END AS v
+          FROM g JOIN l ON g.r = l.r
+          JOIN x1 ON x1.r = g.r AND x1.c = g.c
+          LEFT JOIN x1 y1 ON y1.r = g.r AND y1.c = g.b
+          LEFT JOIN x2 ON x2.r = g.r AND x2.b = g.b AND x2.c = g.c
+          LEFT JOIN x2 y2 ON y2.r = g.r AND y2.b = g.a AND y2.c = g.b
+          LEFT JOIN x3 ON x3.r = g.r AND x3.a = g.a AND x3.b = g.b AND x3.c = g.c)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, round(m.v, 6) AS log10_mean
+        FROM d LEFT JOIN (SELECT r, avg(v) AS v FROM s GROUP BY r) m ON d.r = m.r
+    """,
     "op2_topk_search": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
