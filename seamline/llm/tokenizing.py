@@ -15,6 +15,16 @@ _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: byte-level pattern, or that drop white space, never join characters across the start of such a chunk.
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _BARE = re.compile(f"[^{_WS}]+")
+#: Words of letters that no normalizer splits or composes; and a word's end, as vocabularies with word ends mark it.
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_WORD_END = "</w>"
+
+
+def _bare_chunks(text: str) -> list[str]:
+    """Chunks without white space; case does not matter to a tokenizer that lowers it, so plain ASCII is lowered first."""
+    if text.isascii() and not re.search("[\x1c-\x1f]", text):
+        return text.lower().split()
+    return _BARE.findall(text)
 
 
 class Encoder:
@@ -25,18 +35,41 @@ class Encoder:
     chunks come early); the rest are encoded anew for each call.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, width: int = 4, most: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, drops_space: bool = False, width: int = 4, most: int = 1_400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = (_BARE if drops_space else _CHUNK).findall
+        probe = self.tokenizer.encode("Ab", add_special_tokens=False).ids == self.tokenizer.encode("ab", add_special_tokens=False).ids
+        self.find = (_bare_chunks if probe else _BARE.findall) if drops_space else _CHUNK.findall
+        ends = [t.endswith(_WORD_END) for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self.ends_word = np.array(ends) if drops_space and any(ends) else None
         self.dtype = {2: "<u2", 4: "<u4"}[width]
         self.most, self.longest = most, longest
         self.known: dict[str, bytes] = {}
 
+    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
+        """Plain words, many in one text: each is one pre-token, whose last id is the only one that ends a word."""
+        out, size = {}, np.dtype(self.dtype).itemsize
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * size
+            if len(ends) != len(part):
+                out.update(self._learn_each(part))
+                continue
+            flat, ends = ids.astype(self.dtype).tobytes(), ends.tolist()
+            out.update(zip(part, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        return out
+
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        if self.ends_word is None:
+            return self._learn_each(chunks)
+        plain = list(filter(_PLAIN, chunks))
+        return self._learn_words(plain) | self._learn_each(list(set(chunks).difference(plain)))
+
+    def _learn_each(self, chunks: list[str]) -> dict[str, bytes]:
         out, size = {}, np.dtype(self.dtype).itemsize
         for at in range(0, len(chunks), 2048):
             part = chunks[at : at + 2048]
