@@ -13,10 +13,12 @@ import numpy as np
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A chunk is a run of white space with the run of other characters after it. Pre-tokenizers that split by the usual
 #: byte-level pattern, or that drop white space, never join characters across the start of such a chunk.
-_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: Nor do they join letters with common punctuation, so a word that such a mark follows is a chunk by itself.
+_LETTERS, _MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", ".,;:!?"
+_CHUNK = re.compile(f"[{_WS}]*[{_LETTERS}]+(?=[{_MARKS}{_WS}]|\\Z)|[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _BARE = re.compile(f"[^{_WS}]+")
 #: Words of letters that no normalizer splits or composes; and a word's end, as vocabularies with word ends mark it.
-_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_PLAIN = re.compile(f"[{_LETTERS}]+").fullmatch
 _WORD_END = "</w>"
 
 
@@ -66,8 +68,19 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         if self.ends_word is None:
             return self._learn_each(chunks)
-        plain = list(filter(_PLAIN, chunks))
-        return self._learn_words(plain) | self._learn_each(list(set(chunks).difference(plain)))
+        plain, marked, other = set(), [], []
+        for c in chunks:
+            if _PLAIN(c):
+                plain.add(c)
+            elif c[-1] in _MARKS and _PLAIN(c[:-1]):
+                marked.append(c)
+            else:
+                other.append(c)
+        missing = {c[:-1] for c in marked}.difference(self.known)
+        out = self._learn_words(list(plain | missing)) | self._learn_each([*other, *_MARKS])
+        for c in marked:
+            out[c] = (out[c[:-1]] if c[:-1] in out else self.known[c[:-1]]) + out[c[-1]]
+        return out
 
     def _learn_each(self, chunks: list[str]) -> dict[str, bytes]:
         out, size = {}, np.dtype(self.dtype).itemsize
