@@ -31,7 +31,7 @@ def clean(text: Column, mode: str = "strict") -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences of a text: cut at white space after . ! or ?, which stay; blank ones go."""
-    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clock_seconds(clock: Column) -> Column:

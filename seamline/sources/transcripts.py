@@ -25,7 +25,7 @@ def read_cues(spark: SparkSession, path: str, cleaning: str = "tags", drop_empty
     blocks = _whole(spark, path, "").select("lecture_id", F.posexplode(F.split("body", r"\n[ \t]*\n")).alias("place", "block"))
     if skip_notes:
         blocks = blocks.where(~F.rlike(F.trim("block"), F.lit(r"^NOTE\b[^\n]*$")))
-    lines = F.transform(F.split("block", "\n"), F.trim)
+    lines = F.transform(F.split("block", "\n"), lambda x: F.trim(x))
     blocks = blocks.select("lecture_id", "place", lines.alias("lines")).where(F.exists("lines", lambda x: F.contains(x, F.lit(_ARROW))))
     at = F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit(_ARROW))), True).cast("int")
     cues = blocks.select("lecture_id", "place", F.element_at("lines", at).alias("times"), F.array_join(F.filter(F.slice("lines", at + 1, F.size("lines")), lambda x: x != ""), " ").alias("text"))
@@ -89,7 +89,8 @@ def read_slides(spark: SparkSession, path: str, suffix: str = "_slides") -> Data
 
 def scene_times(log: DataFrame) -> DataFrame:
     """lecture_id, time: distinct pts_time values of scene-detection logs (lecture_id, value)."""
-    return log.select("lecture_id", F.explode(F.regexp_extract_all("value", F.lit(r"pts_time:(\d+(?:\.\d+)?)"), 1)).cast("double").alias("time")).distinct()
+    found = F.transform(F.regexp_extract_all("value", F.lit(r"pts_time:(\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double"))
+    return log.select("lecture_id", F.explode(found).alias("time")).distinct()
 
 
 MATCH = "struct<gt_index:int,gt_time:double,gt_time_str:string,gt_title:string,pred_index:int,pred_time:double,pred_similarity:double,abs_error_sec:double>"
