@@ -9,7 +9,8 @@ partition holds more than (its share of the n-grams) x (blocks that have them).
 A word's score is c(n-gram) / c(context) at the longest order at which the n-gram occurs in another document, times
 ``backoff`` for each order above it that had none; a word that no other document has scores 1 / (all words). A
 document's own occurrences are left out of all counts, or every n-gram would have been seen. Words are lower-case runs
-of letters and digits. Counts are exact up to collisions of 64-bit hashes.
+of letters and digits. N-grams are compared by hashes of 24 bits more than it takes to number the corpus's characters
+(48 to 64), so an n-gram is mistaken for another with a probability of under one in four million.
 
 Nulls: a null or empty text has no words, n_tokens 0 and null scores. A null doc_id is scored like any other. Repeated
 rows are documents of their own, each evidence for the other. An empty table gives an empty result. Only doc_id and
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from .common import partitions, words_of
 SCORED = "doc_id long, n_tokens long, log10_sum double, log10_mean double"
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a block; n-grams in a hash partition.
-BLOCK_CHARS, PART_NGRAMS = 16_000_000, 4_000_000
+BLOCK_CHARS, PART_NGRAMS = 6_000_000, 2_000_000
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,20 +40,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """The values' bytes, those of equal rank together: high ones are mostly zero and cost nothing once compressed."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """The values' bytes, those of equal rank together, compressed: high ones are mostly zero and cost next to nothing."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def _unplanes(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 class Block:
     """A block's n-grams: ``hashes``, sorted, each once; ``at[k]``: for order k + 1 the place in there of the n-gram
     that starts at each word, with -1 where it would leave the text. The empty n-gram, hash 0, stands for all words."""
 
-    def __init__(self, words: list[np.ndarray], order: int):
+    def __init__(self, words: list[np.ndarray], order: int, bits: int = 64):
+        self.bits = bits
         self.lengths = np.array([len(w) for w in words], np.int64)
         flat = np.concatenate(words).astype(np.int64).view(np.uint64) if len(words) else np.zeros(0, np.uint64)
         self.n = len(flat)
@@ -63,7 +66,7 @@ class Block:
             h = h[: max(0, self.n - k)] * _TIMES + flat[k:]
             h = _mix(h + np.uint64(k + 1))
             fits.append(np.flatnonzero(left[: len(h)] > k))
-            every.append(h[fits[-1]])
+            every.append(np.maximum(h[fits[-1]] >> np.uint64(64 - bits), np.uint64(1)))
         self.hashes, inverse, self.counts = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
         self.counts[0] = self.n if self.n else 0
         self.at, start = [], 1
@@ -75,7 +78,7 @@ class Block:
 
     def bounds(self, parts: int) -> np.ndarray:
         """Where each hash partition's share of ``hashes`` begins, and the end."""
-        edges = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+        edges = np.array([(p << self.bits) // parts for p in range(1, parts)], np.uint64)
         return np.concatenate([[0], np.searchsorted(self.hashes, edges), [len(self.hashes)]])
 
     def scores(self, totals: np.ndarray, backoff: float) -> np.ndarray:
@@ -115,11 +118,12 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     parts = max(1, -(-chars * order // (6 * PART_NGRAMS)))
+    bits = min(64, max(48, int(chars).bit_length() + 24))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     held = dealt.repartition(partitions(spark), "block").select("block", "doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        block = Block(list(frame["words"]), order)
+        block = Block(list(frame["words"]), order, bits)
         cuts = block.bounds(parts)
         shares = [(block.hashes[a:b], block.counts[a:b].astype("<u4")) for a, b in zip(cuts, cuts[1:])]
         return pd.DataFrame({"part": np.arange(parts), "block": int(key[0]), "hashes": [_planes(np.diff(h, prepend=np.uint64(0))) for h, _ in shares], "counts": [_planes(c) for _, c in shares]})
@@ -133,7 +137,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
         return pd.DataFrame({"block": frame["block"], "part": int(key[0]), "sums": [_planes(s) for s in np.split(sums, ends[:-1])]})
 
     def finish(key: tuple, docs: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        block = Block(list(docs["words"]), order)
+        block = Block(list(docs["words"]), order, bits)
         totals = np.concatenate([_unplanes(x, "<u8") for x in sums.sort_values("part")["sums"]]).astype(np.int64)
         found, n = block.scores(totals, backoff), block.lengths
         none = np.where(n > 0, 1.0, np.nan)
