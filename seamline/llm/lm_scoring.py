@@ -9,8 +9,8 @@ partition holds more than (its share of the n-grams) x (blocks that have them).
 A word's score is c(n-gram) / c(context) at the longest order at which the n-gram occurs in another document, times
 ``backoff`` for each order above it that had none; a word that no other document has scores 1 / (all words). A
 document's own occurrences are left out of all counts, or every n-gram would have been seen. Words are lower-case runs
-of letters and digits. N-grams are compared by hashes of 24 bits more than it takes to number the corpus's characters
-(48 to 64), so an n-gram is mistaken for another with a probability of under one in four million.
+of letters and digits. N-grams are compared by hashes of 20 bits more than it takes to number the corpus's characters
+(48 to 64), so an n-gram is mistaken for another with a probability of under one in a million.
 
 Nulls: a null or empty text has no words, n_tokens 0 and null scores. A null doc_id is scored like any other. Repeated
 rows are documents of their own, each evidence for the other. An empty table gives an empty result. Only doc_id and
@@ -30,7 +30,7 @@ from .common import partitions, words_of
 SCORED = "doc_id long, n_tokens long, log10_sum double, log10_mean double"
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a block; n-grams in a hash partition.
-BLOCK_CHARS, PART_NGRAMS = 6_000_000, 2_000_000
+BLOCK_CHARS, PART_NGRAMS = 9_000_000, 2_000_000
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,7 +118,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     parts = max(1, -(-chars * order // (6 * PART_NGRAMS)))
-    bits = min(64, max(48, int(chars).bit_length() + 24))
+    bits = min(64, max(48, int(chars).bit_length() + 20))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     held = dealt.repartition(partitions(spark), "block").select("block", "doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
