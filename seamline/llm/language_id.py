@@ -101,9 +101,9 @@ def _bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, (counts / max(counts.sum(), 1)).astype(np.float32)
 
 
-def fit(samples: list[tuple[str, str]], bits: int = 16, width: int = 16, epochs: int = 4, rate: float = 2.0, reject_rate: float = 0.001, seed: int = 7) -> Model:
+def fit(samples: list[tuple[str, str]], bits: int = 16, width: int = 16, epochs: int = 4, rate: float = 0.5, reject_rate: float = 0.001, seed: int = 7) -> Model:
     """A model from (text, lang) pairs. Each text is learned from whole, and once more as a random short stretch of
-    it, so that short texts are scored as well as long ones."""
+    it, so that short texts are scored as well as long ones. Steps are bounded by their norms and cannot run away."""
     langs = sorted({lang for _, lang in samples})
     if not langs:
         return Model([], bits, np.zeros((1, 1), np.float32), np.zeros(1), 1.0, 0.0)
@@ -131,11 +131,14 @@ def fit(samples: list[tuple[str, str]], bits: int = 16, width: int = 16, epochs:
             error = _softmax(hidden @ layer + bias)
             error[lang] -= 1
             back = layer @ error
-            layer -= lr * np.outer(hidden, error)
+            back /= max(1.0, float(np.linalg.norm(back)))
+            layer -= lr * np.outer(hidden / max(1.0, float(np.linalg.norm(hidden))), error)
             bias -= 0.1 * lr * error
             # the average's gradient, shared out by weight and scaled so that long texts teach as much as short ones
             table[rows] -= (lr * weights * min(len(rows), 50))[:, None] * back
     final = (table @ layer).astype(np.float32)
+    if not np.isfinite(final).all():
+        raise ArithmeticError("training did not converge")
     temperature, threshold = 1.0, 0.0
     if check := check or learn:
         logits = np.array([w @ final[r] + bias for r, w, _ in check])

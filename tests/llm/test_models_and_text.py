@@ -34,8 +34,9 @@ def test_encoder_equals_the_tokenizer(name, drops, width):
 
 # ---- language ID
 
-def test_held_out_accuracy(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_held_out_accuracy(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = language_id.predict(docs.withColumn("held_out", language_id.held_out()), language_id.train(docs)).where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in rows)
