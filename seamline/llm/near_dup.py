@@ -5,8 +5,11 @@ occurred before, is an element; a band takes the elements with the least hash va
 is their five-word hashes in text order. Texts that are alike as sequences share band keys; texts that merely share
 many runs in another order do not. Of each bucket (band key), all texts are compared with one of them, its centre; in
 buckets where one is not like the centre, all are compared with MORE_CENTRES further ones that are not in their group
-yet. So the work is linear in a bucket's size, and a link is found if in any of its buckets a centre joins its ends; a
-bucket that a common passage makes gives no square of pairs. Two texts are linked if their word edit distance is at
+yet. That puts large groups together at a cost linear in a bucket's size. The rest is exact: texts of buckets that still
+hold several groups are joined on their rarest words, of which linked texts must share one, and all pairs of different
+groups that this, their lengths and the place of the shared word leave are compared. No link between two texts of one
+bucket is lost, whatever its size, and a bucket that a common passage makes gives a square of pairs only as far as the
+texts share rare words, too. Two texts are linked if their word edit distance is at
 most ``1 - similarity`` of the longer one's length, found by alignment within that band of diagonals. Classes are the
 connected components, named by their least doc_id.
 
@@ -33,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, TAKEN = 48, 2
 #: Further centres of a bucket that holds a text unlike its first.
 MORE_CENTRES = 4
+#: Counters of word frequencies, which only order the words, and the parts in which they are added up.
+SLOTS, PARTS = 1 << 20, 64
 #: Ids are broadcast up to this many (8 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket's centre that share one task's copy of the centre's words.
@@ -52,6 +57,17 @@ _FLIP = _RNG.integers(0, 2**63, 512, dtype=np.uint64)
 _TIMES = _RNG.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _labelled(values: np.ndarray) -> np.ndarray:
+    """Hashes of values, each with how often it has occurred before."""
+    n = len(values)
+    by_value = np.argsort(values, kind="stable")
+    ordered = values[by_value]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    seen = np.empty(n, np.int64)
+    seen[by_value] = np.arange(n) - np.repeat(first, np.diff(first, append=n))
+    return _splitmix(values + seen.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def order_minhash(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN, shingle: int = SHINGLE) -> np.ndarray:
     """The band keys of a text, given its words' 64-bit hashes; none for a text without words."""
     if not len(words):
@@ -64,12 +80,7 @@ def order_minhash(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN, shi
         runs = runs * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
         runs ^= runs >> np.uint64(29)
     runs = _splitmix(runs)
-    by_value = np.argsort(runs, kind="stable")
-    ordered = runs[by_value]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    seen = np.empty(n, np.int64)
-    seen[by_value] = np.arange(n) - np.repeat(first, np.diff(first, append=n))
-    elements = _splitmix(runs + seen.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    elements = _labelled(runs)
     keys = np.empty(bands, np.uint64)
     step = max(1, 4_000_000 // n)
     for at in range(0, bands, step):
@@ -218,6 +229,63 @@ def _further(entries: DataFrame, compared: DataFrame, grouped: DataFrame, simila
     return written(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "further")
 
 
+def _counts(words: DataFrame) -> np.ndarray:
+    """For each slot at most how many texts of words (node, words) hold a labelled word of it, and at least how many
+    hold any one of them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for frame in frames:
+            for w in frame["words"]:
+                total[(_labelled(np.frombuffer(w, "<u4").astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)] += 1
+        yield pd.DataFrame({"part": range(PARTS), "counts": [x.tobytes() for x in np.split(total, PARTS)]})
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.int64) for x in frame["counts"]], axis=0)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [total.tobytes()]})
+
+    rows = words.select("words").mapInPandas(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["part"])] or [np.zeros(SLOTS, np.int64)])
+
+
+def rarest(words: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text's labelled words in order of rarity, those of which a linked text shares one at least, and their
+    places: all but as many as must be shared, and one. Words that no other text has are left out."""
+    most = int((1 - similarity) * len(words) + 1e-9)
+    labelled = _labelled(words.astype(np.uint64))
+    often = counts[(labelled % np.uint64(len(counts))).astype(np.int64)]
+    order = np.lexsort((labelled, often))[: most + 1]
+    places = np.flatnonzero(often[order] > 1)
+    return labelled[order][places].view(np.int64), places
+
+
+def _rest(entries: DataFrame, compared: DataFrame, grouped: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) still to compare: all of different groups, of texts in a bucket of several groups, that can be
+    linked by their lengths and their rarest words. Of linked texts none is left out."""
+    rows = entries.select("bucket", "node", "n").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("m > 2 and c1 != c2").select("bucket")
+    nodes = written(rows.join(mixed, "bucket", "left_semi").select("node", "component").distinct(), "mixed")
+    members = written(words.join(nodes, "node"), "members")
+    counts = members.sparkSession.sparkContext.broadcast(_counts(members))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = [np.frombuffer(w, "<u4") for w in frame["words"]]
+            found = [rarest(w, counts.value, similarity) for w in texts]
+            sizes = [len(places) for _, places in found]
+            row = np.repeat(np.arange(len(frame)), sizes)
+            if len(row):
+                yield pd.DataFrame({"word": np.concatenate([f[0] for f in found]), "node": frame["node"].to_numpy()[row], "component": frame["component"].to_numpy()[row], "n": np.array([len(w) for w in texts])[row], "place": np.concatenate([f[1] for f in found])})
+
+    rare = written(members.mapInPandas(run, "word long, node long, component long, n int, place int"), "rare")
+    longest = F.greatest("n", "m")
+    # the first rare word that two texts share leaves only later ones to share
+    enough = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) - 1 >= longest - F.floor(F.lit(1 - similarity) * longest + 1e-9)
+    other = rare.toDF("word", "b", "other", "m", "at")
+    pairs = rare.withColumnRenamed("node", "a").join(other, "word").where((F.col("a") > F.col("b")) & (F.col("component") != F.col("other")) & _fits(F.col("n"), F.col("m"), similarity) & enough)
+    return written(pairs.select("a", "b").distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
     """node, class_id for each distinct text of docs (doc_id, text) that has a doc_id."""
     spark = docs.sparkSession
@@ -242,7 +310,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
     more = _further(entries, first, grouped, similarity)
     if not more.isEmpty():
-        grouped = components(links.union(_compare(more, words, similarity).where("linked").select("a", "b")))
+        first = first.union(_compare(more, words, similarity))
+        links = first.where("linked").select("a", "b").union(own)
+        grouped = components(links)
+
+    rest = _rest(entries, first, grouped, words, similarity)
+    if not rest.isEmpty():
+        grouped = components(links.union(_compare(rest, words, similarity).where("linked").select("a", "b")))
 
     mine = signed.select("node", "doc").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = mine.groupBy("component").agg(F.min("doc").alias("class_id"))

@@ -181,6 +181,41 @@ def test_classes_equal_brute_force(spark):
     assert got == expected
 
 
+def test_copies_among_many_texts_with_a_common_passage(spark):
+    passage = [f"p{i}" for i in range(70)]
+    rows, expected = [], {}
+    for g in range(300):
+        own = [f"o{g}x{j}" for j in range(30)]
+        rows.append((2 * g, " ".join(passage + own)))
+        expected[2 * g] = 2 * g
+        if g < 60:  # a copy with every other own word changed: no own run of five is left, 15 of 100 words differ
+            rows.append((2 * g + 1, " ".join(passage + [w if j % 2 else f"c{g}x{j}" for j, w in enumerate(own)])))
+            expected[2 * g + 1] = 2 * g
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
+def test_linked_texts_share_one_of_their_rarest_words():
+    rng = random.Random(8)
+    counts = np.array([rng.randint(2, 9) for _ in range(97)])
+    linked = 0
+    for _ in range(3000):
+        a = [rng.randint(0, 12) for _ in range(rng.randint(1, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.randint(0, 12)] * rng.randint(0, 1)
+        a, b = np.array(a, np.uint32), np.array(b, np.uint32)
+        if near_dup.linked(a.tobytes(), b.tobytes()):
+            linked += 1
+            (x, i), (y, j) = near_dup.rarest(a, counts), near_dup.rarest(b, counts)
+            w = next(w for w in x if w in y)
+            at, to = i[list(x).index(w)], j[list(y).index(w)]
+            longest = max(len(a), len(b))
+            assert min(len(a) - at, len(b) - to) >= longest - int(0.2 * longest + 1e-9)
+    assert linked > 500
+
+
 def test_odd_documents(spark):
     long = " ".join(f"v{i % 977}y{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (None, "a b c d e f"), (4, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, long), (7, long.replace("v5y5 ", "")), (8, "!!!"), (9, "hi"), (10, "hi"), (11, "first text of a twice used id"), (11, "another text entirely, same id")]
