@@ -277,6 +277,30 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.contaminated(df.where("false"), bench).count() == 0 and decontam.decontaminate(df, bench.where("false")).count() == len(docs)
 
 
+def test_reordered_items_equal_brute_force(spark):
+    rng = random.Random(33)
+    items = [(i, [f"i{i}x{j}" for j in range(n)]) for i, n in enumerate([60, 60, 45, 30, 90])]
+    docs = []
+    for k in range(40):
+        i, w = items[k % 5]
+        cut = rng.choice([len(w) // 3, len(w) // 2, 3])
+        moved = w[cut:] + w[:cut]
+        around = [f"d{k}x{j}" for j in range(rng.choice([0, 7, 50]))]
+        docs.append((k, " ".join(around + moved + around[: rng.randint(0, 9)])))
+    runs = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    expected = {}
+    for d, t in docs:
+        w = words(t)
+        for i, want in items:
+            n, target = min(len(want), len(w)), runs(want)
+            best = max(sum((runs(w[s : s + n]) & target).values()) / sum((runs(w[s : s + n]) | target).values()) for s in range(len(w) - n + 1))
+            if best >= 0.8:
+                expected[d, i] = round(best, 6)
+    assert len(expected) > 10
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(df, bench).collect()} == expected
+
+
 def test_index_finds_every_fingerprint_in_the_radius(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) - 2**63 for _ in range(20)]
