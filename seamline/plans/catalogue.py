@@ -491,6 +491,19 @@ def f1_pivot(spark, sf):
     return E.pivot_f1(rows, "setting", [1, 2, 3]).withColumn("avg_f1", F.round("avg_f1", 6))
 
 
+_F1_COLUMNS = ", ".join(f"coalesce(max(round(f1, 6)) FILTER (setting = 'd{int(d)}'), 0) AS d{int(d)}" for d in _DISTANCES)
+
+
+@_query(f"WITH RECURSIVE {_SWEEP}, x AS (SELECT user_id, {_F1_COLUMNS} FROM sweep GROUP BY user_id) SELECT * FROM x UNION ALL SELECT NULL, {', '.join(f'round(avg(d{int(d)}), 6)' for d in _DISTANCES)} FROM x HAVING count(*) > 0")
+def f1_matrix(spark, sf):
+    """A row per user, a column per setting; the row without a user holds the averages over all users."""
+    names = [f"d{int(d)}" for d in _DISTANCES]
+    rows = _sweep(spark, sf).withColumn("f1", F.round("f1", 6))
+    wide = E.pivot_f1(rows, "lecture_id", names, "setting").select(F.col("lecture_id").alias("user_id"), *names)
+    means = wide.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in names)).where("n > 0")
+    return wide.unionByName(means.select(F.lit(None).cast("long").alias("user_id"), *names))
+
+
 @_query(f"WITH RECURSIVE {_SWEEP} SELECT user_id, setting, f1 FROM (SELECT user_id, setting, round(f1, 6) AS f1, row_number() OVER (PARTITION BY user_id ORDER BY round(f1, 6) DESC, CAST(setting[2:] AS INTEGER)) AS k FROM sweep) WHERE k = 1")
 def best_setting(spark, sf):
     rows = _sweep(spark, sf).select(F.col("lecture_id").alias("user_id"), "setting", F.round("f1", 6).alias("f1"), F.substring("setting", 2, 9).cast("int").alias("place"))

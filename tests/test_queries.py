@@ -34,6 +34,12 @@ def test_label_merge_has_rows(spark):
     assert catalogue.QUERIES["label_merge"](spark, SF).count() > 0
 
 
+def test_f1_matrix_has_every_user(spark):
+    users = {r["lecture_id"] for r in catalogue._sweep(spark, SF).select("lecture_id").distinct().collect()}
+    assert len(users) > 3
+    assert {r["user_id"] for r in catalogue.QUERIES["f1_matrix"](spark, SF).collect()} == users | {None}
+
+
 def test_entry(spark):
     import __spark_entry__
 
