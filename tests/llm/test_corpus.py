@@ -195,27 +195,87 @@ def test_copies_among_many_texts_with_a_common_passage(spark):
     assert got == expected
 
 
-def test_linked_texts_share_one_of_their_rarest_words():
+def test_linked_texts_share_one_of_their_rarest_pairs_of_words(monkeypatch):
     rng = random.Random(8)
-    counts = np.array([rng.randint(2, 9) for _ in range(97)])
+    monkeypatch.setattr(near_dup, "SLOTS", 128)
+    counts = np.array([rng.randint(2, 9) for _ in range(128)])
     linked = 0
     for _ in range(3000):
-        a = [rng.randint(0, 12) for _ in range(rng.randint(1, 40))]
+        a = [rng.randint(0, 12) for _ in range(rng.randint(2, 40))]
         b = list(a)
         for _ in range(rng.randint(0, 9)):
             at = rng.randint(0, len(b))
             b[at : at + rng.randint(0, 1)] = [rng.randint(0, 12)] * rng.randint(0, 1)
-        a, b = np.array(a, np.uint32), np.array(b, np.uint32)
-        if near_dup.linked(a.tobytes(), b.tobytes()):
+        a, b = (np.array(x, np.uint32).tobytes() for x in (a, b))
+        if len(b) > 4 and near_dup.linked(a, b):
             linked += 1
-            (x, i), (y, j) = near_dup.rarest(a, counts), near_dup.rarest(b, counts)
-            w = next(w for w in x if w in y)
-            at, to = i[list(x).index(w)], j[list(y).index(w)]
-            longest = max(len(a), len(b))
-            assert min(len(a) - at, len(b) - to) >= longest - int(0.2 * longest + 1e-9)
+            assert set(near_dup.rarest(a, counts).tolist()) & set(near_dup.rarest(b, counts).tolist())
     assert linked > 500
 
 
+def test_tiles_join_all_that_links_join():
+    import pandas as pd
+
+    rng = random.Random(5)
+    texts = [[rng.randint(0, 60) for _ in range(rng.randint(20, 30))] for _ in range(12)]
+    for k in range(40):
+        w = list(texts[rng.randrange(len(texts))])
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = rng.randint(0, 60)
+        texts.append(w)
+    texts += [[7] * 300 + [1, 2], [7] * 290]
+    for blocks in (1, 2):
+        frame = pd.DataFrame({"node": range(len(texts)), "component": range(len(texts)), "block": [i % blocks for i in range(len(texts))], "words": [np.array(t, "<u4").tobytes() for t in texts]})
+        every = [(i, j) for i in range(len(texts)) for j in range(i) if (blocks == 1 or i % 2 != j % 2) and plain_distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)]
+        assert len(every) > 20 and groups_of(len(texts), near_dup.links_of(frame, 0.8)) == groups_of(len(texts), every)
+
+
+def groups_of(n, links):
+    group = list(range(n))
+    for a, b in links:
+        x, y = group[a], group[b]
+        group = [min(x, y) if g in (x, y) else g for g in group]
+    return group
+
+
+def changed(rng, w, kind):
+    """w with a fifth of it replaced, inserted, deleted or a mixture."""
+    w, n = list(w), len(w)
+    for k in range(n // 4 if kind == "insert" else n // 5):
+        do = kind if kind != "mixed" else rng.choice(["replace", "insert", "delete"])
+        at = rng.randrange(len(w))
+        if do == "insert":
+            w.insert(at, f"i{k}x{rng.getrandbits(40)}")
+        elif do == "delete":
+            del w[at]
+        else:
+            w[at] = f"r{k}x{rng.getrandbits(40)}"
+    return w
+
+
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete", "mixed"])
+def test_candidate_recall_at_the_limit(kind):
+    import xxhash
+
+    rng = random.Random(17)
+    hash_ = lambda w: np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
+    for n in (6, 10, 20, 40, 55, 70, 100, 300, 1000):
+        met = 0
+        for g in range(120):
+            a = [f"g{g}w{j}" for j in range(n)]
+            b = changed(rng, a, kind)
+            assert plain_or_banded(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+            met += bool(set(near_dup.keys_of(hash_(a)).tolist()) & set(near_dup.keys_of(hash_(b)).tolist()))
+        assert met >= 0.9 * 120, (n, met)
+        test_candidate_recall_at_the_limit.found = getattr(test_candidate_recall_at_the_limit, "found", []) + [met / 120]
+    assert np.mean(test_candidate_recall_at_the_limit.found) >= 0.95
+
+
+def plain_or_banded(a, b):
+    number = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
+    return near_dup.edit_distance([number[w] for w in a], [number[w] for w in b], max(len(a), len(b)))
+
+
 def test_odd_documents(spark):
     long = " ".join(f"v{i % 977}y{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (None, "a b c d e f"), (4, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, long), (7, long.replace("v5y5 ", "")), (8, "!!!"), (9, "hi"), (10, "hi"), (11, "first text of a twice used id"), (11, "another text entirely, same id")]
@@ -232,6 +292,8 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 50, 50: 50, 101: 50, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    path = spark.range(1, 300).selectExpr("id as a", "id + 1 as b")
+    assert {r["component"] for r in components(path).collect()} == {1}
 
 
 # ---- decontamination
