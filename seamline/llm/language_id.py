@@ -2,7 +2,7 @@
 
 A text's subwords are the runs of 2 to 4 characters within its lower-case words, a word's borders counting as a space.
 Each is hashed to a row of an embedding table; their average goes through a linear layer and a softmax. Training is
-plain stochastic gradient descent in numpy on a bounded sample; a temperature fitted on a part of the sample that was
+plain stochastic gradient descent in numpy on a sample bounded by ``per_lang``, ``most_texts`` and ``longest``; a temperature fitted on a part of the sample that was
 kept back calibrates the scores, and the rejection threshold is the score that all but ``reject_rate`` of that part's
 right answers reach.
 
@@ -19,19 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREDICTED = "lang_pred string, score double, rejected boolean"
 _ORDERS = (2, 3, 4)
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
-_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def _letters(text: str) -> np.ndarray:
     """Code points of the lower-case text, other characters than letters as a space, with a space at either end."""
     x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where((x >= 0x10000) | _LETTER[np.minimum(x, 0xFFFF)], x, np.uint32(32))
+    return np.where(_LETTER[x], x, np.uint32(32))
 
 
 def _subwords(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -53,8 +53,9 @@ def _subwords(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray
 class Model:
     langs: list[str]
     bits: int
-    #: embedding table times output layer: what each subword adds to each language's sum
+    #: a subword's embedding; with few languages already times the output layer, which then is the unit matrix
     table: np.ndarray
+    layer: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -64,7 +65,7 @@ class Model:
         n = len(texts)
         if not self.langs:
             return ["und"] * n, np.zeros(n), np.ones(n, bool)
-        sums, counts = np.zeros((n, len(self.langs))), np.zeros(n)
+        sums, counts = np.zeros((n, self.table.shape[1])), np.zeros(n)
         at = 0
         while at < n:
             end, held, parts = at, 0, []
@@ -83,7 +84,7 @@ class Model:
                 sums[at + doc[edge]] += np.add.reduceat(self.table[rows[where]], edge, axis=0)
                 counts[at + doc[edge]] += np.diff(edge, append=len(where))
             at = end
-        p = _softmax((sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature)
+        p = _softmax((sums / np.maximum(counts, 1)[:, None] @ self.layer + self.bias) / self.temperature)
         best = p.argmax(axis=1)
         score = np.where(counts > 0, p[np.arange(n), best], 0.0)
         langs = [self.langs[b] if c else "und" for b, c in zip(best.tolist(), counts.tolist())]
@@ -106,7 +107,7 @@ def fit(samples: list[tuple[str, str]], bits: int = 16, width: int = 16, epochs:
     it, so that short texts are scored as well as long ones. Steps are bounded by their norms and cannot run away."""
     langs = sorted({lang for _, lang in samples})
     if not langs:
-        return Model([], bits, np.zeros((1, 1), np.float32), np.zeros(1), 1.0, 0.0)
+        return Model([], bits, np.zeros((1, 1), np.float32), np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(samples))
     kept_back = {int(i) for i in order[: len(samples) // 5]} if len(samples) >= 50 else set()
@@ -136,12 +137,12 @@ def fit(samples: list[tuple[str, str]], bits: int = 16, width: int = 16, epochs:
             bias -= 0.1 * lr * error
             # the average's gradient, shared out by weight and scaled so that long texts teach as much as short ones
             table[rows] -= (lr * weights * min(len(rows), 50))[:, None] * back
-    final = (table @ layer).astype(np.float32)
-    if not np.isfinite(final).all():
+    if not (np.isfinite(table).all() and np.isfinite(layer).all()):
         raise ArithmeticError("training did not converge")
+    final, out = ((table @ layer).astype(np.float32), np.eye(len(langs))) if len(langs) <= width else (table, layer.astype(float))
     temperature, threshold = 1.0, 0.0
     if check := check or learn:
-        logits = np.array([w @ final[r] + bias for r, w, _ in check])
+        logits = np.array([w @ final[r] @ out + bias for r, w, _ in check])
         truth = np.array([y for *_, y in check])
         loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
         temperature = float(min(np.geomspace(0.2, 8, 60), key=loss))
@@ -149,26 +150,30 @@ def fit(samples: list[tuple[str, str]], bits: int = 16, width: int = 16, epochs:
         right = p.argmax(axis=1) == truth
         if right.any():
             threshold = min(0.5, float(np.quantile(p.max(axis=1)[right], reject_rate)))
-    return Model(langs, bits, final, bias.astype(float), temperature, threshold)
+    return Model(langs, bits, final, out, bias.astype(float), temperature, threshold)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = 1000, longest: int = 20_000, most_langs: int = 64) -> list[tuple[str, str]]:
-    """The rows to learn from: about ``per_lang`` labelled texts, chosen by a hash of the id, of each of the
-    ``most_langs`` commonest languages, of at most ``longest`` characters each. That bounds what reaches the driver."""
+def sample(docs: DataFrame, per_lang: int = 1000, most_texts: int = 24_000, longest: int = 4000) -> list[tuple[str, str]]:
+    """The texts to learn from: of each language about ``per_lang`` different ones, chosen by a hash, less where that
+    makes more than ``most_texts`` (but 16 at least); of each a stretch of ``longest`` characters at most, from a place
+    chosen by the hash. So the driver gets some 100 MB at most, up to 1500 languages; every language is learned."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return []
-    u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000.0
-    share = F.lit(0.0)
-    for x in counts:
-        share = F.when(F.col("lang") == x["lang"], min(1.0, per_lang / x["count"])).otherwise(share)
-    rows = labelled.where((u < share) & (F.length("text") <= longest)).select("doc_id", "text", "lang").limit(2 * per_lang * len(counts)).collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["lang"]))]
+    each = max(16, min(per_lang, most_texts // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * each / r["count"])) for r in counts], "lang string, share double")
+    h = F.xxhash64("doc_id", "text", F.lit(11))
+    rows = labelled.select("text", "lang", h.alias("h")).join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    start = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - longest, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("lang", "h", F.substring("text", start, F.lit(longest)).alias("text")).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= each).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["place"]))]
 
 
 def train(docs: DataFrame, per_lang: int = 1000) -> Model:
@@ -178,7 +183,7 @@ def train(docs: DataFrame, per_lang: int = 1000) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with PREDICTED's columns (which replace any of those names), for every whole text."""
     docs = docs.drop("lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size set by bits and most_langs
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size set by bits, width and the number of languages
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
