@@ -2,7 +2,8 @@
 
 Nulls: a vector that is null, or holds a null or a non-finite component, takes no part, nor does a row with a null id.
 Vectors of another length than a query's are no candidates for it; an empty vector takes no part. A candidate with the
-query's own id counts as the query's own row, so repeated rows never find each other; a repeated query is asked once.
+query's own id counts as the query's own row, so repeated rows never find each other; a repeated query is asked once,
+with the least of its vectors if they differ. Scores that 64 bits may not hold raise an error.
 Ties go to the smaller id. A query with fewer than k candidates has all of them. An empty table gives an empty result.
 Further columns are not read.
 """
@@ -27,6 +28,8 @@ def quantized(df: DataFrame, id_col: str, vector: str, scale: float) -> DataFram
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The exact integer product; by floating point where no sum can leave its exact range."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most >= 2**63:
+        raise ArithmeticError("scores may be too large for 64 bits")
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
 
@@ -55,16 +58,19 @@ def _tile_top(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFram
     return pd.concat(out)
 
 
-def top_k(vectors: DataFrame, id_col: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, query_block: int = 2048, shard_rows: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, query_block: int = 8192, shard_rows: int = 8192) -> DataFrame:
     """The k best of all rows for each row for which is_query holds: query_id, rank, vec_id, score.
 
     Queries are dealt to blocks and rows to shards, both of bounded size by a hash of the id; each (block, shard) tile
     is one matrix product in one task. Per-query lists of k are then merged twice: within groups of shards, then over
     the groups. What moves is (number of query blocks) x rows and (number of shards) x queries.
     """
-    rows = quantized(vectors, id_col, vector, scale).withColumn("dim", F.size("v"))
-    asked = quantized(vectors.where(is_query), id_col, vector, scale).withColumn("dim", F.size("v")).dropDuplicates(["vec_id"])
     n = vectors.select(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    rows = quantized(vectors, id_col, vector, scale)
+    most = rows.agg(F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))).first()[0] or 0
+    narrow = F.col("v").cast(f"array<{'smallint' if most < 2**15 else 'int' if most < 2**31 else 'bigint'}>").alias("v")  # what moves
+    rows = rows.select("vec_id", narrow, F.size("v").alias("dim"))
+    asked = quantized(vectors.where(is_query), id_col, vector, scale).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", narrow, F.size("v").alias("dim"))
     shards, blocks = max(1, -(-n["n"] // shard_rows)), max(1, -(-n["q"] // query_block))
     group = max(1, int(shards**0.5))
     dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(n)).cast("int")
