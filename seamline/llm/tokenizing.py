@@ -32,8 +32,8 @@ def _bare_chunks(text: str) -> list[str]:
 class Encoder:
     """``encode(text)`` gives the little-endian unsigned 32-bit (or 16-bit) ids of a text as bytes.
 
-    The ids equal ``Tokenizer.encode(text, add_special_tokens=False).ids``, with special tokens' strings taken as
-    ordinary text. The cache holds at most ``most`` chunks of at most ``longest`` characters, and takes no more when full (frequent
+    The ids equal ``Tokenizer.encode(text, add_special_tokens=False).ids`` of the file as it is loaded: where a text
+    holds a special token's string, that is the token's id; such a text is encoded whole. The cache holds at most ``most`` chunks of at most ``longest`` characters, and takes no more when full (frequent
     chunks come early); the rest are encoded anew for each call.
     """
 
@@ -42,7 +42,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        most_id = self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
+        if most_id >= 1 << 8 * width:
+            raise ValueError(f"ids up to {most_id} do not fit {width} bytes")
+        #: strings that are cut out before the rest is split; in any case of letters, to be safe
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         probe = self.tokenizer.encode("Ab", add_special_tokens=False).ids == self.tokenizer.encode("ab", add_special_tokens=False).ids
         self.find = (_bare_chunks if probe else _BARE.findall) if drops_space else _CHUNK.findall
         ends = [t.endswith(_WORD_END) for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
@@ -94,7 +99,8 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
-        parts = [self.find(t) if t else [] for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and self.has_added(t)}
+        parts = [self.find(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         known = self.known
         fresh = set(chain.from_iterable(parts)).difference(known)
         get = known.__getitem__
@@ -104,7 +110,10 @@ class Encoder:
                 known.update((k, v) for k, v in found.items() if len(k) <= self.longest)
             if not fresh <= known.keys():
                 get = ChainMap(found, known).__getitem__ if len(fresh) < 64 else {**{k: known[k] for k in set(chain.from_iterable(parts)) - fresh}, **found}.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out = [b"".join(map(get, p)) for p in parts]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
