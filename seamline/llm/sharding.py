@@ -4,8 +4,9 @@ Each shard has an order of preference over the slots of a table of prime size (a
 hash); shards take turns claiming their next free slot until the table is full, so shares differ by one slot at most,
 and adding or removing a shard moves few keys. A key goes to the shard of the slot that its hash names.
 
-Nulls: a null key is placed as the text ``null`` (marked by a hash of its own) and so has one defined shard. Repeated
-rows go to the same shard. An empty table gives an empty result. Columns ``slot`` and ``shard`` of the input are replaced.
+Nulls: a null key is placed like the text of one character U+0000 and so has one defined shard. Repeated rows go to
+the same shard. An empty table gives an empty result. Columns ``slot`` and ``shard`` of the input are replaced, but for
+a key of that name, which stays: the result's own column is then called ``slot_`` or ``shard_``.
 """
 
 from __future__ import annotations
@@ -49,15 +50,17 @@ def lookup_table(spark: SparkSession, names: list[str], size: int = TABLE_SIZE)
 
 def slot_of(key, size: int = TABLE_SIZE):
     """Column: the first 32 bits of the key's md5, modulo the table's size."""
-    text = F.coalesce(key.cast("string"), F.lit("null"))
+    text = F.coalesce(key.cast("string"), F.lit("\0"))
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
 
 
 def place(df: DataFrame, key: str, names: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """df with the columns slot and shard. The table's size is a fixed number of small rows, so it is broadcast; rows
     stay where they are, and no key however common is gathered."""
-    table = lookup_table(df.sparkSession, names, size)
-    return df.drop("slot", "shard").withColumn("slot", slot_of(df[key], size)).join(F.broadcast(table), "slot")
+    slot, shard = (f"{c}_" if c == key else c for c in ("slot", "shard"))
+    table = lookup_table(df.sparkSession, names, size).toDF("_slot", shard)
+    placed = df.withColumn("_slot", slot_of(F.col(key), size)).drop(slot, shard)
+    return placed.join(F.broadcast(table), "_slot").withColumnRenamed("_slot", slot)
 
 
 def write_shards(df: DataFrame, path: str, key: str, names: list[str], size: int = TABLE_SIZE, files: int = 4) -> None:
