@@ -3,12 +3,13 @@
 A store is a folder with two Parquet data sets, so that any store that Spark writes to will do, and a lost executor's
 part is written again under Spark's commit protocol:
 
-``payload``: one row per segment (``segment``, ``part``, ``doc_ids``, ``counts``, ``ids``). ``ids`` holds the raw
+``payload``, a folder per part: one row per segment (``segment``, ``doc_ids``, ``counts``, ``ids``). ``ids`` holds the raw
 little-endian ids of the segment's documents one after another, of ``width`` bytes each; ``counts`` their numbers of
 ids. Segments in ascending order hold the documents in ascending order of doc_id (null first, ties by the text's hash).
 
-``index``: one row per bucket of keys: the bit arrays of a minimal perfect hash, and at each key's slot a 16-bit
-fingerprint, the key's segment and position, and how many rows have that key.
+``index``, a folder per shelf of buckets: one row per bucket of keys: the bit arrays of a minimal perfect hash, and at each key's slot a 16-bit
+fingerprint, the key's segment and position, and how many rows have that key. A key's hash names its shelf and bucket,
+and a segment's number its part, so a few keys are read from as many files.
 
 Nulls: a null text is empty (the end id alone). A null doc_id is stored first and has no key. Repeated doc_ids are all
 stored; their key leads to the first and says how many follow. An empty table gives a store without rows. Further
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from .common import partitions
 from .tokenizing import encoder
 
-PAYLOAD = "segment long, part int, width int, doc_ids array<long>, counts array<int>, ids binary"
-INDEX = "bucket long, n int, sizes array<int>, bits binary, fingerprints binary, segments binary, positions binary, repeats binary"
+PAYLOAD = "segment long, width int, doc_ids array<long>, counts array<int>, ids binary, part int"
+INDEX = "bucket long, n int, sizes array<int>, bits binary, fingerprints binary, segments binary, positions binary, repeats binary, shelf long"
 FOUND = "doc_id long, segment long, position int, repeats int"
-_BUCKET_KEYS = 8192
+_BUCKET_KEYS, _SHELF_BUCKETS = 8192, 32
+#: So many folders and rows of them are named in a filter, which opens only these; more are joined.
+_NAMED = 1000
 
 
 # ---- minimal perfect hash
@@ -87,7 +90,7 @@ def _segments(tokenizer: str, drops_space: bool, end_id: int, width: int, most:
         held = 0
 
         def row() -> pd.DataFrame:
-            return pd.DataFrame({"segment": [(part << 32) + seq], "part": [part], "width": [width], "doc_ids": [docs], "counts": [[len(x) // width for x in ids]], "ids": [b"".join(ids)]})
+            return pd.DataFrame({"segment": [(part << 32) + seq], "width": [width], "doc_ids": [docs], "counts": [[len(x) // width for x in ids]], "ids": [b"".join(ids)], "part": [part]})
 
         for frame in frames:
             for at in range(0, len(frame), 256):
@@ -117,8 +120,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
         .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
     payload = ranged.mapInPandas(_segments(tokenizer, drops_space, end_id, width, segment_bytes), PAYLOAD)
-    payload.write.option("compression", "zstd").parquet(f"{path}/payload")
-    _index(spark, path).write.option("compression", "zstd").parquet(f"{path}/index")
+    payload.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/payload")
+    _index(spark, path).write.option("compression", "zstd").partitionBy("shelf").parquet(f"{path}/index")
 
 
 def _payload(spark: SparkSession, path: str) -> DataFrame:
@@ -134,16 +137,30 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
     buckets = _buckets(spark, path)
     keys = _payload(spark, path).select("segment", F.posexplode("doc_ids").alias("position", "doc_id")).where("doc_id is not null")
     first = keys.groupBy("doc_id").agg(F.min(F.struct("segment", "position")).alias("at"), F.count("*").cast("int").alias("repeats"))
-    flat = first.select("doc_id", "at.segment", "at.position", "repeats", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    flat = first.select("doc_id", "at.segment", "at.position", "repeats", _bucket(buckets)).withColumn("shelf", F.expr(f"bucket div {_SHELF_BUCKETS}"))
 
     def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["doc_id"].to_numpy("int64")
         sizes, bits = mph_build(ids)
         order = np.argsort(mph_slots(ids, sizes, bits))
         frame, ids = frame.iloc[order], ids[order]
-        return pd.DataFrame({"bucket": [int(key[0])], "n": [len(ids)], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "fingerprints": [fingerprint(ids).tobytes()], "segments": [frame["segment"].to_numpy("<i8").tobytes()], "positions": [frame["position"].to_numpy("<i4").tobytes()], "repeats": [frame["repeats"].to_numpy("<i4").tobytes()]})
+        return pd.DataFrame({"bucket": [int(key[1])], "n": [len(ids)], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "fingerprints": [fingerprint(ids).tobytes()], "segments": [frame["segment"].to_numpy("<i8").tobytes()], "positions": [frame["position"].to_numpy("<i4").tobytes()], "repeats": [frame["repeats"].to_numpy("<i4").tobytes()], "shelf": [int(key[0])]})
 
-    return flat.groupBy("bucket").applyInPandas(build, INDEX)
+    shelved = flat.repartition(partitions(spark), "shelf") if buckets > _SHELF_BUCKETS else flat
+    return shelved.groupBy("shelf", "bucket").applyInPandas(build, INDEX)
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+
+
+def _only(df: DataFrame, folder: str, row: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df that wanted (folder, row) names. Up to _NAMED are named in a filter, so that Spark opens their
+    folders alone and skips other rows by their statistics."""
+    named = wanted.select(folder, row).distinct().limit(_NAMED + 1).collect()
+    if len(named) > _NAMED:
+        return df.join(wanted.select(row).distinct(), row, "left_semi")
+    return df.where(F.col(folder).isin(sorted({r[folder] for r in named})) & F.col(row).isin(sorted({r[row] for r in named}))) if named else df.where("false")
 
 
 # ---- reading
@@ -153,7 +170,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     time; a fingerprint turns away all but one in 65,536 of the keys that are absent, and read_documents() the rest."""
     buckets = _buckets(spark, path)
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    asked = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    asked = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().select("doc_id", _bucket(buckets)).withColumn("shelf", F.expr(f"bucket div {_SHELF_BUCKETS}"))
+    index = _only(index, "shelf", "bucket", asked)
 
     def find(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(index):
@@ -197,13 +215,19 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(_bases(spark, path), "segment").select((F.col("rows_before") + F.col("position")).alias("row"), "doc_id", (F.col("tokens_before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "segment", "position")
 
 
+def segments_of(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """The payload's rows that hold the documents of places (FOUND)."""
+    found = places.select("segment").distinct()
+    if not (several := places.where("repeats > 1").select("doc_id")).isEmpty():  # may go on in later segments
+        stored = _payload(spark, path).select("segment", F.explode("doc_ids").alias("doc_id"))
+        found = found.union(stored.join(several, "doc_id", "left_semi").select("segment")).distinct()
+    return _only(_payload(spark, path), "part", "segment", found.select("segment", F.shiftright("segment", 32).cast("int").alias("part")))
+
+
 def read_documents(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """The ids of the documents with these keys: doc_id, segment, position, ids (array<long>). Only the segments that
     the index names are opened; the stored doc_id is compared, so an absent key gives nothing."""
-    places = lookup(spark, path, keys)
-    stored = _payload(spark, path).select("segment", F.explode("doc_ids").alias("doc_id"))
-    runs = stored.join(places.where("repeats > 1").select("doc_id"), "doc_id", "left_semi").select("segment")  # may go on in later segments
-    hit = _payload(spark, path).join(places.select("segment").union(runs).distinct(), "segment", "left_semi")
+    hit = segments_of(spark, path, lookup(spark, path, keys))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
