@@ -39,8 +39,10 @@ def test_top_k_equals_brute_force(spark):
 
 
 def test_large_components_stay_exact():
-    big = np.array([[2**40, 3], [5, 2**33]])
-    assert topk_search._product(big, big)[1, 0] == 5 * 2**40 + 3 * 2**33
+    a, b = np.array([[2**58 + 1, 3]]), np.array([[5, 7], [1, 1]])
+    assert topk_search._product(a, b).tolist() == [[5 * (2**58 + 1) + 21, 2**58 + 4]]
+    with pytest.raises(ArithmeticError):
+        topk_search._product(a, a)
 
 
 # ---- scoring
@@ -93,14 +95,35 @@ def test_table_is_balanced_and_moves_little():
     assert sum(a != b for a, b in zip(table, after) if names[a] != "s9") < 0.15 * 1009
 
 
+def plain_table(names, size):
+    """Shards in turn take the first free slot of their order of preference, looked for from the order's beginning."""
+    import hashlib
+
+    slots = {}
+    while True:
+        for number, name in enumerate(names):
+            if len(slots) == size:
+                return [slots[s] for s in range(size)]
+            digest = hashlib.sha256(name.encode()).digest()
+            start, step = int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:16], "big") % (size - 1) + 1
+            slots[next(s for k in range(size) if (s := (start + k * step) % size) not in slots)] = number
+
+
+def test_a_key_named_like_the_result_stays(spark):
+    df = spark.createDataFrame([("a", 1)], "slot string, shard int")
+    assert sharding.place(df, "slot", ["x", "y"], 211).columns == ["slot_", "slot", "shard"]
+    assert sharding.place(df, "slot", ["x", "y"], 211).first()["slot"] == "a"
+
+
 def test_place_equals_a_plain_lookup(spark):
     import hashlib
 
     names = [f"s{i}" for i in range(7)]
-    table = sharding.fill_table(names, 211)
+    table = plain_table(names, 211)
+    assert table == sharding.fill_table(names, 211)
     df = spark.createDataFrame([(1,), (None,), (2,), (2,)], "k long").withColumn("slot", F.lit("clash"))
     for r in sharding.place(df, "k", names, 211).collect():
-        slot = int(hashlib.md5(str("null" if r["k"] is None else r["k"]).encode()).hexdigest()[:8], 16) % 211
+        slot = int(hashlib.md5(str("\0" if r["k"] is None else r["k"]).encode()).hexdigest()[:8], 16) % 211
         assert (r["slot"], r["shard"]) == (slot, table[slot])
     assert sharding.place(df, "k", names, 211).count() == 4 and sharding.place(df.where("false"), "k", names, 211).count() == 0
 

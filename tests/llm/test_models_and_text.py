@@ -1,10 +1,12 @@
 """Language ID, extraction, tokenizing and URL rules: accuracy, brute force and odd inputs."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -26,10 +28,19 @@ def test_encoder_equals_the_tokenizer(name, drops, width):
     @given(st.lists(alphabet, max_size=14))
     def check(parts):
         text = "".join(parts)
+        assert enc.tokenizer.encode_special_tokens is False
         assert np.frombuffer(enc.encode_all([text])[0], enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
     check()
     assert enc.encode_all([None, ""]) == [b"", b""]
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|STARTOFTEXT|>y <|startoftext|>", "<|endoftext|"):
+        assert np.frombuffer(enc.encode_all(["plain", text, "plain"])[1], enc.dtype).tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_must_fit_their_width():
+    with pytest.raises(ValueError):
+        Encoder(tokenizer_path("byte_bpe_50k.json"), False, 1)
 
 
 # ---- language ID
@@ -56,6 +67,45 @@ def test_language_of_odd_rows(spark):
     assert language_id.predict(df, language_id.fit([])).where("lang_pred = 'und'").count() == len(rows)
 
 
+def test_und_for_texts_without_a_letter_on_all_planes():
+    model = language_id.fit([("the cat and the dog sat there", "en"), ("le chat et le chien sont là", "fr")] * 40)
+    langs, score, rejected = model.predict(["\U0001f600 \U0001f680", "\U0001d7ce", "\U00020000", "12 \u2460"])
+    assert langs[0] == langs[1] == langs[3] == "und" and langs[2] != "und" and score[0] == 0 and rejected[0]
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"word{chr(97 + i % 90 // 9)}{'abcdefghi'[i % 9]} " * 5, f"lang{i % 90}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.sample(df, per_lang=20, most_texts=1000, longest=12)
+    assert {lang for _, lang in sample} == {f"lang{i}" for i in range(90)}
+    assert len(sample) <= 90 * 16 and all(len(text) <= 12 for text, _ in sample)
+    assert set(language_id.fit(sample).langs) == {f"lang{i}" for i in range(90)}
+
+
+@pytest.mark.parametrize("langs", [2, 20])
+def test_prediction_equals_a_plain_one(langs):
+    rng = random.Random(6)
+    say = lambda k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k : k + 5]) for _ in range(4)) for _ in range(8))
+    model = language_id.fit([(say(k), f"l{k:02d}") for k in range(langs) for _ in range(30)])
+    for text in ["abc dea!", "Kl 7 mn", say(1), say(0) + " " + say(1)]:
+        spaced = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        rows = []
+        for n in (2, 3, 4):
+            for i in range(len(spaced) - n + 1):
+                part = spaced[i : i + n]
+                if part == "  " if n == 2 else " " in part[1:-1]:
+                    continue
+                h = n * 0x61C88647 & 0xFFFFFFFF
+                for k, c in enumerate(part):
+                    h = (h ^ ord(c)) * int(language_id._MULTIPLIERS[k]) & 0xFFFFFFFF
+                    h ^= h >> 15
+                rows.append(model.table[h & (1 << model.bits) - 1].astype(float))
+        z = (sum(rows) / len(rows) @ model.layer + model.bias) / model.temperature
+        e = np.exp(z - z.max())
+        got = model.predict([text])
+        assert got[0][0] == model.langs[int(e.argmax())] and abs(got[1][0] - (e / e.sum()).max()) < 1e-5
+
+
 def test_prediction_does_not_depend_on_neighbours():
     model = language_id.fit([("the cat and the dog sat there", "en"), ("le chat et le chien sont là", "fr")] * 40)
     texts = ["the cat", None, "le chien", "", "a", "dog là the"]
@@ -125,6 +175,32 @@ def test_mined_rules_match_brute_force(spark):
     assert got[999] == "allow" and got[998] == "block"
 
 
+def test_mined_rules_change_verdicts_on_the_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = url_filter.judge(pages).where("rule is null").collect()
+    blocked = [r for r in got if r["verdict"] == "block"]
+    assert blocked and all(r["mined_confidence"] >= 0.8 for r in blocked)
+    word = lambda r: set(re.findall(r"[^\W\d_]+", r["host"])) & set(url_filter.SEEDS)
+    assert all(word(r) for r in blocked) and not any(word(r) for r in got if r["verdict"] == "allow")
+
+
+def test_long_common_paths_finish(spark):
+    path = "/".join(f"s{chr(97 + j)}{chr(97 + j)}" for j in range(8)) + "/{}?" + "&".join(f"k{chr(97 + j)}=1" for j in range(22))
+    rows = [(f"http://site.org/{path.format(i)}", "block" if i % 10 else "allow") for i in range(300)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    pages = labelled.select(F.lit(None).cast("long").alias("page_id"), "url").union(spark.createDataFrame([(1, "http://site.org/saa/1?kaa=1"), (1, None)], "page_id long, url string"))
+    got = url_filter.judge(pages, [], labelled).collect()
+    assert [r["verdict"] for r in got if r["page_id"] is None] == ["block"] * 300
+    assert [r["verdict"] for r in got if r["page_id"] == 1] == ["allow"] * 2
+
+
+def test_folded_items_are_equal_row_sets(spark):
+    rng = random.Random(1)
+    rows = [sorted({rng.choice("abcdef")} | ({"x", "y"} if rng.random() < 0.4 else set())) for _ in range(200)]
+    got = {r["token"]: r["item"] for r in url_filter.fold_items(spark.createDataFrame([(r,) for r in rows], "tokens array<string>"), 1).collect()}
+    assert got == {**{c: c for c in "abcdef"}, "x": "x", "y": "x"}
+
+
 # ---- packing and token files
 
 def docs_of(spark, sf=SF):
@@ -195,3 +271,9 @@ def test_token_files_round_trip(spark, tmp_path, source):
         keys = spark.createDataFrame([(5,), (4,), (77,), (None,)], "doc_id long")
         read = token_store.read_documents(spark, path, keys).collect()
         assert sorted((r["doc_id"], len(r["ids"])) for r in read) == sorted((d, len(x)) for d, x in ids if d in (4, 5))
+    if source == "table":  # a key is read from one file of the index and one of the payload
+        few = spark.createDataFrame([(7,)], "doc_id long")
+        hit = token_store.segments_of(spark, path, token_store.lookup(spark, path, few))
+        assert hit.count() == 1 and len({f for f in hit.select(F.input_file_name()).distinct().collect()}) == 1
+        assert "part IN" in hit._jdf.queryExecution().toString() or "part#" in hit._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+        assert [len(r["ids"]) for r in token_store.read_documents(spark, path, few).collect()] == [len(x) for d, x in ids if d == 7]
