@@ -1,10 +1,13 @@
 """Main-text extraction from web pages by the distribution of text over lines.
 
-Markup is stripped so that each block of the page becomes a line, blank where the block is known not to be main text
-(menus, forms, ...). A window of lines slides down the page; where its sum of text lengths surges, main text begins,
-where it dives to nothing, main text ends, and all lines between are kept. If the page names its article (``article``
-or ``main``), only lines in there have a length, and any of them is enough for a surge; otherwise link text has none
-and a window needs ``SURGE`` characters.
+Markup is stripped so that each block of the page becomes a line; blocks known not to be main text (menus, forms, ...)
+leave none. A line's length is its text's, twice less what of it is in links. A window of WINDOW lines slides down the
+page: where its sum of lengths reaches SURGE (or the page's highest sum, if that is less), main text begins, with the
+lines that lead up to it; where its sum dives to nothing, main text ends; all lines between are kept.
+
+If the page names its article (``article`` or ``main``), the window slides over that part only. Text lengths decide in
+there, too: rows of links of a window's height and more end the text; but text goes on behind them without a new surge,
+and fewer lines of links at either end stay.
 
 Nulls: a null page is empty, its text the empty string. Pages without text, very long ones, unclosed and cut-off
 markup all give a text. Repeated rows each give theirs. An empty table gives an empty result. Only the id, url and
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,13 +61,11 @@ def _boilerplate(name: str, attrs: str) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, characters of it in links, and whether the article holds it. A dropped element leaves
-    as many blank lines as the window has."""
+    """The page's lines: text, characters of it in links, and whether the article holds it."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = inside = depth = links = 0
     dropping = ""
-    gap = [("", 0, False)] * WINDOW
 
     def flush() -> None:
         nonlocal linked
@@ -99,7 +101,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             links = 0 if closing else 1
         if not closing and name not in _VOID and not attrs.endswith("/") and _boilerplate(name, attrs):
             flush()
-            lines.extend(gap)
             dropping, depth = name, 1
             closes[name] = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) is not None
             continue
@@ -114,29 +115,42 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_text(page: str | None) -> str:
-    """The lines between surges and dives, one per row."""
-    if not page:
-        return ""
-    lines = lines_of(page)
-    named = any(in_article for _, _, in_article in lines)
-    lengths = [(SURGE * in_article if named else len(text) - 2 * linked) if text else 0 for text, linked, in_article in lines]
-    lengths = [max(0, n) for n in lengths]
-    blank = [not text for text, _, _ in lines]
-    kept: list[str] = []
-    n, i = len(lines), 0
+def segments(lengths: list[int], named: bool) -> list[tuple[int, int]]:
+    """Beginnings and ends of the main text among lines of these lengths, in a named article or a whole page."""
+    n = len(lengths)
+    total = [0, *accumulate(lengths)]
+    sums = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
+    surge = min(SURGE, max(sums, default=0))
+    if not surge:
+        return [(0, n)] if named and n else []
+    found: list[tuple[int, int]] = []
+    i = 0
     while i < n:
-        if not lengths[i] or sum(lengths[i : i + WINDOW]) < SURGE:  # no surge here
+        if not lengths[i] or sums[i] < (1 if named and found else surge):
             i += 1
             continue
         begin = i
-        while i < n and any(lengths[i : i + WINDOW]):
+        while i < n and sums[i]:
             i += 1
-        if not named:  # short lines that lead into the surge without a gap, as headings do
-            while begin and not blank[begin - 1] and lengths[begin - 1]:
-                begin -= 1
-        kept += [lines[j][0] for j in range(begin, i) if not blank[j] and (lengths[j] or not named)]
-    return "\n".join(kept)
+        while begin and lengths[begin - 1]:
+            begin -= 1
+        found.append((begin, i))
+    if named and found[0][0] < WINDOW:
+        found[0] = (0, found[0][1])
+    if named and n - found[-1][1] < WINDOW:
+        found[-1] = (found[-1][0], n)
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The lines between surges and dives, one per row."""
+    if not page:
+        return ""
+    lines = lines_of(page)
+    if named := any(inside for _, _, inside in lines):
+        lines = [x for x in lines if x[2]]
+    lengths = [max(0, len(text) - 2 * linked) for text, linked, _ in lines]
+    return "\n".join(text for begin, end in segments(lengths, named) for text, _, _ in lines[begin:end])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -134,6 +134,56 @@ def test_page_without_landmark():
     assert html_extract.main_text(page) == f"Title\n{long}\nShort one.\n{long}"
 
 
+def test_text_goes_on_behind_adverts_and_short_articles_stay():
+    long = "A sentence that goes on for quite a while so that it is main text, and then some more of it."
+    assert html_extract.main_text(f"<p>{long}</p><div class=ad>Buy</div><p>The end.</p>") == f"{long}\nThe end."
+    assert html_extract.main_text("<nav>Home</nav><p>Only this.</p>") == "Only this."
+    links = "".join(f"<li><a href={i}>Some other page {i}</a></li>" for i in range(4))
+    assert html_extract.main_text(f"<article><p>{long}</p><ul>{links}</ul><p>The end.</p><p><a href=x>Source</a></p></article>") == f"{long}\nThe end.\nSource"
+    assert html_extract.main_text(f"<article><ul>{links}</ul></article>").count("\n") == 3
+
+
+def plain_segments(lengths, named):
+    """Marks every line between a surge and the next dive, from window sums taken anew for each line."""
+    window, n = html_extract.WINDOW, len(lengths)
+    sums = [sum(lengths[i : i + window]) for i in range(n)]
+    most = min(html_extract.SURGE, max(sums, default=0))
+    if most == 0:
+        return set(range(n)) if named else set()
+    kept, on, ever = set(), False, False
+    for i in range(n):
+        if on and sums[i] == 0:
+            on = False
+        if not on and lengths[i] and sums[i] >= (1 if ever and named else most):
+            on = ever = True
+            k = i - 1
+            while k >= 0 and lengths[k]:
+                kept.add(k)
+                k -= 1
+        if on:
+            kept.add(i)
+    if named and min(kept) < window:
+        kept |= set(range(min(kept)))
+    if named and n - 1 - max(kept) < window:
+        kept |= set(range(max(kept), n))
+    return kept
+
+
+@given(st.lists(st.sampled_from([0, 0, 0, 3, 20, 60, 100]), max_size=25), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_surges_and_dives_equal_plain_ones(lengths, named):
+    got = {i for begin, end in html_extract.segments(lengths, named) for i in range(begin, end)}
+    assert got == plain_segments(lengths, named)
+
+
+def test_lengths_find_the_text_without_landmarks_or_class_names(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for html in pages:
+        text = html_extract.main_text(html)
+        assert html_extract.main_text(re.sub(r"</?(article|main)\b[^>]*>", "<div>", html)) == text
+        assert html_extract.main_text(re.sub(r"\s(class|id|role)=(\"[^\"]*\"|[^\s>]+)", "", html.partition("</article>")[0])) == text
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p", ""), ("<article><p>cut &am", "cut &am"), ("<article><p>a < b &lt; c</p>", "a < b < c"), ("<article><!-- x", ""), ("<nav>never closed <article>text</article>", "text"), ("<article><script>x", "")])
 def test_broken_pages(page, text):
     assert html_extract.main_text(page) == text
