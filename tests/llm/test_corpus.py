@@ -386,6 +386,55 @@ def test_reordered_items_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(df, bench).collect()} == expected
 
 
+def test_items_with_words_put_in_and_taken_out(spark):
+    rng = random.Random(44)
+    items = [(i, [f"i{i}x{j}" for j in range(n)]) for i, n in enumerate([200, 120, 80, 60])]
+    first = items[0][1]
+    docs = [(0, " ".join([f"a{j}" for j in range(40)] + ["c"] * 8 + first[8:100] + [f"n{j}" for j in range(16)] + first[100:192] + ["d"] * 8 + [f"b{j}" for j in range(40)]))]
+    for k in range(1, 40):
+        w = list(items[k % 4][1])
+        for _ in range(rng.randint(1, 4)):
+            at, m = rng.randrange(len(w)), rng.randint(1, 8)
+            if rng.random() < 0.5:
+                w[at:at] = [f"n{k}x{j}" for j in range(m)]
+            else:
+                del w[at : at + m]
+        docs.append((k, " ".join([f"d{k}x{j}" for j in range(rng.choice([0, 30]))] + w + [f"e{k}x{j}" for j in range(rng.choice([0, 30]))])))
+    runs = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    expected = {}
+    for d, t in docs:
+        w = words(t)
+        for i, want in items:
+            n, target = min(len(want), len(w)), runs(want)
+            best = max(sum((runs(w[s : s + n]) & target).values()) / sum((runs(w[s : s + n]) | target).values()) for s in range(len(w) - n + 1))
+            if best >= 0.8:
+                expected[d, i] = round(best, 6)
+    assert expected[0, 0] == pytest.approx(0.8148, abs=1e-4) and len(expected) > 10
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(df, bench).collect()} == expected
+
+
+@pytest.mark.parametrize("n", [30, 100, 400])
+def test_radius_holds_windows_at_the_limit(spark, n):
+    rng = random.Random(n)
+    some = lambda k: [rng.getrandbits(63) for _ in range(k)]
+    rows = []
+    for _ in range(400):
+        base = some(n)
+        rows.append((base, some(n // 9) + base[n // 9 :]))  # n - n/9 of n + n/9 shingles are shared: 0.8 and little more
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    found = df.select(decontam.weighted_jaccard(F.col("a"), F.col("b")).alias("j"), (F.bit_count(decontam._fingerprint(F.col("a")).bitwiseXOR(decontam._fingerprint(F.col("b")))) <= decontam.RADIUS).alias("near")).collect()
+    assert all(0.8 <= r["j"] < 0.85 for r in found) and sum(r["near"] for r in found) >= 0.98 * len(found)
+
+
+def test_weighted_jaccard_counts_repeats(spark):
+    rng = random.Random(4)
+    rows = [([rng.randint(0, 5) for _ in range(rng.randint(1, 9))], [rng.randint(0, 5) for _ in range(rng.randint(1, 9))]) for _ in range(200)]
+    for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontam.weighted_jaccard(F.col("a"), F.col("b")).alias("j")).collect():
+        a, b = Counter(r["a"]), Counter(r["b"])
+        assert r["j"] == pytest.approx(sum((a & b).values()) / sum((a | b).values()))
+
+
 def test_index_finds_every_fingerprint_in_the_radius(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) - 2**63 for _ in range(20)]
