@@ -9,8 +9,9 @@ runs of two; texts just above, which can be linked with shorter ones, use both.
 Of each bucket (band key), all texts are compared with one of them, its centre. That puts large groups together at a
 cost linear in a bucket's size. The rest is exact: the texts of buckets that still hold several groups are dealt to
 blocks, near ones together and none with more than BLOCK_WORDS words but for a single text; linked texts must share so
-many pairs of neighbouring words that one is among the rarest of each, so the blocks that share such a pair make a
-tile, and in each tile all texts of different groups whose lengths and words allow it are aligned. Only links leave a
+many pairs of neighbouring words that a good part is among the rarest of each, so the blocks that share as many of these
+make a tile, and in each tile all texts of different groups whose lengths and words allow it are aligned. Only texts that
+share as much with the other block go to a tile. Only links leave a
 tile. No link between two texts of one bucket is lost, whatever its size; a text travels once per tile, not once per
 pair. Two texts are linked if their word edit distance is at most ``1 - similarity`` of the longer one's length, found
 by alignment within that band of diagonals. Classes are the connected components, named by their least doc_id.
@@ -268,18 +269,24 @@ def _slots(grams: np.ndarray) -> np.ndarray:
     return (grams & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def shared_least(n):
+    """How many of their rarest pairs of words two linked texts share, by the shorter one's number of words."""
+    return n // 8 + 1
+
+
 def rarest(words: bytes, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The rarest of a text's labelled pairs of words: so many that a linked text has one of them among its own. Pairs
-    that no other text has are left out.
+    """The rarest of a text's labelled pairs of words: so many that a linked text has shared_least() of them among its
+    own. Pairs that no other text has are left out.
 
     An edit changes two pairs at most. Of texts of n <= m words that are linked, with m - 1 and n - 1 pairs, at least
-    m - 1 - 2 (1 - similarity) m >= (2 similarity - 1) n - 1 are therefore shared.
+    m - 1 - 2 (1 - similarity) m >= (2 similarity - 1) n - 1 are therefore shared; of the pairs in one order for all
+    texts, as many as are not needed for that, and t more, hold at least t that are.
     """
     own = _grams(words)
     n = len(own) + 1
     least = max(1, int(np.ceil((2 * similarity - 1) * n - 1 - 1e-9)))
     often = counts[_slots(own)]
-    order = np.lexsort((own, often))[: max(0, n - least)]
+    order = np.lexsort((own, often))[: max(0, n - 1 - least + shared_least(n))]
     return own[order][often[order] > 1].view(np.int64)
 
 
@@ -336,20 +343,26 @@ def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity:
             found = [rarest(w, counts.value, similarity) for w in frame["words"]]
             row = np.repeat(np.arange(len(frame)), [len(f) for f in found])
             if len(row):
-                yield pd.DataFrame({"gram": np.concatenate(found), "component": frame["component"].to_numpy()[row], "block": frame["block"].to_numpy()[row]})
+                yield pd.DataFrame({"gram": np.concatenate(found), "node": frame["node"].to_numpy()[row], "component": frame["component"].to_numpy()[row], "block": frame["block"].to_numpy()[row]})
 
-    rare = written(members.mapInPandas(run, "gram long, component long, block long"), "rare", batch=1000)
+    rare = written(members.mapInPandas(run, "gram long, node long, component long, block long"), "rare", batch=1000)
     several = rare.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("gram")
-    held = written(rare.join(several, "gram", "left_semi").select("gram", "block").distinct(), "held")
-    tiles = held.toDF("gram", "low").join(held.toDF("gram", "high"), "gram").where("low <= high").select("low", "high").distinct()
-    tiles = written(tiles.select(F.xxhash64("low", "high").alias("tile"), "low", "high"), "tiles")
-    sides = tiles.select("tile", F.col("low").alias("block")).union(tiles.select("tile", F.col("high").alias("block"))).distinct()
+    held = rare.join(several, "gram", "left_semi").select("gram", "node", "block")
+    others = held.select("gram", F.col("block").alias("other")).distinct()
+    sizes = written(members.select("node", "block", (F.length("words") / 4).cast("int").alias("n")), "sizes")
+    shortest = sizes.groupBy("block").agg(F.min("n").alias("m")).withColumnRenamed("block", "other")
+    # a text goes where it meets a block that shares enough with it
+    alike = held.join(others, "gram").groupBy("node", "other").agg(F.count("*").alias("shared"))
+    alike = alike.join(sizes, "node").join(shortest, "other").where("shared > least(n, m) div 8")  # shared_least()
+    sides = written(alike.select("node", "block", "other", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("tile")), "sides")
+    tiles = sides.groupBy("tile").agg(F.count("*").alias("k"), F.max(F.col("block") == F.col("other")).alias("own"), F.min("block").alias("low"), F.max("block").alias("high")).where("k > 1 and (own or low != high)")
+    sides = sides.join(tiles.select("tile"), "tile", "left_semi").select("node", "tile")
 
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(links_of(frame, similarity), columns=["a", "b"]).astype("int64")
 
     # tiles are few bytes and much work, so their number of tasks is not left to sizes
-    dealt = members.join(sides, "block").repartition(partitions(members.sparkSession), "tile")
+    dealt = members.join(sides, "node").repartition(partitions(members.sparkSession), "tile")
     return written(dealt.groupBy("tile").applyInPandas(tile, "a long, b long"), "rest")
 
 
