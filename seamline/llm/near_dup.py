@@ -46,8 +46,9 @@ BANDS, TAKEN = 112, 2
 SHORT, SHORT_SHINGLE, SHORT_BANDS = 64, 2, 24
 #: Words of a block of texts that are compared with each other and other blocks; counters of a text's words there.
 BLOCK_WORDS, WORD_SLOTS = 200_000, 2048
-#: Counters of how many texts have a pair of words. They only order the pairs: that decides the cost, never the result.
-SLOTS, PARTS = 1 << 22, 64
+#: Counters, up to 255, of how many texts have a pair of words. They only order the pairs: that decides the cost, never
+#: the result.
+SLOTS, PARTS = 1 << 24, 64
 #: Ids are broadcast up to this many (8 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Partners of a text that share one task's copy of its words.
@@ -248,21 +249,22 @@ def _counts(members: DataFrame) -> np.ndarray:
     each task sends its counts, mostly zeros, compressed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, "<u4")
+        total = np.zeros(SLOTS, np.uint32)
         for frame in frames:
-            np.add.at(total, _slots(np.concatenate([_grams(w) for w in frame["words"]])), 1)
+            slots, counts = np.unique(_slots(np.concatenate([_grams(w) for w in frame["words"]])), return_counts=True)
+            total[slots] += counts.astype(np.uint32)
         press = zstandard.ZstdCompressor(3)
-        yield pd.DataFrame({"part": range(PARTS), "counts": [press.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in np.split(total, PARTS)]})
+        yield pd.DataFrame({"part": range(PARTS), "counts": [press.compress(x.tobytes()) for x in np.split(np.minimum(total, 255).astype(np.uint8), PARTS)]})
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS // PARTS, np.int64)
         for frame in frames:
             for x in frame["counts"]:
-                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
-        yield pd.DataFrame({"part": [int(key[0])], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+        yield pd.DataFrame({"part": [int(key[0])], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
 
     rows = members.select("words").mapInPandas(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], "<u4") for r in sorted(rows, key=lambda r: r["part"])] or [np.zeros(SLOTS, "<u4")])
+    return np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in sorted(rows, key=lambda r: r["part"])] or [np.zeros(SLOTS, np.uint8)])
 
 
 def _slots(grams: np.ndarray) -> np.ndarray:
@@ -323,9 +325,11 @@ def links_of(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """members (node, component, home, n, words) with block: texts of one home in as many blocks as their words need."""
+    """members (node, component, home, n) with block and its shortest text's m words: texts of one home in as many blocks
+    as their words need."""
     need = members.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_WORDS).alias("k"))
-    return members.join(need, "home").select("node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), "k")).alias("block"), "words")
+    dealt = members.join(need, "home").select("node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), "k")).alias("block"), "n")
+    return dealt.join(dealt.groupBy("block").agg(F.min("n").alias("m")), "block")
 
 
 def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -335,7 +339,8 @@ def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity:
     rows = entries.join(grouped, "node", "left").select("bucket", "node", "centre", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("m > 2 and c1 != c2").select("bucket")
     nodes = rows.join(mixed, "bucket", "left_semi").groupBy("node", "component").agg(F.min("centre").alias("home"))
-    members = written(_blocks(words.join(nodes, "node")), "members", batch=1000)
+    blocks = written(_blocks(nodes.join(words.select("node", "n"), "node")), "blocks")
+    members = written(words.select("node", "words").join(blocks, "node"), "members")
     counts = members.sparkSession.sparkContext.broadcast(_counts(members))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,17 +348,15 @@ def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity:
             found = [rarest(w, counts.value, similarity) for w in frame["words"]]
             row = np.repeat(np.arange(len(frame)), [len(f) for f in found])
             if len(row):
-                yield pd.DataFrame({"gram": np.concatenate(found), "node": frame["node"].to_numpy()[row], "component": frame["component"].to_numpy()[row], "block": frame["block"].to_numpy()[row]})
+                yield pd.DataFrame({"gram": np.concatenate(found), "node": frame["node"].to_numpy()[row], "component": frame["component"].to_numpy()[row], "block": frame["block"].to_numpy()[row], "n": frame["n"].to_numpy()[row], "m": frame["m"].to_numpy()[row]})
 
-    rare = written(members.mapInPandas(run, "gram long, node long, component long, block long"), "rare", batch=1000)
+    rare = written(members.mapInPandas(run, "gram long, node long, component long, block long, n int, m int"), "rare", batch=1000)
     several = rare.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("gram")
-    held = rare.join(several, "gram", "left_semi").select("gram", "node", "block")
-    others = held.select("gram", F.col("block").alias("other")).distinct()
-    sizes = written(members.select("node", "block", (F.length("words") / 4).cast("int").alias("n")), "sizes")
-    shortest = sizes.groupBy("block").agg(F.min("n").alias("m")).withColumnRenamed("block", "other")
+    held = rare.join(several, "gram", "left_semi")
+    others = held.groupBy("gram", F.col("block").alias("other")).agg(F.first("m").alias("m"))
     # a text goes where it meets a block that shares enough with it
-    alike = held.join(others, "gram").groupBy("node", "other").agg(F.count("*").alias("shared"))
-    alike = alike.join(sizes, "node").join(shortest, "other").where("shared > least(n, m) div 8")  # shared_least()
+    alike = held.select("gram", "node", "block", "n").join(others, "gram").groupBy("node", "block", "n", "other").agg(F.count("*").alias("shared"), F.first("m").alias("m"))
+    alike = alike.where("shared > least(n, m) div 8")  # shared_least()
     sides = written(alike.select("node", "block", "other", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("tile")), "sides")
     tiles = sides.groupBy("tile").agg(F.count("*").alias("k"), F.max(F.col("block") == F.col("other")).alias("own"), F.min("block").alias("low"), F.max("block").alias("high")).where("k > 1 and (own or low != high)")
     sides = sides.join(tiles.select("tile"), "tile", "left_semi").select("node", "tile")
