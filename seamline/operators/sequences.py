@@ -10,51 +10,47 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentences
 
-UNIT = "struct<start:double,end:double,text:string>"
-
-
 def sentence_units(cues: DataFrame, seq: str = "lecture_id", order: str = "block_id") -> DataFrame:
     """seq, sentence_id, start, end, text: each cue's sentences, with the cue's time shared out by length.
 
     Times run on from sentence to sentence, and the last one ends when its cue does. A cue without sentences gives none.
     """
-    parts = cues.withColumn("_parts", sentences(F.col("text"))).where(F.size("_parts") > 0)
-    total = F.aggregate("_parts", F.lit(0), lambda a, x: a + F.length(x))
-    shared = F.aggregate(
-        F.sequence(F.lit(1), F.size("_parts")),
-        F.struct(F.col("start").cast("double").alias("at"), F.array().cast(f"array<{UNIT}>").alias("out")),
-        lambda a, i: F.struct(
-            _share(a, i, total).alias("at"),
-            F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), F.when(i == F.size("_parts"), F.col("end").cast("double")).otherwise(_share(a, i, total)).alias("end"), F.element_at("_parts", i).alias("text")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    rows = parts.select(seq, order, F.posexplode(shared).alias("_pos", "_u"))
-    number = F.row_number().over(Window.partitionBy(seq).orderBy(order, "_pos")) - 1
-    return rows.select(seq, number.cast("int").alias("sentence_id"), "_u.start", "_u.end", "_u.text")
-
-
-def _share(a, i, total):
-    return a["at"] + (F.col("end") - F.col("start")) * (F.length(F.element_at("_parts", i)).cast("double") / total)
+    parts = cues.select(seq, order, F.col("start").cast("double").alias("_s"), F.col("end").cast("double").alias("_e"), sentences(F.col("text")).alias("_parts"))
+    # what a cue says once is computed once, before it is cut up
+    cue = parts.withColumn("_total", F.aggregate("_parts", F.lit(0), lambda a, x: a + F.length(x))).withColumn("_n", F.size("_parts")).withColumn("_cue", F.monotonically_increasing_id())
+    rows = cue.select(seq, order, "_s", "_e", "_total", "_n", "_cue", F.posexplode("_parts").alias("_pos", "text"))
+    share = (F.col("_e") - F.col("_s")) * (F.length("text").cast("double") / F.col("_total"))
+    running = Window.partitionBy(seq, order, "_cue").orderBy("_pos")
+    before = F.coalesce(F.sum(share).over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    to = F.when(F.col("_pos") == F.col("_n") - 1, F.col("_e")).otherwise(F.col("_s") + F.sum(share).over(running.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = rows.select(seq, order, "_cue", "_pos", (F.col("_s") + before).alias("start"), to.alias("end"), "text")
+    number = F.row_number().over(Window.partitionBy(seq).orderBy(order, "_cue", "_pos")) - 1
+    return timed.select(seq, number.cast("int").alias("sentence_id"), "start", "end", "text")
 
 
 def merge_short(units: DataFrame, least: int = 25, seq: str = "lecture_id") -> DataFrame:
     """Units of fewer than ``least`` characters take in what follows until they are long enough; a short last one stays.
 
-    A left fold over one sequence's units: a sequence is one document, whose units fit a task.
+    A unit that is long enough by itself ends whatever it is in, so a sequence is cut behind each of these into runs
+    that are short however long the sequence. Only lengths are folded over a run: to the places where a group ends.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("sentence_id", "start", "end", "text")))
-    none = F.lit(None).cast(UNIT)
+    w = Window.partitionBy(seq).orderBy("sentence_id")
+    size = F.length("text")
+    runs = units.withColumn("_run", F.coalesce(F.sum((size >= least).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lengths = runs.groupBy(seq, "_run").agg(F.array_sort(F.collect_list(F.struct("sentence_id", size.alias("n")))).alias("_u"))
 
     def step(a, x):
-        grown = F.when(a["held"].isNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))).otherwise(F.struct(a["held"]["start"].alias("start"), x["end"].alias("end"), F.concat_ws(" ", a["held"]["text"], x["text"]).alias("text")))
-        full = F.length(grown["text"]) >= least
-        return F.struct(F.when(full, F.concat(a["out"], F.array(grown))).otherwise(a["out"]).alias("out"), F.when(~full, grown).alias("held"))
-
-    start = F.struct(F.array().cast(f"array<{UNIT}>").alias("out"), none.alias("held"))
-    folded = F.aggregate("_units", start, step, lambda a: F.when(a["held"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["held"]))))
-    rows = units.groupBy(seq).agg(ordered.alias("_units")).select(seq, F.posexplode(folded).alias("sentence_id", "_u"))
-    return rows.select(seq, "sentence_id", "_u.start", "_u.end", "_u.text")
+        held = F.when(a["held"] < 0, x["n"]).otherwise(a["held"] + 1 + x["n"])
+        full = held >= least
+        return F.struct(F.when(full, F.concat(a["ends"], F.array(x["sentence_id"]))).otherwise(a["ends"]).alias("ends"), F.when(full, F.lit(-1)).otherwise(held).alias("held"))
+
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(-1).alias("held"))
+    ends = lengths.select(seq, F.explode(F.aggregate("_u", start, step, lambda a: a["ends"])).alias("sentence_id"), F.lit(1).alias("_end"))
+    marked = units.join(ends, [seq, "sentence_id"], "left")
+    grouped = marked.withColumn("_group", F.coalesce(F.sum("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_id", "text"))), lambda x: x["text"]), " ")
+    rows = grouped.groupBy(seq, "_group").agg(F.min_by("start", "sentence_id").alias("start"), F.max_by("end", "sentence_id").alias("end"), texts.alias("text"))
+    return rows.select(seq, F.col("_group").cast("int").alias("sentence_id"), "start", "end", "text")
 
 
 def sliding_windows(units: DataFrame, width: int, stride: int = 1, seq: str = "lecture_id") -> DataFrame:
