@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import distance_bucket, exact_round
 from .temporal_joins import anti, nearest
 
-MATCHES = "array<struct<gt_index:int,gt_time:double,pred_index:int,pred_time:double,abs_error_sec:double>>"
+def _take_nearest(p_times: np.ndarray, g_times: np.ndarray, g_index: np.ndarray, tolerance: float) -> list[int]:
+    """For each prediction in turn the place of the truth that it takes, or -1. Truths lie in order of time, then index.
+
+    Of the free truths only the next on either side can be nearest; both are found by pointers that skip those taken.
+    """
+    n = len(g_times)
+    up, down = list(range(n + 1)), list(range(n + 1))  # next free place from here on; and one more than the last before
+
+    def find(link: list[int], i: int) -> int:
+        while link[i] != i:
+            link[i] = link[link[i]]
+            i = link[i]
+        return i
+
+    out = []
+    for t, at in zip(p_times.tolist(), np.searchsorted(g_times, p_times).tolist()):
+        after, before = find(up, at), find(down, at) - 1
+        if before >= 0:  # of equal times the lowest index
+            before = find(up, int(np.searchsorted(g_times, g_times[before])))
+        sides = [(abs(float(g_times[k]) - t), int(g_index[k]), k) for k in (before, after) if 0 <= k < n and abs(float(g_times[k]) - t) <= tolerance]
+        if not sides:
+            out.append(-1)
+            continue
+        k = min(sides)[2]
+        up[k], down[k + 1] = k + 1, k
+        out.append(k)
+    return out
 
 
 def greedy_match(preds: DataFrame, truths: DataFrame, tolerance: float = 30.0, seq: str = "lecture_id") -> DataFrame:
@@ -18,7 +46,8 @@ def greedy_match(preds: DataFrame, truths: DataFrame, tolerance: float = 30.0, s
     within the tolerance (inclusive); of equals the one of lower index. Greedy, so not the largest matching.
 
     Where predictions and truths leave a gap of more than the tolerance, no choice on one side bears on the other, so a
-    sequence is cut there and each part matched on its own.
+    sequence is cut there and each part matched on its own. A part without such a gap is one row of its times and
+    indices; each prediction's choice takes next to constant time in it, however dense.
     """
     p = preds.select(seq, F.col("time").cast("double").alias("t"), F.lit(1).alias("is_pred"), F.col("pred_index").cast("int").alias("i"))
     g = truths.select(seq, F.col("time").cast("double").alias("t"), F.lit(0).alias("is_pred"), F.col("gt_index").cast("int").alias("i"))
@@ -27,16 +56,16 @@ def greedy_match(preds: DataFrame, truths: DataFrame, tolerance: float = 30.0, s
     both = p.union(g).withColumn("_new", new).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = both.groupBy(seq, "_part").agg(
         F.array_sort(F.collect_list(F.when(F.col("is_pred") == 1, F.struct("i", "t")))).alias("_p"),
-        F.array_sort(F.collect_list(F.when(F.col("is_pred") == 0, F.struct("i", "t")))).alias("_g"),
+        F.array_sort(F.collect_list(F.when(F.col("is_pred") == 0, F.struct("t", "i")))).alias("_g"),
     ).where((F.size("_p") > 0) & (F.size("_g") > 0))
 
-    def step(done, x):
-        free = F.filter("_g", lambda g: (F.abs(g["t"] - x["t"]) <= tolerance) & ~F.exists(done, lambda m: m["gt_index"] == g["i"]))
-        best = F.array_min(F.transform(free, lambda g: F.struct(F.abs(g["t"] - x["t"]).alias("d"), g["i"].alias("i"), g["t"].alias("t"))))
-        row = F.struct(best["i"].alias("gt_index"), best["t"].alias("gt_time"), x["i"].alias("pred_index"), x["t"].alias("pred_time"), best["d"].alias("abs_error_sec"))
-        return F.when(best.isNull(), done).otherwise(F.concat(done, F.array(row)))
+    @F.pandas_udf("array<int>")
+    def take(p_times: pd.Series, g_times: pd.Series, g_index: pd.Series) -> pd.Series:
+        return pd.Series([_take_nearest(np.asarray(a, float), np.asarray(b, float), np.asarray(c), tolerance) for a, b, c in zip(p_times, g_times, g_index)])
 
-    return parts.select(seq, F.explode(F.aggregate("_p", F.array().cast(MATCHES), step)).alias("_m")).select(seq, "_m.*")
+    taken = parts.withColumn("_k", take(F.col("_p.t"), F.col("_g.t"), F.col("_g.i")))
+    rows = taken.select(seq, "_g", F.explode(F.arrays_zip("_p", "_k")).alias("_m")).where("_m._k >= 0").select(seq, F.col("_m._p").alias("p"), F.element_at("_g", F.col("_m._k") + 1).alias("g"))
+    return rows.select(seq, F.col("g.i").alias("gt_index"), F.col("g.t").alias("gt_time"), F.col("p.i").alias("pred_index"), F.col("p.t").alias("pred_time"), F.abs(F.col("g.t") - F.col("p.t")).alias("abs_error_sec"))
 
 
 def ratio(a: Column, b: Column) -> Column:

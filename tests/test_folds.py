@@ -149,3 +149,30 @@ def plain_merge(segs):
             three.append(a)
             i += 1
     return three
+
+
+def test_greedy_choices_equal_a_plain_search():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(300):
+        p = [float(rng.randint(0, 40)) for _ in range(rng.randint(1, 15))]
+        truths = sorted((float(rng.randint(0, 40)), i) for i in rng.sample(range(50), rng.randint(1, 15)))
+        free, expected = set(range(len(truths))), []
+        for t in p:
+            near = [(abs(truths[k][0] - t), truths[k][1], k) for k in free if abs(truths[k][0] - t) <= 6]
+            expected.append(min(near)[2] if near else -1)
+            free.discard(expected[-1])
+        assert E._take_nearest(np.array(p), np.array([t for t, _ in truths]), np.array([i for _, i in truths]), 6.0) == expected
+
+
+def test_dense_matching_is_quick(spark):
+    import time
+
+    times = spark.range(2000).selectExpr("'x' as lecture_id", "id * 1.0D as time", "cast(id as int) as pred_index", "cast(id as int) as gt_index")
+    E.greedy_match(times.limit(1), times.limit(1)).count()
+    began = time.perf_counter()
+    assert E.greedy_match(times, times.withColumn("time", times["time"] + 0.4)).count() == 2000
+    assert time.perf_counter() - began < 10
