@@ -55,9 +55,42 @@ def hms_nearest(seconds: Column) -> Column:
     return _hms(F.bround(seconds, 0).cast("long"))
 
 
+def _centis(seconds: Column) -> Column:
+    return F.bround(seconds * 100, 0).cast("long")
+
+
 def minutes_centis(seconds: Column) -> Column:
-    """MM:SS.cc, minutes unbounded."""
-    return F.format_string("%02d:%05.2f", F.floor(seconds / 60), seconds - F.floor(seconds / 60) * 60)
+    """MM:SS.cc of the nearest hundredth, minutes unbounded."""
+    c = _centis(seconds)
+    return F.format_string("%02d:%02d.%02d", F.floor(c / 6000), F.floor(c % 6000 / 100), c % 100)
+
+
+def millis_centis(millis: Column) -> Column:
+    """MM:SS.cc of milliseconds."""
+    return minutes_centis(millis / 1000)
+
+
+def hms_centis(seconds: Column) -> Column:
+    """HH:MM:SS.cc of the nearest hundredth."""
+    c = _centis(seconds)
+    return F.format_string("%02d:%02d:%02d.%02d", F.floor(c / 360000), F.floor(c % 360000 / 6000), F.floor(c % 6000 / 100), c % 100)
+
+
+def signed(x: Column, digits: int = 4) -> Column:
+    """The number with its sign and so many digits."""
+    return F.format_string(f"%+.{digits}f", x)
+
+
+def named(value: Column, names: dict[str, str], otherwise: str | None = None) -> Column:
+    """The label that a value has in a map of display names; another value stays, or gets ``otherwise``."""
+    out = value if otherwise is None else F.lit(otherwise)
+    for key, name in names.items():
+        out = F.when(value == key, name).otherwise(out)
+    return out
+
+
+def tick(flag: Column, yes: str = "\u2713", no: str = "\u00d7") -> Column:
+    return F.when(flag, yes).otherwise(no)
 
 
 def any_cue(text: Column, patterns: list[str]) -> Column:

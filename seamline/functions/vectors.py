@@ -14,6 +14,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
 
 
+def dissimilarity(similarity: Column) -> Column:
+    """1 - similarity, for curves whose peaks are boundaries."""
+    return F.lit(1.0) - similarity
+
+
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
     """Cosine similarity, 0 if either vector is 0. Norms that are at hand need not be computed again."""
     size = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as X
+from ..functions.vectors import dissimilarity
 from ..operators import evaluate as E
 from ..operators import folds, sequences, signals
 from ..operators import temporal_joins as J
@@ -485,12 +486,6 @@ def macro_average(spark, sf):
     return found.select("setting", *(F.round(c, 3).alias(c) for c in ("avg_precision", "avg_recall", "avg_f1")), "avg_pred_count", "n")
 
 
-@_query(f"WITH RECURSIVE {_SWEEP}, x AS (SELECT setting, coalesce(max(round(f1, 6)) FILTER (user_id = 1), 0) AS \"1\", coalesce(max(round(f1, 6)) FILTER (user_id = 2), 0) AS \"2\", coalesce(max(round(f1, 6)) FILTER (user_id = 3), 0) AS \"3\" FROM sweep GROUP BY setting) SELECT *, round((\"1\" + \"2\" + \"3\") / 3, 6) AS avg_f1 FROM x")
-def f1_pivot(spark, sf):
-    rows = _sweep(spark, sf).withColumn("f1", F.round("f1", 6))
-    return E.pivot_f1(rows, "setting", [1, 2, 3]).withColumn("avg_f1", F.round("avg_f1", 6))
-
-
 _F1_COLUMNS = ", ".join(f"coalesce(max(round(f1, 6)) FILTER (setting = 'd{int(d)}'), 0) AS d{int(d)}" for d in _DISTANCES)
 
 
@@ -534,14 +529,19 @@ def _rx(pattern: str) -> str:
 
 _LABEL_SQL = "CASE WHEN length(trim(text)) < 16 OR " + " OR ".join(f"regexp_matches(trim(text), '(?i){_rx(p)}')" for p in L.EXCLUDED) + " THEN NULL " + " ".join(f"WHEN regexp_matches(text, '(?i){_rx(p)}') THEN '{n}'" for n, p in L.CLASSES) + " END"
 _TOPIC_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_rx(p)}') THEN '{n}'" for p, n in L.TOPICS) + " WHEN contains(lower(text), 'example') THEN 'Worked Example' WHEN regexp_matches(lower(text), 'define|definition|what is') THEN 'Concept Definition' ELSE 'General Explanation' END"
+_KEPT_SQL = ", ".join(f"'{t}'" for t in L.KEPT_TOPICS)
+_SCHEMA_SQL = f"""CASE WHEN raw IN ({_KEPT_SQL}) THEN raw WHEN label = 'A_Concept_Introduction' AND regexp_matches(lower(text), 'definition|what is') THEN 'Concept Definition'
+      WHEN label = 'A_Concept_Introduction' THEN 'Core Concept' WHEN label = 'B_Worked_Example' THEN 'Worked Example' WHEN label = 'C_Explanation_Shift_Major' THEN 'Theory-to-Practice Shift'
+      WHEN label = 'D_Practical_Important_Point' THEN 'Practical Guidance' WHEN label = 'E1_High_Value_QA' AND regexp_matches(lower(text), 'how do|how to') THEN 'Technical Clarification'
+      WHEN label = 'E1_High_Value_QA' THEN 'High-value Clarification' WHEN label = 'E2_Minor_QA' THEN 'Minor Clarification' ELSE 'General Topic' END"""
 
 
 @_query(f"""
     WITH {_E}, c AS (SELECT user_id, event_id, {_SPEECH_SQL} AS text FROM e), l AS (SELECT *, {_LABEL_SQL} AS cls, {_TOPIC_SQL} AS raw FROM c)
-    SELECT user_id, event_id, CASE WHEN cls <> 'E_High_Value_QA' THEN cls WHEN CAST(length(text) >= 45 AS INTEGER) + CAST(regexp_matches(lower(text), '{"|".join(L.QA_TERMS)}') AS INTEGER) + CAST(raw NOT IN ('Student Clarification', 'General Explanation') AS INTEGER) >= 2 THEN 'E1_High_Value_QA' ELSE 'E2_Minor_QA' END AS label, raw AS raw_topic FROM l WHERE cls IS NOT NULL""")
+    SELECT user_id, event_id, label, raw AS raw_topic, {_SCHEMA_SQL} AS topic FROM (SELECT user_id, event_id, text, raw, CASE WHEN cls <> 'E_High_Value_QA' THEN cls WHEN CAST(length(text) >= 45 AS INTEGER) + CAST(regexp_matches(lower(text), '{"|".join(L.QA_TERMS)}') AS INTEGER) + CAST(raw NOT IN ('Student Clarification', 'General Explanation') AS INTEGER) >= 2 THEN 'E1_High_Value_QA' ELSE 'E2_Minor_QA' END AS label FROM l WHERE cls IS NOT NULL)""")
 def draft_labels(spark, sf):
     rows = experiments.draft_labels(_speech(spark, sf))
-    return rows.select(F.col("lecture_id").alias("user_id"), F.col("idx").alias("event_id"), "label", L.topic(F.col("text")).alias("raw_topic"))
+    return rows.select(F.col("lecture_id").alias("user_id"), F.col("idx").alias("event_id"), "label", L.topic(F.col("text")).alias("raw_topic"), "topic")
 
 
 @_query()
@@ -583,3 +583,45 @@ def id_difference(spark, sf):
 def frame_silence(spark, sf):
     frames = _events(spark, sf).select(F.col("user_id").alias("seq_id"), F.floor(F.col("t") * 1000).alias("ms"), F.col("value").alias("energy"))
     return transcripts.audio_frames_silence(frames).withColumnRenamed("seq_id", "user_id")
+
+
+@_query(f"""
+    WITH {_E}, x AS (SELECT event_id, value, CAST(round_even(value * 100, 0) AS BIGINT) AS c, CAST(floor(value * 1000) AS BIGINT) AS ms FROM e)
+    SELECT event_id, printf('%02d:%02d.%02d', c // 6000, c % 6000 // 100, c % 100) AS mmss, printf('%02d:%02d:%02d.%02d', c // 360000, c % 360000 // 6000, c % 6000 // 100, c % 100) AS hmsc,
+      CASE WHEN value <= 10 THEN 'yes' ELSE 'no' END AS flag, round(CAST(c AS DOUBLE) / 100, 2) AS back, 1.0 - value AS inverted FROM x""")
+def time_display(spark, sf):
+    """Clock formats of two and three parts with hundredths, and the two-part clock with a comma read back."""
+    v = F.col("value")
+    mmss = X.minutes_centis(v)
+    back = F.round(X.clock_seconds(F.replace(mmss, F.lit("."), F.lit(","))), 2)
+    return _events(spark, sf).select("event_id", mmss.alias("mmss"), X.hms_centis(v).alias("hmsc"), X.tick(v <= 10, "yes", "no").alias("flag"), back.alias("back"), dissimilarity(v).alias("inverted"))
+
+
+@_query(r"""
+    WITH t AS (SELECT conv_id, turn, '<b>"' || text || '" & ' || role AS raw FROM conversations),
+    p AS (SELECT *, trim(regexp_replace(raw, '[^A-Za-z0-9 ,.''-]', '', 'g')) AS plain FROM t)
+    SELECT conv_id, turn, replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+      CASE WHEN length(plain) > 80 THEN rtrim(plain[:77]) || '...' ELSE plain END AS note, try_cast(conv_id || '.5' AS DOUBLE) AS number, coalesce(try_cast('x' || conv_id AS DOUBLE), -1.0) AS none FROM p""")
+def note_text(spark, sf):
+    raw = F.concat(F.lit('<b>"'), "text", F.lit('" & '), "role")
+    number = F.concat(F.col("conv_id").cast("string"), F.lit(".5"))
+    return _table(spark, sf, "conversations").select("conv_id", "turn", X.html_escape(raw).alias("escaped"), X.short_note(raw).alias("note"), X.safe_double(number).alias("number"), X.safe_double(F.concat(F.lit("x"), F.col("conv_id").cast("string")), -1.0).alias("none"))
+
+
+@_query(f"""
+    WITH {_PG}, d AS (SELECT p.user_id, p.pred_index, min(abs(g.time - p.time)) AS d FROM p LEFT JOIN g ON g.user_id = p.user_id GROUP BY ALL)
+    SELECT user_id, pred_index, CASE WHEN d IS NULL THEN 'no' WHEN d <= 3600 THEN 'near' ELSE 'far' END AS kind, round(86400 - d, 3) AS delta FROM d""")
+def proximity_kind(spark, sf):
+    """Notes on the nearest truth by their beginning, and the difference to a reference distance."""
+    right = _truths(spark, sf).select("user_id", F.col("time").alias("r_time"), F.col("gt_index").alias("r_idx"))
+    near = J.nearest(_preds(spark, sf), right, "user_id")
+    note = X.proximity_note(F.col("distance"), 3600.0)
+    kind = F.when(note == "no", "no").when(F.startswith(note, F.lit("yes")), "near").otherwise("far")
+    return near.select("user_id", "pred_index", kind.alias("kind"), F.round(86400 - F.col("distance"), 3).alias("delta"))
+
+
+@_query(f"WITH {_E} SELECT user_id, count(*) FILTER (event_type = 'click') AS dips, count(*) FILTER (event_type = 'view') AS slides, count(*) FILTER (event_type = 'error') AS markers FROM e WHERE event_type IN ('click', 'view', 'error') GROUP BY user_id")
+def stage_counts(spark, sf):
+    rows = _events(spark, sf)
+    of = {"dips": "click", "slides": "view", "markers": "error"}
+    return experiments.stage_counts({name: rows.where(F.col("event_type") == kind) for name, kind in of.items()}, "user_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -196,3 +197,71 @@ def top_candidates(edges: DataFrame, most: int) -> DataFrame:
     """The ``most`` lowest similarities of each lecture."""
     w = Window.partitionBy("lecture_id").orderBy("similarity", "left_window_id")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+# ---- sweeps from cues to tables of results
+
+def _edges_of(cues: DataFrame, embed: Callable[[DataFrame], DataFrame], representation: str, size: float) -> DataFrame:
+    return signals.adjacent_similarity(embed(windows_from_cues(cues, representation, size)))
+
+
+def representation_sweep(cues: DataFrame, truths: DataFrame, embed: Callable[[DataFrame], DataFrame], settings: list[tuple[str, float]] | None = None, threshold: float = 0.55, distance: float = 20.0, tolerance: float = 30.0) -> DataFrame:
+    """Reports of each representation (``sentence`` or ``time``) and size: windows, edges, dips, spacing, matching.
+    embed gives windows their embeddings."""
+    settings = settings or [("sentence", 5), ("time", 10.0)]
+    names = [f"{kind}_{size:g}" for kind, size in settings]
+    found = [semantic_boundaries(_edges_of(cues, embed, kind, size), threshold, distance=distance).select(F.lit(n).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for n, (kind, size) in zip(names, settings)]
+    return score_settings(_union(found), truths, cues.sparkSession.createDataFrame([(n,) for n in names], "setting string"), tolerance)
+
+
+def window_sweep(cues: DataFrame, truths: DataFrame, embed: Callable[[DataFrame], DataFrame], sizes: list[int] | None = None, **how: float) -> DataFrame:
+    """Reports of sentence windows of each size."""
+    return representation_sweep(cues, truths, embed, [("sentence", n) for n in sizes or [1, 3, 5, 7, 10]], **how)
+
+
+def prominence_sweep(edges: DataFrame, cues: DataFrame, truths: DataFrame, least: list[float] | None = None, tolerance: float = 30.0, **gate: float) -> tuple[DataFrame, DataFrame]:
+    """Reports of gated dips for each least prominence, and how many lectures each improves on the first."""
+    names = {setting_id("F2", p=x): x for x in least or [0.0, 0.02, 0.04, 0.06, 0.08]}
+    found = [marker_gated(edges, cues, least_prominence=x, **gate).select(F.lit(n).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for n, x in names.items()]
+    rows = score_settings(_union(found), truths, edges.sparkSession.createDataFrame([(n,) for n in names], "setting string"), tolerance)
+    return rows, E.improvements(rows, rows.where(F.col("setting") == next(iter(names))), "setting")
+
+
+#: Slide variants: rule and distance of slides. Fixed values.
+SLIDE_VARIANTS = [("or", 20.0), ("or", 30.0), ("and", 20.0)]
+
+
+def slide_sweep(edges: DataFrame, cues: DataFrame, slides: DataFrame, truths: DataFrame, reference_f1: float, variants: list[tuple[str, float]] | None = None, tolerance: float = 30.0, **gate: float) -> tuple[DataFrame, DataFrame]:
+    """Reports of each way to join slides in, and each one's macro average with its difference to a reference F1."""
+    variants = variants or SLIDE_VARIANTS
+    names = [f"{rule.upper()}{window:g}" for rule, window in variants]
+    found = [marker_gated(edges, cues, slides=slides, slide_rule=rule, slide_window=window, **gate).select(F.lit(n).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for n, (rule, window) in zip(names, variants)]
+    rows = score_settings(_union(found), truths, edges.sparkSession.createDataFrame([(n,) for n in names], "setting string"), tolerance)
+    return rows, delta_to(E.macro_average(rows, "setting"), "avg_f1", reference_f1)
+
+
+def delta_to(rows: DataFrame, value: str, reference: float) -> DataFrame:
+    """rows with ``delta``: how far a value lies over a reference, to 4 digits."""
+    return rows.withColumn("delta", F.round(F.col(value) - F.lit(reference), 4))
+
+
+def stage_counts(stages: dict[str, DataFrame], seq: str = "lecture_id") -> DataFrame:
+    """A row per sequence, a column per stage: how many rows of the stage it has, 0 where it has none."""
+    long = _union([rows.select(seq, F.lit(name).alias("stage")) for name, rows in stages.items()])
+    return long.groupBy(seq).pivot("stage", list(stages)).count().na.fill(0, list(stages))
+
+
+def compare_truths(preds: DataFrame, old: DataFrame, new: DataFrame, tolerance: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """Predictions (setting, lecture_id, time) under two versions of the truth: metrics side by side with differences
+    for each setting and lecture, and their means for each setting."""
+    settings = preds.select("setting").distinct()
+    detail = E.compare_versions(*(score_settings(preds, t, settings, tolerance) for t in (old, new)), "setting", "lecture_id")
+    means = [F.avg(c).alias(c) for c in detail.columns if c not in ("setting", "lecture_id")]
+    return detail, detail.groupBy("setting").agg(F.count("*").alias("lectures"), *means)
+
+
+def silence_segments(truths: DataFrame, silences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Silences in each segment between truths, and for each truth the nearest silence with its signed distance."""
+    right = silences.select("lecture_id", F.col("time").alias("r_time"), F.row_number().over(Window.partitionBy("lecture_id").orderBy("time")).alias("r_idx"))
+    near = J.nearest(truths, right, tie="later").withColumn("signed", F.col("r_time") - F.col("time"))
+    return J.segments(truths, silences), near.select("lecture_id", "gt_index", "time", F.col("r_time").alias("silence"), "signed")

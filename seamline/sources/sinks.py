@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,9 +38,23 @@ def overwrite_partitions(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def html_table(df: DataFrame, best: str | None = None, most: int = 1000) -> str:
-    """A small table as HTML, the row with the greatest value of ``best`` (first of equals) in a highlighted row."""
-    rows = df.limit(most).collect()
+def pretty_json(df: DataFrame) -> str:
+    """A small table as one JSON document, a list of indented records in which characters stay as they are. The rows go
+    through the driver one partition at a time."""
+    rows = ",\n".join("\n".join("  " + line for line in json.dumps(json.loads(r[0]), indent=2, ensure_ascii=False).split("\n")) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator())
+    return f"[\n{rows}\n]" if rows else "[]"
+
+
+def preview(items: Column, most: int = 8) -> Column:
+    """The first of an array's items, and how many more there are."""
+    shown = F.array_join(F.slice(items, 1, most), ", ")
+    more = F.size(items) - most
+    return F.when(more > 0, F.concat(shown, F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(shown)
+
+
+def html_table(df: DataFrame, best: str | None = None) -> str:
+    """A report's table as HTML, all its rows, the one with the greatest value of ``best`` (first of equals) highlighted."""
+    rows = list(df.toLocalIterator())
     values = [r[best] if best else None for r in rows]
     top = max((v for v in values if v is not None), default=None)
     first = values.index(top) if top is not None else -1
@@ -48,10 +63,17 @@ def html_table(df: DataFrame, best: str | None = None, most: int = 1000) -> str:
     return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
 
-def markdown_review(df: DataFrame, title: str, snippet: str = "snippet", most: int = 1000, longest: int = 12_000) -> str:
+def html_report(title: str, tables: dict[str, tuple[DataFrame, str | None]]) -> str:
+    """A page with a section per table (rows, column whose greatest value is highlighted)."""
+    parts = "".join(f"<h2>{escape(name)}</h2>{html_table(df, best)}" for name, (df, best) in tables.items())
+    style = "body{font-family:sans-serif}td,th{border:1px solid #ccc;padding:3px 8px}.best{background:#dfd}"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title><style>{style}</style></head><body><h1>{escape(title)}</h1>{parts}</body></html>'
+
+
+def markdown_review(df: DataFrame, title: str, snippet: str = "snippet", longest: int = 12_000) -> str:
     """A review sheet: a section per row with its fields and its snippet, cut at ``longest`` characters."""
     out = [f"# {title}", ""]
-    for row in df.limit(most).collect():
+    for row in df.toLocalIterator():
         x = row.asDict()
         out += [f"## {x.get('rank', '')}. {x.get('pred_time_hms', '')}".rstrip(), ""]
         out += [f"- **{k}**: {v}" for k, v in x.items() if k != snippet] + ["", "> " + str(x.get(snippet) or "")[:longest], ""]

@@ -41,7 +41,9 @@ def read_cues(spark: SparkSession, path: str, cleaning: str = "tags", drop_empty
     return cues.select("lecture_id", number.cast("int").alias("block_id"), "start", "end", "text")
 
 
-def _lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, suffix: str, optional: bool = False) -> DataFrame:
+    if optional and not exists(spark, path):
+        return spark.createDataFrame([], "lecture_id string, line int, value string")
     return _whole(spark, path, suffix).select("lecture_id", F.posexplode(F.split("body", "\n")).alias("line", "value")).withColumn("value", F.trim("value"))
 
 
@@ -49,14 +51,14 @@ def _numbered(rows: DataFrame, name: str, *order: str) -> Column:
     return (F.row_number().over(Window.partitionBy("lecture_id").orderBy(*order)) - 1).cast("int").alias(name)
 
 
-def read_boundaries(spark: SparkSession, path: str, suffix: str = "_boundaries", lenient: bool = False, strip_prefix: bool = False) -> DataFrame:
+def read_boundaries(spark: SparkSession, path: str, suffix: str = "_boundaries", lenient: bool = False, strip_prefix: bool = False, optional: bool = False) -> DataFrame:
     """lecture_id, gt_index, time, time_str, title of annotation files (``HH:MM:SS title``); other lines are dropped.
 
     File order is kept; lenient takes one-digit hours, needs a title and sorts by time; strip_prefix takes a leading
-    ``L<n>:`` off titles and sorts too.
+    ``L<n>:`` off titles and sorts too. With optional, files that do not exist give an empty table.
     """
     pattern = r"^(\d{1,2}:\d{2}:\d{2})\s+(.+)$" if lenient else r"^(\d{2}:\d{2}:\d{2})\s+(.*)$"
-    rows = _lines(spark, path, suffix).withColumn("time_str", F.regexp_extract("value", pattern, 1)).where("time_str != ''")
+    rows = _lines(spark, path, suffix, optional).withColumn("time_str", F.regexp_extract("value", pattern, 1)).where("time_str != ''")
     title = F.trim(F.regexp_extract("value", pattern, 2))
     if strip_prefix:
         title = F.regexp_replace(title, r"^L\d+:\s*", "")
@@ -82,9 +84,10 @@ def read_silences(spark: SparkSession, path: str, suffix: str = "_pred") -> Data
 
 
 def read_slides(spark: SparkSession, path: str, suffix: str = "_slides") -> DataFrame:
-    """lecture_id, time of slide changes: a leading HH:MM:SS; blank and # lines are skipped."""
+    """lecture_id, time of slide changes: a leading HH:MM:SS; blank and # lines are skipped. Files that do not exist give
+    an empty table."""
     found = F.regexp_extract("value", r"^(\d{1,2}:\d{2}:\d{2})", 1)
-    return _lines(spark, path, suffix).select("lecture_id", clock_seconds(F.when(found != "", found)).alias("time")).where("time is not null")
+    return _lines(spark, path, suffix, True).select("lecture_id", clock_seconds(F.when(found != "", found)).alias("time")).where("time is not null")
 
 
 def scene_times(log: DataFrame) -> DataFrame:
@@ -125,6 +128,12 @@ def read_csv(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def silence_marks(frames: DataFrame, below: float = 16.0, least_ms: int = 1000) -> DataFrame:
+    """seq_id, ms: the middles of quiet stretches, and a leading 0 for each sequence."""
+    found = audio_frames_silence(frames, below, least_ms).select("seq_id", F.col("mid_ms").alias("ms"))
+    return frames.select("seq_id", F.lit(0).cast("long").alias("ms")).distinct().union(found)
+
+
 def audio_frames_silence(frames: DataFrame, below: float = 16.0, least_ms: int = 1000) -> DataFrame:
     """seq_id, start_ms, end_ms, mid_ms of quiet stretches in a table of frames (seq_id, ms, energy in dB).
 

@@ -82,3 +82,27 @@ def test_silence_and_slides(spark, lecture):
     assert got == {5.0: 2, 10.0: 2, 15.0: 2}
     log = spark.createDataFrame([("l1", "pts_time:1.5 pts_time:2.0\npts_time:30")], "lecture_id string, value string")
     assert [r["line"] for r in X.slide_changes(log).orderBy("time").collect()] == ["00:00:02", "00:00:30"]
+
+
+def test_sweeps_from_cues(lecture, edges):
+    cues, truths, slides = lecture
+    model = lambda windows: embed(windows, lambda: lambda texts: np.array([[len(t) % 7, len(t) % 5 + 0.1] for t in texts], float))
+    assert {r["setting"] for r in X.representation_sweep(cues, truths, model, threshold=0.99).collect()} == {"sentence_5", "time_10"}
+    assert {r["setting"] for r in X.window_sweep(cues, truths, model, [1, 3], threshold=0.99).collect()} == {"sentence_1", "sentence_3"}
+    rows, better = X.prominence_sweep(edges, cues, truths, [0.0, 0.5], threshold=0.999)
+    assert rows.count() == 2 and {(r["setting"], r["improved"] + r["worse"] + r["unchanged"]) for r in better.collect()} == {("F2_p00", 1), ("F2_p05", 1)}
+    rows, means = X.slide_sweep(edges, cues, slides, truths, 0.25, threshold=0.999)
+    assert {r["setting"] for r in rows.collect()} == {"OR20", "OR30", "AND20"}
+    assert all(r["delta"] == pytest.approx(r["avg_f1"] - 0.25) for r in means.collect())
+
+
+def test_versions_of_the_truth_and_silence(spark, lecture):
+    _, truths, slides = lecture
+    preds = spark.createDataFrame([("a", "l1", 2.0), ("a", "l1", 100.0)], "setting string, lecture_id string, time double")
+    detail, means = X.compare_truths(preds, truths, truths.withColumn("time", truths["time"] + 40))
+    row = detail.first()
+    assert (row["precision_orig"], row["recall_corrected"], row["delta_f1"]) == (0.5, 0.5, 0.0) and means.first()["lectures"] == 1
+    segments, near = X.silence_segments(truths, slides)
+    assert sum(r["n"] for r in segments.collect()) == 1
+    assert {r["gt_index"]: r["signed"] for r in near.collect()} == {0: 58.0, 1: -2.0}
+    assert X.stage_counts({"truths": truths, "slides": slides}).first().asDict() == {"lecture_id": "l1", "truths": 2, "slides": 1}

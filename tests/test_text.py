@@ -85,3 +85,26 @@ def test_keyed_replace_and_report(spark):
     assert {tuple(r) for r in sinks.replace_keyed(old, new, "k").collect()} == {("a", 1), ("b", 3)}
     page = sinks.html_table(new, "v")
     assert 'class="best"' in page and "<td>3</td>" in page
+
+
+def test_optional_files_and_sinks(spark, tmp_path):
+    import json
+
+    assert transcripts.read_slides(spark, f"file://{tmp_path}/none_slides.txt").count() == 0
+    assert transcripts.read_boundaries(spark, f"file://{tmp_path}/none.txt", strip_prefix=True, optional=True).count() == 0
+    df = spark.createDataFrame([("\u00e9", 1), (None, 2)], "k string, v int")
+    text = sinks.pretty_json(df)
+    assert json.loads(text) == [{"k": "\u00e9", "v": 1}, {"k": None, "v": 2}] and "\u00e9" in text and '\n    "v": 1' in text
+    assert sinks.pretty_json(df.where("false")) == "[]"
+    assert spark.range(1).select(sinks.preview(F.array(*map(F.lit, range(10)))).alias("p")).first()["p"] == "0, 1, 2, 3, 4, 5, 6, 7 (+2 more)"
+    assert sinks.html_table(spark.range(1500)).count("<tr>") == 1501
+    page = sinks.html_report("A & B", {"one": (df, "v"), "two": (df, None)})
+    assert "A &amp; B" in page and page.count("<h2>") == 2 and page.count('class="best"') == 1
+
+
+def test_display_formats(spark):
+    x = spark.createDataFrame([(59.999, "E1", 0.5)], "s double, e string, d double")
+    r = x.select(X.minutes_centis(F.col("s")).alias("a"), X.hms_centis(F.col("s") + 3600).alias("b"), X.signed(F.col("d")).alias("c"), X.named(F.col("e"), {"E1": "Semantic"}).alias("d"), X.tick(F.col("d") > 1).alias("e"), X.millis_centis(F.lit(61_990)).alias("f")).first()
+    assert tuple(r) == ("01:00.00", "01:01:00.00", "+0.5000", "Semantic", "\u00d7", "01:01.99")
+    frames = spark.createDataFrame([("a", i * 100, -60.0 if 20 <= i < 40 else 0.0) for i in range(100)], "seq_id string, ms long, energy double")
+    assert sorted(r["ms"] for r in transcripts.silence_marks(frames).collect()) == [0, 2950]
