@@ -6,8 +6,8 @@ plain stochastic gradient descent in numpy on a sample bounded by ``per_lang``,
 kept back calibrates the scores, and the rejection threshold is the score that all but ``reject_rate`` of that part's
 right answers reach.
 
-Nulls: a null text, or one without a letter, is ``und`` with score 0 and is rejected. A null lang is never learned
-from; a null doc_id is neither learned from nor held out. Repeated rows each get the same prediction; a tie goes to
+Nulls: a null text, or one without a letter, is ``und`` with score 0 and is rejected. A null lang or text is never
+learned from; a null doc_id is neither learned from nor held out. Repeated rows each get the same prediction; a tie goes to
 the language that sorts first. An empty table, or one without labels, gives ``und`` for every row. Input columns other
 than doc_id, text and lang are not read.
 """
@@ -161,7 +161,7 @@ def sample(docs: DataFrame, per_lang: int = 1000, most_texts: int = 24_000, long
     """The texts to learn from: of each language about ``per_lang`` different ones, chosen by a hash, less where that
     makes more than ``most_texts`` (but 16 at least); of each a stretch of ``longest`` characters at most, from a place
     chosen by the hash. So the driver gets some 100 MB at most, up to 1500 languages; every language is learned."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return []

@@ -487,3 +487,22 @@ def test_queries_equal_sql(spark):
         pick = lambda cols, rows: sorted(tuple(repr(r[cols.index(c)]) for c in sorted(cols)) for r in rows)
         assert sorted(names) == sorted(df.columns)
         assert pick(df.columns, df.collect()) == pick(names, cur.fetchall()), name
+
+
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "the null id of a text that is here", None, None, None), (9001, None, "en", None, 0), (9002, "", None, "s", 0), (9003, "\U0001f600", None, "s", 1)], docs.schema)
+    rows = docs.unionByName(odd).unionByName(odd).withColumn("score", F.lit("clash")).withColumn("class_id", F.lit("clash")).withColumn("node", F.lit("clash"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, rows, SF)
+        assert out.columns == rows.columns
+        rows = spark.createDataFrame(out.collect(), rows.schema)
+    kept = [r["doc_id"] for r in rows.collect()]
+    assert not {9001, 9002, 9003} & set(kept) and len(kept) > 20
+    assert {r["doc_id"] for r in P.STAGES[-1][1](spark, rows, SF).collect()} == set(kept)
+    empty = rows.where("false")
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, SF).count() == 0
