@@ -536,15 +536,50 @@ _SCHEMA_SQL = f"""CASE WHEN raw IN ({_KEPT_SQL}) THEN raw WHEN label = 'A_Concep
       WHEN label = 'E1_High_Value_QA' THEN 'High-value Clarification' WHEN label = 'E2_Minor_QA' THEN 'Minor Clarification' ELSE 'General Topic' END"""
 
 
-@_query(f"""
-    WITH {_E}, c AS (SELECT user_id, event_id, {_SPEECH_SQL} AS text FROM e), l AS (SELECT *, {_LABEL_SQL} AS cls, {_TOPIC_SQL} AS raw FROM c)
-    SELECT user_id, event_id, label, raw AS raw_topic, {_SCHEMA_SQL} AS topic FROM (SELECT user_id, event_id, text, raw, CASE WHEN cls <> 'E_High_Value_QA' THEN cls WHEN CAST(length(text) >= 45 AS INTEGER) + CAST(regexp_matches(lower(text), '{"|".join(L.QA_TERMS)}') AS INTEGER) + CAST(raw NOT IN ('Student Clarification', 'General Explanation') AS INTEGER) >= 2 THEN 'E1_High_Value_QA' ELSE 'E2_Minor_QA' END AS label FROM l WHERE cls IS NOT NULL)""")
+_DRAFT_SQL = f"""
+    c AS (SELECT user_id, event_id, t / 600 AS t, {_SPEECH_SQL} AS text FROM e), l AS (SELECT *, {_LABEL_SQL} AS cls, {_TOPIC_SQL} AS raw FROM c),
+    v AS (SELECT user_id, event_id, t, text, raw, CASE WHEN cls <> 'E_High_Value_QA' THEN cls WHEN CAST(length(text) >= 45 AS INTEGER) + CAST(regexp_matches(lower(text), '{"|".join(L.QA_TERMS)}') AS INTEGER) + CAST(raw NOT IN ('Student Clarification', 'General Explanation') AS INTEGER) >= 2 THEN 'E1_High_Value_QA' ELSE 'E2_Minor_QA' END AS label FROM l WHERE cls IS NOT NULL),
+    k AS (SELECT *, {_SCHEMA_SQL} AS topic FROM v)"""
+
+
+@_query(f"WITH {_E}, {_DRAFT_SQL} SELECT user_id, event_id, label, raw AS raw_topic, topic FROM k")
 def draft_labels(spark, sf):
     rows = experiments.draft_labels(_speech(spark, sf))
     return rows.select(F.col("lecture_id").alias("user_id"), F.col("idx").alias("event_id"), "label", L.topic(F.col("text")).alias("raw_topic"), "topic")
 
 
-@_query()
+_RANK_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in folds.PRIORITY.items()) + " ELSE 0 END"
+_FAMILY_SQL = "({0} = {1} OR {0} IN (" + (_f := ", ".join(f"'{t}'" for t in L.CONCEPT_FAMILY)) + ") AND {1} IN (" + _f + "))"
+
+
+def _chain_sql(join: str, merged: str) -> str:
+    """Fold of xs in which b[1] takes the place of a[-1], as ``merged``, where ``join`` holds, or is appended."""
+    return f"list_reduce(list_transform(xs, lambda x: [x]), lambda a, b: CASE WHEN {join} THEN list_concat(a[:-2], [{merged}]) ELSE list_concat(a, b) END)"
+
+
+def _segment_sql(first: str, topic: str, text: str, label: str | None = None) -> str:
+    return f"{{'time': {first}.time, 'label': {label or first + '.label'}, 'topic': {topic}, 'text': {text}}}"
+
+
+_NOTES_SQL = "a[-1].text || ' || ' || b[1].text"
+_EITHER_SQL = "CASE WHEN 'AI Definition' IN ({0}.topic, {1}.topic) THEN 'AI Definition' {2} END"
+_MERGE_SQL = f"""
+    s0 AS (SELECT user_id, list({{'time': t, 'label': label, 'topic': topic, 'text': text}} ORDER BY t, event_id) AS xs FROM k GROUP BY user_id),
+    s1 AS (SELECT user_id, list_reduce(list_transform(xs, lambda x: [x]), lambda a, b: CASE WHEN b[1].time - a[-1].time >= 25 THEN list_concat(a, b)
+      WHEN {_RANK_SQL.format("b[1].label")} > {_RANK_SQL.format("a[-1].label")} THEN list_concat(a[:-2], b) ELSE a END) AS xs FROM s0),
+    s2 AS (SELECT user_id, {_chain_sql("b[1].label = a[-1].label AND b[1].topic = a[-1].topic AND b[1].time - a[-1].time <= 90", _segment_sql("a[-1]", "a[-1].topic", _NOTES_SQL))} AS xs FROM s1),
+    s3 AS (SELECT user_id, {_chain_sql("starts_with(a[-1].label, 'A_') AND starts_with(b[1].label, 'A_') AND " + _FAMILY_SQL.format("a[-1].topic", "b[1].topic") + " AND b[1].time - a[-1].time <= 240",
+      _segment_sql("a[-1]", _EITHER_SQL.format("a[-1]", "b[1]", f"WHEN a[-1].topic IN ({_f}) THEN a[-1].topic ELSE b[1].topic"), _NOTES_SQL))} AS xs FROM s2),
+    s4 AS (SELECT user_id, xs, list_filter(range(1, len(xs) - 1), lambda i: starts_with(xs[i].label, 'A_') AND xs[i + 1].label = 'E2_Minor_QA' AND starts_with(xs[i + 2].label, 'A_')
+      AND xs[i + 2].time - xs[i].time <= 180 AND {_FAMILY_SQL.format("xs[i].topic", "xs[i + 2].topic")}) AS hits FROM s3),
+    s5 AS (SELECT user_id, xs, CASE WHEN len(hits) > 0 THEN list_reduce(list_transform(hits, lambda i: [i]), lambda a, b: CASE WHEN b[1] >= a[-1] + 3 THEN list_concat(a, b) ELSE a END) ELSE hits END AS hits FROM s4),
+    s6 AS (SELECT user_id, list_transform(list_filter(range(1, len(xs) + 1), lambda i: NOT list_contains(hits, i - 1) AND NOT list_contains(hits, i - 2)), lambda i: CASE WHEN list_contains(hits, i)
+      THEN {_segment_sql("xs[i]", _EITHER_SQL.format("xs[i]", "xs[i + 2]", "ELSE xs[i].topic"), "xs[i].text || ' || ' || xs[i + 1].text || ' || ' || xs[i + 2].text", "'A_Concept_Introduction'")} ELSE xs[i] END) AS xs FROM s5)"""
+
+
+@_query(f"""
+    WITH {_E}, {_DRAFT_SQL}, {_MERGE_SQL}, n AS (SELECT user_id, generate_subscripts(xs, 1) AS seg_index, unnest(xs) AS s FROM s6)
+    SELECT user_id, CAST(seg_index AS INTEGER) AS seg_index, round(s.time, 3) AS time, s.label AS label, s.topic AS topic, s.text AS text FROM n""")
 def label_merge(spark, sf):
     merged = folds.merge_labels(experiments.draft_labels(_speech(spark, sf)))
     return merged.select(F.col("lecture_id").alias("user_id"), "seg_index", F.round("time", 3).alias("time"), "label", "topic", "text")

@@ -30,10 +30,6 @@ def test_query_equals_sql(spark, con, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == expected
 
 
-def test_label_merge_has_rows(spark):
-    assert catalogue.QUERIES["label_merge"](spark, SF).count() > 0
-
-
 def test_f1_matrix_has_every_user(spark):
     users = {r["lecture_id"] for r in catalogue._sweep(spark, SF).select("lecture_id").distinct().collect()}
     assert len(users) > 3
