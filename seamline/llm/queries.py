@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
+def _claimed(names: list[str], size: int) -> str:
+    """The lookup table as a list literal, made without the operator's code: claims in rounds of one for each shard."""
+    starts = [int(sha256(x.encode()).hexdigest()[:16], 16) % size for x in names]
+    steps = [int(sha256(x.encode()).hexdigest()[16:32], 16) % (size - 1) + 1 for x in names]
+    owner: dict[int, int] = {}
+    while len(owner) < size:
+        for shard in range(min(len(names), size - len(owner))):
+            while starts[shard] in owner:
+                starts[shard] = (starts[shard] + steps[shard]) % size
+            owner[starts[shard]] = shard
+    return "[" + ",".join(str(owner[slot]) for slot in range(size)) + "]"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_sharding": f"""
+        WITH t AS (SELECT {_claimed(SHARDS, sharding.TABLE_SIZE)} AS owners),
+        d AS (SELECT doc_id, CAST(CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), chr(0)))[1:8] AS BIGINT) % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents),
+        s AS (SELECT unnest(range({sharding.TABLE_SIZE})) AS slot, unnest(owners) AS shard FROM t)
+        SELECT d.doc_id, d.slot, CAST(s.shard AS INTEGER) AS shard FROM d JOIN s ON s.slot = d.slot
+    """,
     "op5_lm_scoring": """
         WITH d AS (
           SELECT row_number() OVER () AS r, doc_id,
