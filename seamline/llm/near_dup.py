@@ -352,7 +352,7 @@ def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity:
 
     rare = written(members.mapInPandas(run, "gram long, node long, component long, block long, n int, m int"), "rare", batch=1000)
     several = rare.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("gram")
-    held = rare.join(several, "gram", "left_semi")
+    held = written(rare.join(several, "gram", "left_semi"), "held")  # read twice
     others = held.groupBy("gram", F.col("block").alias("other")).agg(F.first("m").alias("m"))
     # a text goes where it meets a block that shares enough with it
     alike = held.select("gram", "node", "block", "n").join(others, "gram").groupBy("node", "block", "n", "other").agg(F.count("*").alias("shared"), F.first("m").alias("m"))
