@@ -8,7 +8,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, language_id, lm_scoring, near_dup, packing, sharding, token_store, topk_search, url_filter
+from . import centroids, decontam, html_extract, language_id, lm_scoring, near_dup, packing, sharding, token_store, topk_search, url_filter
 from .common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -73,6 +73,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256.0, seed="2:")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
@@ -84,8 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op11_centroids": op11_centroids,
 }
 
+
 def _claimed(names: list[str], size: int) -> str:
     """The lookup table as a list literal, made without the operator's code: claims in rounds of one for each shard."""
     starts = [int(sha256(x.encode()).hexdigest()[:16], 16) % size for x in names]
@@ -99,7 +105,36 @@ def _claimed(names: list[str], size: int) -> str:
     return "[" + ",".join(str(owner[slot]) for slot in range(size)) + "]"
 
 
+def _lloyd_sql(k: int, rounds: int, dim: int) -> str:
+    """Every round spelled out: distances to all centroids, the nearest, floors of the means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (
+          SELECT r, (min({{'d': d, 'c': c}})).c AS c, min(d) AS d
+          FROM (SELECT v.r, c{i}.c, CAST(list_sum(list_transform(list_zip(v.e, c{i}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i})
+          GROUP BY r)""")
+        if i < rounds:
+            means = ", ".join(f"CAST(sum(e[{j}]) // count(*) - CASE WHEN sum(e[{j}]) < 0 AND sum(e[{j}]) % count(*) <> 0 THEN 1 ELSE 0 END AS BIGINT)" for j in range(1, dim + 1))
+            steps.append(f"""
+        m{i} AS (SELECT a{i}.c, [{means}] AS e FROM a{i} JOIN v USING (r) GROUP BY a{i}.c),
+        c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return f"""
+        WITH v AS MATERIALIZED (
+          SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+          FROM embeddings
+          WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+          SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), e) - 1 AS INTEGER) AS c, e
+          FROM v WHERE vec_id IS NOT NULL QUALIFY c < {k}),{",".join(steps)}
+        SELECT v.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} ON a.c = c{rounds}.c
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": _lloyd_sql(40, 5, 64),
     "op6_sharding": f"""
         WITH t AS (SELECT {_claimed(SHARDS, sharding.TABLE_SIZE)} AS owners),
         d AS (SELECT doc_id, CAST(CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), chr(0)))[1:8] AS BIGINT) % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents),
