@@ -104,7 +104,8 @@ def lloyd(vectors: DataFrame, id_col: str, vector: str, k: int = 40, rounds: int
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             kept, x = quantized(frame["vec_id"], frame["x"], dim, scale)
-            yield pd.DataFrame({"vec_id": kept.astype("Int64").to_numpy(), "v": list(x)})
+            if len(x):
+                yield pd.DataFrame({"vec_id": kept.astype("Int64").array, "v": list(x)})
 
     rows = written(ids.mapInPandas(whole, "vec_id long, v array<long>"), "vectors")
     centroids = first_centroids(rows, k, seed)
