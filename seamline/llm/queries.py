@@ -8,7 +8,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontam, html_extract, language_id, lm_scoring, near_dup, packing, sharding, token_store, topk_search, url_filter
+from . import centroids, decontam, html_extract, language_id, lm_scoring, near_dup, packing, prefix_trie, sharding, token_store, topk_search, toxicity, url_filter
 from .common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -77,6 +77,16 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256.0, seed="2:")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("at", "subtree_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
@@ -89,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
     "op11_centroids": op11_centroids,
+    "op12_toxicity": op12_toxicity,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -133,7 +145,40 @@ def _lloyd_sql(k: int, rounds: int, dim: int) -> str:
     """
 
 
+def _crc32(digits: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII, bit by bit."""
+    step = "list_reduce(list_concat([xor(c, b)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    codes = f"list_transform(string_split({digits}, ''), lambda d: CAST(ord(d) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: {step}), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_prefix_trie": f"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT conv_id, turn, length(text) AS n_chars, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)[1:32] AS t FROM t),
+        o AS (SELECT conv_id, t, n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS pos FROM k),
+        c AS (SELECT conv_id, conv_id - conv_id % 100 AS head, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM k)),
+        g AS (SELECT c.*, least(h, (SELECT count(*) FROM o WHERE o.conv_id = c.head)) AS given FROM c),
+        r AS (
+          SELECT g.conv_id, o.pos, o.t, o.n_chars FROM g JOIN o ON o.conv_id = g.head AND o.pos <= g.h
+          UNION ALL
+          SELECT g.conv_id, o.pos - g.h + g.given, o.t, o.n_chars FROM g JOIN o ON o.conv_id = g.conv_id AND o.pos > g.h),
+        p AS (
+          SELECT conv_id, pos AS depth, n_chars, string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r
+          UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        n AS (SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(n_chars) AS n_chars, count(*) AS n_convs FROM p GROUP BY path),
+        kids AS (SELECT path[:-33] AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+        above AS (SELECT path, n_convs, n_chars, unnest(list_transform(range(CAST(depth + 1 AS BIGINT)), lambda d: left(path, 32 * d))) AS top FROM n),
+        sums AS (
+          SELECT top, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((n_convs - 1) * n_chars) AS saved
+          FROM above LEFT JOIN kids USING (path) GROUP BY top),
+        ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, sums.n_leaves,
+               CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+        FROM n JOIN sums ON sums.top = n.path LEFT JOIN kids ON kids.path = n.path LEFT JOIN ends ON ends.path = n.path
+        LEFT JOIN n parent ON n.depth > 0 AND parent.path = n.path[:-33]
+    """,
     "op11_centroids": _lloyd_sql(40, 5, 64),
     "op6_sharding": f"""
         WITH t AS (SELECT {_claimed(SHARDS, sharding.TABLE_SIZE)} AS owners),
