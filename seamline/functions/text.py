@@ -34,11 +34,16 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def clock_seconds(clock: Column) -> Column:
-    """Seconds of HH:MM:SS or MM:SS (fraction after . or ,); null for anything else."""
+def clock_seconds(clock: Column, strict: bool = False) -> Column:
+    """Seconds of HH:MM:SS or MM:SS (fraction after . or ,). Anything else is null; with strict it stops the job, and
+    only null stays null."""
     parts = F.split(F.replace(F.trim(clock), F.lit(","), F.lit(".")), ":")
     total = F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60.0 + x.try_cast("double"))
-    return F.when(F.size(parts).isin(2, 3), total)
+    found = F.when(F.size(parts).isin(2, 3), total)
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("not a clock time: "), clock)).cast("double")
+        found = F.when(clock.isNotNull(), F.coalesce(found, wrong))
+    return found
 
 
 def _hms(whole: Column) -> Column:
@@ -66,8 +71,9 @@ def minutes_centis(seconds: Column) -> Column:
 
 
 def millis_centis(millis: Column) -> Column:
-    """MM:SS.cc of milliseconds."""
-    return minutes_centis(millis / 1000)
+    """MM:SS.cc of milliseconds, the seconds rounded by their exact binary value, so that 59.999 s are 00:60.00."""
+    s = millis / 1000
+    return F.concat(F.format_string("%02d:", F.floor(s / 60)), F.lpad(exact_text(s % 60, 2), 5, "0"))
 
 
 def hms_centis(seconds: Column) -> Column:
@@ -114,12 +120,18 @@ def distance_bucket(distance: Column, tolerance: float = 30.0, middle: float = 1
 
 
 def proximity_note(delta: Column, window: float) -> Column:
-    return F.when(delta.isNull(), "no").when(delta <= window, F.format_string("yes Δ=%.1fs", delta)).otherwise(F.format_string("no (nearest %.0fs)", delta))
+    near, far = F.concat(F.lit("yes Δ="), exact_text(delta, 1), F.lit("s")), F.concat(F.lit("no (nearest "), exact_text(delta, 0), F.lit("s)"))
+    return F.when(delta.isNull(), "no").when(delta <= window, near).otherwise(far)
+
+
+def exact_text(x: Column, digits: int) -> Column:
+    """A number with so many digits, rounded by its exact binary value, halves to even."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
 
 
 def exact_round(x: Column, digits: int) -> Column:
     """Rounded by the exact binary value, halves to even, as binary-exact formatting has it."""
-    return F.replace(F.format_number(x, digits), F.lit(","), F.lit("")).cast("double")
+    return exact_text(x, digits).cast("double")
 
 
 def short_note(text: Column, most: int = 80) -> Column:

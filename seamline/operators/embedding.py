@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def embed(windows: DataFrame, make_model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> DataFrame:
-    """windows with ``embedding`` (array<float>). make_model runs once per task on a worker and returns a function from
-    texts to a matrix; a null text is embedded as the empty string."""
+    """windows with ``embedding`` (array<float>). make_model runs once in a worker, which keeps the model for the batches
+    and tasks that follow, and returns a function from texts to a matrix; a null text is embedded as the empty string."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make_predict() -> Callable[[np.ndarray], np.ndarray]:
         model = make_model()
-        for frame in frames:
-            texts = ["" if t is None else t for t in frame["text"].tolist()]
-            vectors = [v for at in range(0, len(texts), batch) for v in np.asarray(model(texts[at : at + batch]), np.float32)]
-            yield frame.assign(embedding=vectors)
+        return lambda texts: np.asarray(model([str(t) for t in texts]), np.float32)
 
-    windows = windows.drop("embedding")
-    return windows.mapInPandas(run, f"{windows._jdf.schema().toDDL()}, embedding array<float>")
+    vector = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch)
+    return windows.drop("embedding").withColumn("embedding", vector(F.coalesce("text", F.lit(""))))

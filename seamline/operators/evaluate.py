@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import distance_bucket, exact_round
+from .keys import Param, value
 from .temporal_joins import anti, nearest
 
+
 def _take_nearest(p_times: np.ndarray, g_times: np.ndarray, g_index: np.ndarray, tolerance: float) -> list[int]:
     """For each prediction in turn the place of the truth that it takes, or -1. Truths lie in order of time, then index.
 
@@ -39,7 +41,7 @@ def _take_nearest(p_times: np.ndarray, g_times: np.ndarray, g_index: np.ndarray,
     return out
 
 
-def greedy_match(preds: DataFrame, truths: DataFrame, tolerance: float = 30.0, seq: str = "lecture_id") -> DataFrame:
+def greedy_match(preds: DataFrame, truths: DataFrame, tolerance: Param = 30.0, seq: str = "lecture_id") -> DataFrame:
     """seq, gt_index, gt_time, pred_index, pred_time, abs_error_sec.
 
     Predictions (time, pred_index) in order of pred_index each take the nearest truth (time, gt_index) that is free and
@@ -47,23 +49,24 @@ def greedy_match(preds: DataFrame, truths: DataFrame, tolerance: float = 30.0, s
 
     Where predictions and truths leave a gap of more than the tolerance, no choice on one side bears on the other, so a
     sequence is cut there and each part matched on its own. A part without such a gap is one row of its times and
-    indices; each prediction's choice takes next to constant time in it, however dense.
+    indices; each prediction's choice takes next to constant time in it, however dense. The tolerance may be a column of
+    both tables that each sequence has one value of.
     """
-    p = preds.select(seq, F.col("time").cast("double").alias("t"), F.lit(1).alias("is_pred"), F.col("pred_index").cast("int").alias("i"))
-    g = truths.select(seq, F.col("time").cast("double").alias("t"), F.lit(0).alias("is_pred"), F.col("gt_index").cast("int").alias("i"))
+    p = preds.select(seq, F.col("time").cast("double").alias("t"), F.lit(1).alias("is_pred"), F.col("pred_index").cast("int").alias("i"), value(tolerance).alias("_tol"))
+    g = truths.select(seq, F.col("time").cast("double").alias("t"), F.lit(0).alias("is_pred"), F.col("gt_index").cast("int").alias("i"), value(tolerance).alias("_tol"))
     w = Window.partitionBy(seq).orderBy("t", "is_pred", "i")
-    new = F.coalesce(F.col("t") - F.lag("t").over(w) > tolerance, F.lit(True)).cast("int")
+    new = F.coalesce(F.col("t") - F.lag("t").over(w) > F.col("_tol"), F.lit(True)).cast("int")
     both = p.union(g).withColumn("_new", new).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = both.groupBy(seq, "_part").agg(
+    parts = both.groupBy(seq, "_part", "_tol").agg(
         F.array_sort(F.collect_list(F.when(F.col("is_pred") == 1, F.struct("i", "t")))).alias("_p"),
         F.array_sort(F.collect_list(F.when(F.col("is_pred") == 0, F.struct("t", "i")))).alias("_g"),
     ).where((F.size("_p") > 0) & (F.size("_g") > 0))
 
     @F.pandas_udf("array<int>")
-    def take(p_times: pd.Series, g_times: pd.Series, g_index: pd.Series) -> pd.Series:
-        return pd.Series([_take_nearest(np.asarray(a, float), np.asarray(b, float), np.asarray(c), tolerance) for a, b, c in zip(p_times, g_times, g_index)])
+    def take(p_times: pd.Series, g_times: pd.Series, g_index: pd.Series, within: pd.Series) -> pd.Series:
+        return pd.Series([_take_nearest(np.asarray(a, float), np.asarray(b, float), np.asarray(c), d) for a, b, c, d in zip(p_times, g_times, g_index, within)])
 
-    taken = parts.withColumn("_k", take(F.col("_p.t"), F.col("_g.t"), F.col("_g.i")))
+    taken = parts.withColumn("_k", take(F.col("_p.t"), F.col("_g.t"), F.col("_g.i"), F.col("_tol")))
     rows = taken.select(seq, "_g", F.explode(F.arrays_zip("_p", "_k")).alias("_m")).where("_m._k >= 0").select(seq, F.col("_m._p").alias("p"), F.element_at("_g", F.col("_m._k") + 1).alias("g"))
     return rows.select(seq, F.col("g.i").alias("gt_index"), F.col("g.t").alias("gt_time"), F.col("p.i").alias("pred_index"), F.col("p.t").alias("pred_time"), F.abs(F.col("g.t") - F.col("p.t")).alias("abs_error_sec"))
 
@@ -78,7 +81,7 @@ def metrics(tp: Column, preds: Column, truths: Column) -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))}
 
 
-def report(preds: DataFrame, truths: DataFrame, tolerance: float = 30.0, seq: str = "lecture_id", sequences: DataFrame | None = None) -> DataFrame:
+def report(preds: DataFrame, truths: DataFrame, tolerance: Param = 30.0, seq: str = "lecture_id", sequences: DataFrame | None = None) -> DataFrame:
     """seq, pred_count, gt_count, tp, fp, fn, precision, recall, f1 for each sequence that has truths (or of sequences)."""
     every = (truths.select(seq) if sequences is None else sequences.select(seq)).distinct()
     found = greedy_match(preds, truths, tolerance, seq).groupBy(seq).agg(F.count("*").alias("tp"))
@@ -112,9 +115,12 @@ def hit_rates(truths: DataFrame, preds: DataFrame, tolerances: list[float], seq:
 # ---- tables of results
 
 def macro_average(rows: DataFrame, *keys: str) -> DataFrame:
-    """Means over sequences of 4-digit precision, recall and f1, to 4 digits, and of the number of predictions."""
-    four = rows.select(*keys, "pred_count", *(exact_round(F.col(c), 4).alias(c) for c in ("precision", "recall", "f1")))
-    return four.groupBy(*keys).agg(*(exact_round(F.avg(c), 4).alias(f"avg_{c}") for c in ("precision", "recall", "f1")), F.round(F.avg("pred_count"), 2).alias("avg_pred_count"), F.count("*").alias("n"))
+    """Means over sequences of 4-digit precision, recall and f1, to 4 digits, and of the number of predictions. The sums
+    are of whole numbers of ten-thousandths, so the means don't depend on the order of rows."""
+    names = ("precision", "recall", "f1")
+    parts = rows.select(*keys, "pred_count", *(F.bround(exact_round(F.col(c), 4) * 10_000, 0).cast("long").alias(c) for c in names))
+    means = [exact_round(F.sum(c) / (F.count("*") * 10_000), 4).alias(f"avg_{c}") for c in names]
+    return parts.groupBy(*keys).agg(*means, F.round(F.avg("pred_count"), 2).alias("avg_pred_count"), F.count("*").alias("n"))
 
 
 def pivot_f1(rows: DataFrame, key: str, sequences: list, seq: str = "lecture_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
+from .keys import Param, Seq, keys, value
 
 def sentence_units(cues: DataFrame, seq: str = "lecture_id", order: str = "block_id") -> DataFrame:
     """seq, sentence_id, start, end, text: each cue's sentences, with the cue's time shared out by length.
@@ -32,7 +33,7 @@ def merge_short(units: DataFrame, least: int = 25, seq: str = "lecture_id") -> D
     """Units of fewer than ``least`` characters take in what follows until they are long enough; a short last one stays.
 
     A unit that is long enough by itself ends whatever it is in, so a sequence is cut behind each of these into runs
-    that are short however long the sequence. Only lengths are folded over a run: to the places where a group ends.
+    that are short however long the sequence (one of short units only is one run). Only lengths are folded over a run: to the places where a group ends.
     """
     w = Window.partitionBy(seq).orderBy("sentence_id")
     size = F.length("text")
@@ -53,14 +54,18 @@ def merge_short(units: DataFrame, least: int = 25, seq: str = "lecture_id") -> D
     return rows.select(seq, F.col("_group").cast("int").alias("sentence_id"), "start", "end", "text")
 
 
-def sliding_windows(units: DataFrame, width: int, stride: int = 1, seq: str = "lecture_id") -> DataFrame:
-    """seq, window_id, start, end, sentence_ids, text: every ``stride``-th full window of ``width`` units."""
-    ahead = Window.partitionBy(seq).orderBy("sentence_id").rowsBetween(0, width - 1)
-    place = F.row_number().over(Window.partitionBy(seq).orderBy("sentence_id")) - 1
-    rows = units.select(seq, F.collect_list(F.struct("sentence_id", "start", "end", "text")).over(ahead).alias("_u"), place.alias("_place"))
-    rows = rows.where((F.size("_u") == width) & (F.col("_place") % stride == 0))
+def sliding_windows(units: DataFrame, width: Param, stride: int = 1, seq: Seq = "lecture_id", most: int | None = None) -> DataFrame:
+    """seq, window_id, start, end, sentence_ids, text: every ``stride``-th full window of ``width`` units. The width may
+    be a column of up to ``most``: windows of many widths in one pass."""
+    most = int(width) if most is None else most
+    w = Window.partitionBy(*keys(seq)).orderBy("sentence_id")
+    place = F.row_number().over(w) - 1
+    size = value(width).cast("int")
+    ahead = F.collect_list(F.struct("sentence_id", "start", "end", "text")).over(w.rowsBetween(0, most - 1))
+    rows = units.select(*keys(seq), F.slice(ahead, F.lit(1), size).alias("_u"), place.alias("_place"), size.alias("_size"))
+    rows = rows.where((F.size("_u") == F.col("_size")) & (F.col("_place") % stride == 0))
     return rows.select(
-        seq,
+        *keys(seq),
         (F.col("_place") / stride).cast("int").alias("window_id"),
         F.element_at("_u", 1)["start"].alias("start"),
         F.element_at("_u", -1)["end"].alias("end"),
@@ -69,21 +74,23 @@ def sliding_windows(units: DataFrame, width: int, stride: int = 1, seq: str = "l
     )
 
 
-def tumbling_windows(cues: DataFrame, width: float, seq: str = "lecture_id", order: str = "block_id") -> DataFrame:
+def tumbling_windows(cues: DataFrame, width: Param, seq: Seq = "lecture_id", order: str = "block_id") -> DataFrame:
     """seq, window_id, start, end, text: windows of ``width`` seconds from the first cue's start to before the last
     cue's end (last in order), each with the texts of the cues that overlap it, in order. Windows without text drop out
     and ids stay dense. A cue is repeated for each window that it overlaps, so this is an equi-join on window numbers.
+    The width may be a column that each sequence has one value of.
     """
-    span = cues.groupBy(seq).agg(F.min_by("start", order).alias("_t0"), F.max_by("end", order).alias("_t1"))
-    rows = cues.join(span, seq).where(F.col("_t1") > F.col("_t0"))
-    last = F.ceil((F.col("_t1") - F.col("_t0")) / width) - 1
+    whole, size = keys(seq), value(width)
+    span = cues.groupBy(*whole).agg(F.min_by("start", order).alias("_t0"), F.max_by("end", order).alias("_t1"))
+    rows = cues.join(span, whole).where(F.col("_t1") > F.col("_t0"))
+    last = F.ceil((F.col("_t1") - F.col("_t0")) / size) - 1
     # one window either side of the quotient, and the strict predicate below, keep rounding of the quotient harmless
-    first_k = F.greatest(F.lit(0), F.floor((F.col("start") - F.col("_t0")) / width) - 1)
-    last_k = F.least(last, F.floor((F.col("end") - F.col("_t0")) / width) + 1)
+    first_k = F.greatest(F.lit(0), F.floor((F.col("start") - F.col("_t0")) / size) - 1)
+    last_k = F.least(last, F.floor((F.col("end") - F.col("_t0")) / size) + 1)
     rows = rows.where(first_k <= last_k).withColumn("_k", F.explode(F.sequence(first_k, last_k)))
-    rows = rows.withColumn("_ws", F.col("_t0") + F.col("_k") * F.lit(float(width))).withColumn("_we", F.col("_ws") + width)
+    rows = rows.withColumn("_ws", F.col("_t0") + F.col("_k") * size).withColumn("_we", F.col("_ws") + size)
     rows = rows.where((F.col("end") > F.col("_ws")) & (F.col("start") < F.col("_we")) & (F.trim("text") != ""))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), " ")
-    found = rows.groupBy(seq, "_k").agg(F.first("_ws").alias("start"), F.first("_we").alias("end"), texts.alias("text"))
-    number = F.row_number().over(Window.partitionBy(seq).orderBy("_k")) - 1
-    return found.select(seq, number.cast("int").alias("window_id"), "start", "end", "text")
+    found = rows.groupBy(*whole, "_k").agg(F.first("_ws").alias("start"), F.first("_we").alias("end"), texts.alias("text"))
+    number = F.row_number().over(Window.partitionBy(*whole).orderBy("_k")) - 1
+    return found.select(*whole, number.cast("int").alias("window_id"), "start", "end", "text")

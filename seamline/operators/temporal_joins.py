@@ -1,7 +1,11 @@
 """Joins on time: within a distance, overlapping, nearest, as-of, and by half-open interval.
 
 Distance and overlap joins are equi-joins on (sequence, time bucket) with the exact predicate on top, so they never
-plan as a nested loop, and a long sequence is spread over its buckets. Nearest and as-of joins are one sort each way.
+plan as a nested loop, and a long sequence is spread over its buckets.
+
+Nearest and as-of joins cut a sequence into ranges of ``span`` seconds. What a range knows of the others is one row from
+before it and one from after it, carried over a table with a row for each range; within it, it is a sort each way. So
+no task holds more than a range, however long the sequence.
 """
 
 from __future__ import annotations
@@ -9,20 +13,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import Param, Seq, keys, value
+
+#: Seconds of a range: of events as dense as a spoken lecture's some ten thousand rows.
+SPAN = 86400.0
+
 
-def within(left: DataFrame, right: DataFrame, distance: float, seq: str = "lecture_id", left_time: str = "time", right_time: str = "r_time", how: str = "inner") -> DataFrame:
+def within(left: DataFrame, right: DataFrame, distance: Param, seq: str = "lecture_id", left_time: str = "time", right_time: str = "r_time", how: str = "inner", most: float | None = None) -> DataFrame:
     """Pairs with abs(left - right) <= distance (inclusive). Of the columns only seq may be shared. how: inner, left_semi
-    or left_anti."""
-    width = max(float(distance), 1e-6)
+    or left_anti. The distance may be a column of left, of values up to ``most``."""
+    width = max(float(distance if most is None else most), 1e-6)
     bucket = lambda t: F.floor(F.col(t) / width)
     r = right.select(*right.columns, bucket(right_time).alias("_b"))
     spread = left.select(*left.columns, F.explode(F.array(*(bucket(left_time) + k for k in (-1, 0, 1)))).alias("_b"))
-    close = F.abs(F.col(left_time) - F.col(right_time)) <= distance
+    close = F.abs(F.col(left_time) - F.col(right_time)) <= value(distance)
     if how == "inner":
         return spread.join(r, [seq, "_b"]).where(close).drop("_b")
     semi = r.select(F.col(seq).alias("_s"), F.col(right_time).alias("_rt"), F.explode(F.array(*(F.col("_b") + k for k in (-1, 0, 1)))).alias("_b"))
     rows = left.withColumn("_lb", bucket(left_time))
-    on = (rows[seq] == semi["_s"]) & (rows["_lb"] == semi["_b"]) & (F.abs(rows[left_time] - semi["_rt"]) <= distance)
+    on = (rows[seq] == semi["_s"]) & (rows["_lb"] == semi["_b"]) & (F.abs(rows[left_time] - semi["_rt"]) <= value(distance))
     return rows.join(semi, on, how).drop("_lb")
 
 
@@ -37,25 +46,38 @@ def overlapping(left: DataFrame, right: DataFrame, width: float, closed: bool =
     return pairs.where(meets & (F.col("_b") == bucket(F.greatest(ls, rs)))).drop("_b")
 
 
-def _sides(left: DataFrame, right: DataFrame, seq: str, left_time: str, right_time: str, idx: str) -> tuple[DataFrame, list[str]]:
-    """Both tables in one, ordered by _t; right rows of one time folded to their first in list order, as struct _r."""
-    payload = [c for c in right.columns if c != seq]
-    r = right.groupBy(seq, F.col(right_time).alias("_t")).agg(F.min_by(F.struct(*payload), idx).alias("_r"))
+def _sides(left: DataFrame, right: DataFrame, seq: Seq, left_time: str, right_time: str, idx: str, span: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both tables in one, with _t and its range _b, right rows of one time folded to their first in list order, as
+    struct _r; for each range _back and _ahead, the nearest right rows of other ranges, and _lead, the sequence's first."""
+    whole = keys(seq)
+    payload = [c for c in right.columns if c not in whole]
+    r = right.groupBy(*whole, F.col(right_time).alias("_t")).agg(F.min_by(F.struct(*payload), idx).alias("_r"))
     nothing = F.lit(None).cast(r.schema["_r"].dataType)
-    lefts = left.select(seq, F.col(left_time).alias("_t"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_l"), nothing.alias("_r"))
-    rights = r.select(seq, "_t", F.lit(0).alias("_left"), F.lit(None).cast(lefts.schema["_l"].dataType).alias("_l"), "_r")
-    return lefts.unionByName(rights), payload
-
-
-def nearest(left: DataFrame, right: DataFrame, seq: str = "lecture_id", left_time: str = "time", right_time: str = "r_time", idx: str = "r_idx", tie: str = "index") -> DataFrame:
+    lefts = left.select(*whole, F.col(left_time).alias("_t"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_l"), nothing.alias("_r"))
+    rights = r.select(*whole, "_t", F.lit(0).alias("_left"), F.lit(None).cast(lefts.schema["_l"].dataType).alias("_l"), "_r")
+    number = F.floor(F.col("_t") / float(span)).alias("_b")
+    both = lefts.unionByName(rights).select("*", number)
+    known = r.select(*whole, number, "_t", "_r").groupBy(*whole, "_b").agg(F.min_by("_r", "_t").alias("_first"), F.max_by("_r", "_t").alias("_last"))
+    asked = left.select(*whole, F.floor(F.col(left_time) / float(span)).alias("_b")).distinct()
+    ranges = asked.join(known, [*whole, "_b"], "full")
+    w = Window.partitionBy(*whole)
+    others = lambda c, order: F.last(c, ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    lead = F.min(F.when(F.col("_first").isNotNull(), F.struct("_b", "_first"))).over(w)["_first"]
+    return both, ranges.select(*whole, "_b", others("_last", F.col("_b")).alias("_back"), others("_first", F.col("_b").desc()).alias("_ahead"), lead.alias("_lead")), payload
+
+
+def nearest(left: DataFrame, right: DataFrame, seq: Seq = "lecture_id", left_time: str = "time", right_time: str = "r_time", idx: str = "r_idx", tie: str = "index", span: float = SPAN) -> DataFrame:
     """left with the nearest right row's columns and ``distance`` (null if the sequence has none).
 
     tie: ``index``, the right row that comes first in list order; ``later``, the one that is later in time.
     """
-    both, payload = _sides(left, right, seq, left_time, right_time, idx)
-    up = Window.partitionBy(seq).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(seq).orderBy(F.col("_t").desc(), "_left").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_before", F.last("_r", ignorenulls=True).over(up)).withColumn("_after", F.last("_r", ignorenulls=True).over(down)).where("_left = 1")
+    both, ranges, payload = _sides(left, right, seq, left_time, right_time, idx, span)
+    own = [*keys(seq), "_b"]
+    up = Window.partitionBy(*own).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*own).orderBy(F.col("_t").desc(), "_left").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_r", ignorenulls=True)
+    seen = both.select("*", last.over(up).alias("_before"), last.over(down).alias("_after")).where("_left = 1").join(ranges.drop("_lead"), own, "left")
+    seen = seen.withColumn("_before", F.coalesce("_before", "_back")).withColumn("_after", F.coalesce("_after", "_ahead"))
     d_before, d_after = F.abs(F.col("_t") - F.col(f"_before.{right_time}")), F.abs(F.col(f"_after.{right_time}") - F.col("_t"))
     even = F.col(f"_before.{idx}") <= F.col(f"_after.{idx}") if tie == "index" else F.lit(False)
     first = F.col("_after").isNull() | (d_before < d_after) | ((d_before == d_after) & even)
@@ -63,17 +85,16 @@ def nearest(left: DataFrame, right: DataFrame, seq: str = "lecture_id", left_tim
     return picked.select("_l.*", *(F.col(f"_pick.{c}").alias(c) for c in payload), F.abs(F.col("_t") - F.col(f"_pick.{right_time}")).alias("distance"))
 
 
-def as_of(left: DataFrame, right: DataFrame, seq: str = "lecture_id", left_time: str = "time", right_time: str = "r_time", idx: str = "r_idx", first_before: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, seq: Seq = "lecture_id", left_time: str = "time", right_time: str = "r_time", idx: str = "r_idx", first_before: bool = False, span: float = SPAN) -> DataFrame:
     """left with the columns of the last right row at or before its time; with first_before, rows that come before all
     take the first. Of right rows with one time, the last in list order counts."""
     flipped = right.withColumn("_flip", -F.col(idx))
-    both, payload = _sides(left, flipped, seq, left_time, right_time, "_flip")
-    up = Window.partitionBy(seq).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_r", ignorenulls=True).over(up)
-    if first_before:
-        found = F.coalesce(found, F.min(F.when(F.col("_left") == 0, F.struct("_t", "_r"))).over(Window.partitionBy(seq))["_r"])
-    seen = both.withColumn("_pick", found).where("_left = 1")
-    return seen.select("_l.*", *(F.col(f"_pick.{c}").alias(c) for c in payload if c != "_flip"))
+    both, ranges, payload = _sides(left, flipped, seq, left_time, right_time, "_flip", span)
+    own = [*keys(seq), "_b"]
+    up = Window.partitionBy(*own).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_pick", F.last("_r", ignorenulls=True).over(up)).where("_left = 1").join(ranges.drop("_ahead"), own, "left")
+    picked = seen.withColumn("_pick", F.coalesce("_pick", "_back", "_lead") if first_before else F.coalesce("_pick", "_back"))
+    return picked.select("_l.*", *(F.col(f"_pick.{c}").alias(c) for c in payload if c != "_flip"))
 
 
 def section_at(rows: DataFrame, sections: DataFrame, seq: str = "lecture_id") -> DataFrame:
@@ -111,10 +132,11 @@ def lowest_within(anchors: DataFrame, points: DataFrame, distance: float, value:
     return best.select(seq, "gt_index", f"_b.{value}", "_b.r_idx", "_b.r_time", "n")
 
 
-def gate(dips: DataFrame, events: DataFrame, distance: float, reason: str, seq: str = "lecture_id") -> DataFrame:
-    """Dips (boundary_time) that have an event (time) within the distance, with the new reason."""
+def gate(dips: DataFrame, events: DataFrame, distance: Param, reason: str, seq: str = "lecture_id", most: float | None = None) -> DataFrame:
+    """Dips (boundary_time) that have an event (time) within the distance, with the new reason. The distance may be a
+    column of the dips, of values up to ``most``."""
     right = events.select(seq, F.col("time").alias("r_time"))
-    return within(dips, right, distance, seq, "boundary_time", "r_time", "left_semi").withColumn("reason", F.lit(reason))
+    return within(dips, right, distance, seq, "boundary_time", "r_time", "left_semi", most).withColumn("reason", F.lit(reason))
 
 
 def gate_or(dips: DataFrame, events: DataFrame, slides: DataFrame, distance: float, seq: str = "lecture_id") -> DataFrame:

@@ -16,8 +16,10 @@ from ..functions.vectors import dissimilarity
 from ..operators import evaluate as E
 from ..operators import folds, sequences, signals
 from ..operators import temporal_joins as J
-from ..sources import sinks, transcripts
-from . import experiments
+from ..operators.keys import with_settings
+from ..operators.embedding import embed
+from ..sources import audio, scratch, sinks, transcripts
+from . import experiments, plots, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,24 +72,30 @@ def _doc_cues(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select(F.col("doc_id").alias("lecture_id"), F.lit(0).alias("block_id"), F.lit(0.0).alias("start"), F.col("n_chars").cast("double").alias("end"), "text")
 
 
-#: A transcript made of events: each type says one of two sentences.
-_SPEECH = {
-    "click": ("what is machine learning, let's define it", "the definition of artificial intelligence today"),
-    "view": ("for example we take a numpy array here", "suppose we have another classifier to look at"),
-    "purchase": ("there is a question about the project", "a good question: how do we read the loss of a model"),
-    "error": ("keep in mind that the gradient descent stops", "nothing of note happens here at all"),
-    "signup": ("mathematically this is the same regression", "okay, so"),
-}
+#: A transcript made of events: what an event says is put together from an opening, which most classes are known by, and
+#: an object, which most topics are known by. Both go round at different paces, so each meets each.
+_OPENINGS = [
+    "let's define what we mean by", "for example we take", "mathematically this is the same as", "keep in mind that we need", "good question: how do we read",
+    "today we go on with", "suppose we have", "in practice people use", "the definition of", "why does it depend on", "okay, so", "about the deadline and", "another word on",
+]
+_OBJECTS = [
+    "a numpy array", "the pandas data frame", "artificial intelligence", "machine learning", "supervised data", "the loss function", "gradient descent", "a classifier", "linear regression",
+    "a neural network", "the cnn layer", "max pooling", "relu units", "the roc curve", "feature engineering", "model training", "self-driving cars", "structural engineering", "software engineering",
+    "your project", "commercialisation", "your question", "a plain example", "nothing of note", "um",
+]
 
 
 def _speech(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.lit(None).cast("string")
-    for kind, (even, odd) in _SPEECH.items():
-        text = F.when(F.col("event_type") == kind, F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)).otherwise(text)
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
+    text = F.concat_ws(" ", pick(_OPENINGS, F.col("event_id")), pick(_OBJECTS, F.floor(F.col("event_id") / 3)))
     return _events(spark, sf).select(F.col("user_id").alias("lecture_id"), F.col("event_id").alias("block_id"), (F.col("t") / 600).alias("start"), (F.col("t") / 600 + 5).alias("end"), text.alias("text"))
 
 
-_SPEECH_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN CASE WHEN event_id % 2 = 0 THEN '{a.replace(chr(39), chr(39) * 2)}' ELSE '{b.replace(chr(39), chr(39) * 2)}' END" for k, (a, b) in _SPEECH.items()) + " END"
+def _words_sql(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_SPEECH_SQL = f"{_words_sql(_OPENINGS)}[event_id % {len(_OPENINGS)} + 1] || ' ' || {_words_sql(_OBJECTS)}[event_id // 3 % {len(_OBJECTS)} + 1]"
 
 _E = "e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS t FROM events)"
 
@@ -104,7 +112,7 @@ _EDGES = """v AS (SELECT label AS lecture_id, vec_id, CAST(embedding AS DOUBLE[]
       FROM n WHERE next_id IS NOT NULL)"""
 
 
-def _greedy_sql(preds: str, truths: str, key: str, tolerance: float, out: str = "m") -> str:
+def _greedy_sql(preds: str, truths: str, key: str, tolerance: float | str, out: str = "m") -> str:
     """CTEs (after WITH RECURSIVE) whose last, ``out``, has the matches of preds (key, time, pred_index) and truths."""
     return f"""
     {out}_s AS (SELECT {key} AS k, list({{'i': gt_index, 't': time}} ORDER BY gt_index) AS gl FROM {truths} GROUP BY {key}),
@@ -469,10 +477,9 @@ _SWEEP = f"""{_PG}, ds(d) AS (VALUES {', '.join(f'({d}::DOUBLE)' for d in _DISTA
 
 def _sweep(spark, sf) -> DataFrame:
     clicks = _of(spark, sf, "click", "pred_index", "event_id").select(F.col("user_id").alias("lecture_id"), "time", F.col("event_id").alias("idx"))
-    names = spark.createDataFrame([(f"d{int(d)}",) for d in _DISTANCES], "setting string")
-    found = [folds.space_first(clicks, d).select(F.lit(f"d{int(d)}").alias("setting"), "lecture_id", "time") for d in _DISTANCES]
-    truths = _truths(spark, sf).withColumnRenamed("user_id", "lecture_id")
-    return experiments.score_settings(found[0].unionByName(found[1]).unionByName(found[2]), truths, names, TOL)
+    settings = [{"setting": f"d{int(d)}", "distance": d} for d in _DISTANCES]
+    found = folds.space_first(with_settings(clicks, settings, "setting string, distance double"), "distance", ["setting", "lecture_id"])
+    return experiments.score_settings(found, _truths(spark, sf).withColumnRenamed("user_id", "lecture_id"), settings, TOL)
 
 
 @_query(f"WITH RECURSIVE {_SWEEP} SELECT setting, user_id, pred_count, gt_count, tp, round(f1, 6) AS f1 FROM sweep")
@@ -480,10 +487,39 @@ def param_sweep(spark, sf):
     return _sweep(spark, sf).select("setting", F.col("lecture_id").alias("user_id"), "pred_count", "gt_count", "tp", F.round("f1", 6).alias("f1"))
 
 
-@_query(f"WITH RECURSIVE {_SWEEP} SELECT setting, round(avg(round(precision, 4)), 3) AS avg_precision, round(avg(round(recall, 4)), 3) AS avg_recall, round(avg(round(f1, 4)), 3) AS avg_f1, round(avg(pred_count), 2) AS avg_pred_count, count(*) AS n FROM sweep GROUP BY setting")
+def _mean_sql(c: str) -> str:
+    """The mean of a column's 4-digit values, to 4 digits."""
+    return f"CAST(printf('%.4f', CAST(sum(CAST(round_even(CAST(printf('%.4f', {c}) AS DOUBLE) * 10000, 0) AS BIGINT)) AS DOUBLE) / (count(*) * 10000)) AS DOUBLE)"
+
+
+_GATES = [{"setting": f"v{t:g}_d{int(d)}_m{int(m)}", "threshold": t, "delta": d, "distance": m, "tolerance": tol} for t, d, m, tol in [(60.0, 3600.0, 21600.0, 21600.0), (60.0, 14400.0, 21600.0, 21600.0), (90.0, 14400.0, 43200.0, 43200.0), (90.0, 14400.0, 0.0, 3600.0)]]
+
+
+@_query(f"""
+    WITH RECURSIVE {_PG}, ss(setting, threshold, delta, distance, tol) AS (VALUES {', '.join(str((g["setting"], g["threshold"], g["delta"], g["distance"], g["tolerance"])) for g in _GATES)}),
+    kept AS (SELECT setting, distance::DOUBLE AS dd, tol::DOUBLE AS tol, user_id, time, event_id, value FROM p, ss WHERE value < threshold AND EXISTS (SELECT 1 FROM e x WHERE x.user_id = p.user_id AND x.event_type = 'error' AND abs(x.t - p.time) <= delta)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY setting, user_id ORDER BY time, value, event_id) AS rn FROM kept),
+    sp AS (SELECT setting, dd, tol, user_id, rn, 1 AS k, time AS lt, value AS lv FROM o WHERE rn = 1
+      UNION ALL SELECT o.setting, o.dd, o.tol, o.user_id, o.rn, CASE WHEN o.time - lt >= o.dd THEN k + 1 ELSE k END,
+        CASE WHEN o.time - lt >= o.dd OR o.value < lv THEN o.time ELSE lt END, CASE WHEN o.time - lt >= o.dd OR o.value < lv THEN o.value ELSE lv END
+      FROM sp JOIN o ON o.setting = sp.setting AND o.user_id = sp.user_id AND o.rn = sp.rn + 1),
+    ps AS (SELECT setting || '/' || user_id AS k, tol, time, CAST(row_number() OVER (PARTITION BY setting, user_id ORDER BY time) - 1 AS INTEGER) AS pred_index FROM (SELECT setting, tol, user_id, arg_max(lt, rn) AS time FROM sp GROUP BY setting, tol, user_id, k)),
+    gs AS (SELECT setting || '/' || user_id AS k, time, gt_index FROM g, ss),
+    {_greedy_sql('ps', 'gs', 'k', "p.tol")}, {_prf_sql('m', 'ps', 'gs', 'k')}
+    SELECT split_part(k, '/', 1) AS setting, CAST(split_part(k, '/', 2) AS BIGINT) AS user_id, pred_count, gt_count, tp, round(f1, 6) AS f1 FROM f""")
+def gate_sweep(spark, sf):
+    """Dips under a threshold that have a marker within delta, spaced, under settings that differ in all of these."""
+    dips = _dips(spark, sf).select(F.col("user_id").alias("lecture_id"), F.col("boundary_index").alias("left_window_id"), F.col("boundary_time").alias("right_start"), "similarity")
+    named = lambda rows: rows.withColumnRenamed("user_id", "lecture_id")
+    found = experiments.boundary_sweep(dips, _GATES, named(_of(spark, sf, "error", "idx"))).withColumnRenamed("boundary_time", "time")
+    rows = experiments.score_settings(found, named(_truths(spark, sf)), _GATES)
+    return rows.select("setting", F.col("lecture_id").alias("user_id"), "pred_count", "gt_count", "tp", F.round("f1", 6).alias("f1"))
+
+
+@_query(f"WITH RECURSIVE {_SWEEP} SELECT setting, {_mean_sql("precision")} AS avg_precision, {_mean_sql("recall")} AS avg_recall, {_mean_sql("f1")} AS avg_f1, round(avg(pred_count), 2) AS avg_pred_count, count(*) AS n FROM sweep GROUP BY setting")
 def macro_average(spark, sf):
-    found = E.macro_average(_sweep(spark, sf), "setting")
-    return found.select("setting", *(F.round(c, 3).alias(c) for c in ("avg_precision", "avg_recall", "avg_f1")), "avg_pred_count", "n")
+    """Means of four digits, rounded as their exact binary values say."""
+    return E.macro_average(_sweep(spark, sf), "setting").select("setting", "avg_precision", "avg_recall", "avg_f1", "avg_pred_count", "n")
 
 
 _F1_COLUMNS = ", ".join(f"coalesce(max(round(f1, 6)) FILTER (setting = 'd{int(d)}'), 0) AS d{int(d)}" for d in _DISTANCES)
@@ -581,7 +617,7 @@ _MERGE_SQL = f"""
     WITH {_E}, {_DRAFT_SQL}, {_MERGE_SQL}, n AS (SELECT user_id, generate_subscripts(xs, 1) AS seg_index, unnest(xs) AS s FROM s6)
     SELECT user_id, CAST(seg_index AS INTEGER) AS seg_index, round(s.time, 3) AS time, s.label AS label, s.topic AS topic, s.text AS text FROM n""")
 def label_merge(spark, sf):
-    merged = folds.merge_labels(experiments.draft_labels(_speech(spark, sf)))
+    merged = folds.merge_labels(experiments.draft_labels(_speech(spark, sf).repartition("lecture_id")))
     return merged.select(F.col("lecture_id").alias("user_id"), "seg_index", F.round("time", 3).alias("time"), "label", "topic", "text")
 
 
@@ -645,14 +681,13 @@ def note_text(spark, sf):
 
 @_query(f"""
     WITH {_PG}, d AS (SELECT p.user_id, p.pred_index, min(abs(g.time - p.time)) AS d FROM p LEFT JOIN g ON g.user_id = p.user_id GROUP BY ALL)
-    SELECT user_id, pred_index, CASE WHEN d IS NULL THEN 'no' WHEN d <= 3600 THEN 'near' ELSE 'far' END AS kind, round(86400 - d, 3) AS delta FROM d""")
+    SELECT user_id, pred_index, CASE WHEN d IS NULL THEN 'no' WHEN d <= 3600 THEN printf('yes Δ=%.1fs', d) ELSE printf('no (nearest %.0fs)', d) END AS note, round(86400 - d, 4) AS delta FROM d""")
 def proximity_kind(spark, sf):
-    """Notes on the nearest truth by their beginning, and the difference to a reference distance."""
+    """Notes on the nearest truth, and the difference to a reference distance."""
     right = _truths(spark, sf).select("user_id", F.col("time").alias("r_time"), F.col("gt_index").alias("r_idx"))
     near = J.nearest(_preds(spark, sf), right, "user_id")
-    note = X.proximity_note(F.col("distance"), 3600.0)
-    kind = F.when(note == "no", "no").when(F.startswith(note, F.lit("yes")), "near").otherwise("far")
-    return near.select("user_id", "pred_index", kind.alias("kind"), F.round(86400 - F.col("distance"), 3).alias("delta"))
+    rows = near.select("user_id", "pred_index", X.proximity_note(F.col("distance"), 3600.0).alias("note"), (-F.col("distance")).alias("back"))
+    return experiments.delta_to(rows, "back", -86400.0).drop("back")
 
 
 @_query(f"WITH {_E} SELECT user_id, count(*) FILTER (event_type = 'click') AS dips, count(*) FILTER (event_type = 'view') AS slides, count(*) FILTER (event_type = 'error') AS markers FROM e WHERE event_type IN ('click', 'view', 'error') GROUP BY user_id")
@@ -660,3 +695,211 @@ def stage_counts(spark, sf):
     rows = _events(spark, sf)
     of = {"dips": "click", "slides": "view", "markers": "error"}
     return experiments.stage_counts({name: rows.where(F.col("event_type") == kind) for name, kind in of.items()}, "user_id")
+
+
+# ---- files, by what they hold
+
+@_query(r"""
+    WITH t AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS k, text FROM conversations)
+    SELECT conv_id, k AS block_id, k * CAST(7.25 AS DOUBLE) AS start, k * CAST(7.25 AS DOUBLE) + 6.5 AS "end", trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\[(.*?)\]', '', 'g'), '\s+', ' ', 'g')) AS text FROM t""".replace("\\\\", "\\"))
+def vtt_round_trip(spark, sf):
+    """Conversations as bodies of caption files (ids, notes, markup, several lines a cue), taken apart again."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    clock = lambda ms: F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms % 3600000 / 60000), F.floor(ms % 60000 / 1000), ms % 1000)
+    start = F.col("k").cast("long") * 7250
+    lines = F.regexp_replace("text", r"\n\s*", "\n")
+    cue = F.concat(F.when(F.col("k") % 2 == 0, F.concat("k", F.lit("\n"))).otherwise(F.lit("NOTE of no use\n\n")), clock(start), F.lit(" --> "), clock(start + 6500), F.lit(" align:left\n<v "), "role", F.lit(">"), lines, F.lit("</v> [noise]"))
+    cues = _table(spark, sf, "conversations").select("conv_id", "role", "text", place.alias("k")).select("conv_id", "k", cue.alias("cue"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "cue"))), lambda x: x["cue"]), "\n\n")
+    files = cues.groupBy(F.col("conv_id").alias("lecture_id")).agg(F.concat(F.lit("WEBVTT\n\n"), whole).alias("body"))
+    return transcripts.cues_of(files, "strict").withColumnRenamed("lecture_id", "conv_id")
+
+
+@_query(f"""
+    WITH {_E}, x AS (SELECT user_id, event_type, event_id, CAST(floor(t) AS BIGINT) % 359999 AS s, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) - 1 AS INTEGER) AS i FROM e)
+    SELECT user_id, 'section' AS kind, i AS place, CAST(s AS DOUBLE) AS time, 'S' || event_id AS seg_id, 'Part ' || i AS section, 'Topic ' || event_id AS topic FROM x WHERE event_type = 'signup'
+    UNION ALL SELECT user_id, 'slide', NULL, s, NULL, NULL, NULL FROM x WHERE event_type = 'view'
+    UNION ALL SELECT user_id, 'silence', NULL, s % 3599 + 0.25, NULL, NULL, NULL FROM x WHERE event_type = 'error'""")
+def annotation_round_trip(spark, sf):
+    """Events as bodies of annotation, slide and silence files, taken apart again."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("t", "event_id")
+    rows = _events(spark, sf).select("user_id", "event_type", "event_id", (F.floor("t") % 359999).alias("s"), (F.row_number().over(w) - 1).alias("i"))
+    mmss = F.col("s") % 3599
+    line = (
+        F.when(F.col("event_type") == "signup", F.concat(X.hms_floor(F.col("s")), F.lit(" S"), "event_id", F.lit("\tA_Concept_Introduction\tPart "), "i", F.lit(" : Topic "), "event_id"))
+        .when(F.col("event_type") == "view", F.concat(X.hms_floor(F.col("s")), F.lit(" shown\n# a note")))
+        .when(F.col("event_type") == "error", F.format_string("%02d:%02d.259", F.floor(mmss / 60), mmss % 60))
+    )
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\nnot of this kind\n")
+    files = rows.where(line.isNotNull()).groupBy(F.col("user_id").alias("lecture_id"), "event_type").agg(F.concat(F.lit("\n"), said).alias("body"))
+    lines = lambda kind: transcripts.lines_of(files.where(F.col("event_type") == kind))
+    sections = transcripts.fine_parts(transcripts.boundaries_of(lines("signup"))).select("lecture_id", F.lit("section").alias("kind"), F.col("gt_index").alias("place"), "time", "seg_id", "section", "topic")
+    slides = transcripts.slides_of(lines("view")).select("lecture_id", F.lit("slide").alias("kind"), "time")
+    quiet = transcripts.silences_of(lines("error")).select("lecture_id", F.lit("silence").alias("kind"), "time")
+    return sections.unionByName(slides, allowMissingColumns=True).unionByName(quiet, allowMissingColumns=True).withColumnRenamed("lecture_id", "user_id")
+
+
+@_query(f"""
+    WITH {_E}, f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS ms, CAST(floor(value * 10) * floor(value * 10) AS BIGINT) AS energy FROM e),
+    l AS (SELECT user_id, floor(sqrt(sum(energy)::DOUBLE / count(*))) * power(10::DOUBLE, -3 / 20.0) AS lim FROM f GROUP BY user_id),
+    s AS (SELECT f.user_id, ms, floor(sqrt((sum(energy) OVER w)::DOUBLE / 5)) AS rms, count(*) OVER w AS n, lim FROM f JOIN l USING (user_id) WINDOW w AS (PARTITION BY f.user_id ORDER BY ms ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+    q AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) > 5 THEN 1 ELSE 0 END AS new FROM s WHERE n = 5 AND rms <= lim),
+    r AS (SELECT user_id, ms, sum(new) OVER (PARTITION BY user_id ORDER BY ms) AS run FROM q)
+    SELECT user_id, min(ms) AS start_ms, max(ms) + 5 AS end_ms, (min(ms) + max(ms) + 5) // 2 AS mid_ms FROM r GROUP BY user_id, run""")
+def quiet_windows(spark, sf):
+    """Quiet stretches by the energy of sliding windows, in ranges shorter than the sequences: an event is a millisecond."""
+    w = Window.partitionBy("user_id").orderBy("t", "event_id")
+    level = F.floor(F.col("value") * 10)
+    frames = _events(spark, sf).select(F.col("user_id").alias("seq_id"), (F.row_number().over(w) - 1).cast("long").alias("ms"), (level * level).alias("energy"), F.lit(1).cast("long").alias("samples"))
+    return audio.quiet_stretches(frames, 5, 3.0, span=50).withColumnRenamed("seq_id", "user_id")
+
+
+# ---- a stated model
+
+_WIDTH = 3
+_COUNTS = ["e", "t", "a", " "]
+
+
+def _model():
+    """Texts to counts of a few characters, and one: stands for a model that is costly to load."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.count(c) for c in _COUNTS] + [1] for t in texts], float)
+
+
+def _cos_sql(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+
+_VECTOR_SQL = "[" + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in _COUNTS) + ", 1.0]"
+
+
+@_query(f"""
+    WITH w AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS window_id, list(text) OVER x AS texts FROM conversations WINDOW x AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND {_WIDTH - 1} FOLLOWING)),
+    v AS (SELECT conv_id, CAST(window_id AS INTEGER) AS window_id, {_VECTOR_SQL} AS x FROM (SELECT *, array_to_string(texts, ' ') AS text FROM w WHERE len(texts) = {_WIDTH})),
+    n AS (SELECT *, lead(window_id) OVER o AS next_id, lead(x) OVER o AS y FROM v WINDOW o AS (PARTITION BY conv_id ORDER BY window_id))
+    SELECT conv_id, window_id AS left_window_id, next_id AS right_window_id, round({_cos_sql("x", "y")}, 6) AS similarity FROM n WHERE next_id IS NOT NULL""")
+def model_edges(spark, sf):
+    """Windows of turns, embedded by a model that each worker loads once, and the edges between them."""
+    units = _turns(spark, sf).withColumnRenamed("block_id", "sentence_id")
+    edges = signals.adjacent_similarity(embed(sequences.sliding_windows(units, _WIDTH), _model))
+    return edges.select(F.col("lecture_id").alias("conv_id"), "left_window_id", "right_window_id", F.round("similarity", 6).alias("similarity"))
+
+
+_SIZES = [("sentence", 2), ("sentence", 4), ("time", 1.5), ("time", 3.0)]
+
+
+@_query(f"""
+    WITH t AS (SELECT conv_id, turn, text, regexp_replace(text, '[.!?]', '', 'g') AS plain, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations),
+    sw AS (SELECT 'sentence_' || s AS setting, conv_id, k AS window_id, list(plain) OVER x AS texts, s FROM t, (VALUES (2), (4)) v(s) WINDOW x AS (PARTITION BY s, conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+    s AS (SELECT setting, conv_id, window_id, array_to_string(texts[:s], ' ') AS text FROM sw WHERE len(texts) >= s),
+    span AS (SELECT conv_id, arg_min(turn, turn)::DOUBLE AS t0, (arg_max(turn, turn) + 1)::DOUBLE AS t1 FROM t GROUP BY conv_id),
+    tw AS (SELECT d, conv_id, t0, unnest(generate_series(0, CAST(ceil((t1 - t0) / d) AS BIGINT) - 1)) AS j FROM span, (VALUES (1.5::DOUBLE), (3.0)) v(d)),
+    h AS (SELECT 'time_' || CASE WHEN d = 1.5 THEN '1.5' ELSE '3' END AS setting, tw.conv_id, j, string_agg(text, ' ' ORDER BY turn) AS text FROM tw JOIN t ON t.conv_id = tw.conv_id AND t.turn + 1 > t0 + j * d AND t.turn < t0 + j * d + d GROUP BY ALL),
+    w AS (SELECT * FROM s UNION ALL SELECT setting, conv_id, row_number() OVER (PARTITION BY setting, conv_id ORDER BY j) - 1, text FROM h),
+    v AS (SELECT setting, conv_id, CAST(window_id AS INTEGER) AS window_id, {_VECTOR_SQL} AS x FROM w),
+    n AS (SELECT *, lead(window_id) OVER o AS next_id, lead(x) OVER o AS y FROM v WINDOW o AS (PARTITION BY setting, conv_id ORDER BY window_id))
+    SELECT setting, conv_id, window_id AS left_window_id, round({_cos_sql("x", "y")}, 6) AS similarity FROM n WHERE next_id IS NOT NULL""")
+def representation_edges(spark, sf):
+    """Edges of sentence windows of cleaned turns and of time windows of raw ones, of two sizes each: a pass for each kind."""
+    raw = _turns(spark, sf)
+    # one sentence to a turn, which is long enough to stand alone
+    clean = raw.withColumn("text", F.regexp_replace("text", "[.!?]", ""))
+    whole = ["setting", "lecture_id"]
+    edges = signals.adjacent_similarity(embed(experiments.windows_of_settings(clean, raw, _SIZES, 1), _model), whole)
+    return edges.select("setting", F.col("lecture_id").alias("conv_id"), "left_window_id", F.round("similarity", 6).alias("similarity"))
+
+
+# ---- what plots and reports show
+
+_PIXELS = 12
+_CURVE = f"""{_EDGES}, c AS (SELECT lecture_id, CAST(right_window_id AS DOUBLE) AS x, similarity AS y FROM edges)"""
+
+
+def _thin_sql(points: str, keys: str) -> str:
+    return f"""SELECT {keys}, k AS "column", u.x AS x, u.y AS y FROM (SELECT {keys}, k, unnest(list_distinct([
+        {{'x': min(x), 'y': arg_min(y, x)}}, (min({{'y': y, 'x': x, 'p': {{'x': x, 'y': y}}}})).p, (max({{'y': y, 'n': -x, 'p': {{'x': x, 'y': y}}}})).p, {{'x': max(x), 'y': arg_max(y, x)}}])) AS u FROM {points} GROUP BY {keys}, k)"""
+
+
+@_query(f"""
+    WITH {_CURVE}, p AS (SELECT *, min(x) OVER w AS x0, max(x) OVER w AS x1 FROM c WINDOW w AS (PARTITION BY lecture_id)),
+    q AS (SELECT lecture_id, x, y, CAST(CASE WHEN x1 > x0 THEN greatest(0, least({_PIXELS - 1}, floor((x - x0) / (x1 - x0) * {_PIXELS}))) ELSE 0 END AS INTEGER) AS k FROM p)
+    {_thin_sql("q", "lecture_id")}""")
+def plot_overview(spark, sf):
+    return plots.overview(_edges(spark, sf), _PIXELS)
+
+
+def _anchors(spark, sf) -> DataFrame:
+    """Truths for the curves of _edges: every 23rd window's start."""
+    rows = _edges(spark, sf).where("right_window_id % 23 = 0")
+    return rows.select("lecture_id", F.col("right_window_id").alias("gt_index"), F.col("right_start").alias("time"))
+
+
+_ZOOM = f"""{_DIPS}, c AS (SELECT lecture_id, CAST(right_window_id AS DOUBLE) AS x, 1 - similarity AS y FROM edges), pr AS (SELECT lecture_id, CAST(right_window_id AS DOUBLE) AS x FROM x WHERE similarity < 0.05 AND low),
+    g AS (SELECT lecture_id, right_window_id AS gt_index, CAST(right_window_id AS DOUBLE) AS t, row_number() OVER (PARTITION BY lecture_id ORDER BY right_window_id) - 1 AS i, count(*) OVER (PARTITION BY lecture_id) AS n FROM edges WHERE right_window_id % 23 = 0)"""
+
+
+@_query(f"""
+    WITH {_ZOOM}, d AS (SELECT g.lecture_id, gt_index, min({{'y': y, 'x': x}}) AS d FROM g JOIN c ON c.lecture_id = g.lecture_id AND abs(c.x - t) <= 40 GROUP BY ALL),
+    l AS (SELECT g.lecture_id, gt_index, string_agg(CAST(CAST(pr.x AS INTEGER) AS VARCHAR), ';' ORDER BY pr.x) AS preds FROM g JOIN pr ON pr.lecture_id = g.lecture_id AND abs(pr.x - t) <= 40 GROUP BY ALL)
+    SELECT g.lecture_id, g.gt_index, CAST(i // 3 AS INTEGER) AS "row", CAST(i % 3 AS INTEGER) AS col, CAST(ceil(n / 3) AS INTEGER) AS "rows", t - 40 AS x_min, t + 40 AS x_max, coalesce(preds, '') AS preds, d.d.x AS dip_x, round(d.d.y, 6) AS dip_y
+    FROM g LEFT JOIN d USING (lecture_id, gt_index) LEFT JOIN l USING (lecture_id, gt_index)""")
+def plot_zoom_panels(spark, sf):
+    edges = _edges(spark, sf)
+    found = plots.zoom_panels(edges, _anchors(spark, sf), signals.dips(edges, 0.05), 40.0, invert=True)
+    preds = F.array_join(F.transform("preds", lambda x: x.cast("int").cast("string")), ";")
+    return found.withColumns({"preds": preds, "dip_y": F.round("dip_y", 6)})
+
+
+@_query(f"""
+    WITH {_ZOOM}, s AS (SELECT lecture_id, x, y, coalesce(lead(x) OVER w, x) AS nx, coalesce(lead(y) OVER w, y) AS ny FROM c WINDOW w AS (PARTITION BY lecture_id ORDER BY x)),
+    m AS (SELECT g.lecture_id, gt_index, t, s.* EXCLUDE (lecture_id) FROM g JOIN s ON s.lecture_id = g.lecture_id AND s.nx >= t - 40 AND s.x <= t + 40),
+    e2 AS (SELECT lecture_id, gt_index, t, x, y FROM m UNION SELECT lecture_id, gt_index, t, nx, ny FROM m),
+    q AS (SELECT lecture_id, gt_index, x, y, CAST(CASE WHEN x < t - 40 THEN -1 WHEN x > t + 40 THEN 8 ELSE least(7, floor((x - t + 40) / 80 * 8)) END AS INTEGER) AS k FROM e2)
+    SELECT lecture_id, gt_index, "column", x, round(y, 6) AS y FROM ({_thin_sql("q", "lecture_id, gt_index")})""")
+def plot_zoom_curves(spark, sf):
+    return plots.zoom_curves(_edges(spark, sf), _anchors(spark, sf), 40.0, 8, invert=True).withColumn("y", F.round("y", 6))
+
+
+#: Result files as runs leave them: each family's table has a header of its own.
+_FAMILIES = [("expA_summary_table", "click", "Representation"), ("expB_window_size_summary", "view", "Window Size"), ("expD_model_comparison", "purchase", "Model"), ("expF1_marker_gated_summary", "error", "Setting"), ("expF2_prominence_summary", "signup", "Setting")]
+_RESULTS_SQL = f"""{_E}, fam(family, kind) AS (VALUES {", ".join(f"('{n[3:].split('_')[0]}', '{k}')" for n, k, _ in _FAMILIES)}),
+    res AS (SELECT family, CASE WHEN user_id % 2 = 0 THEN 'coarse' ELSE 'fine' END AS protocol, event_id % 9 AS k, CAST(printf('%.4f', avg(CAST(floor(value * 100) AS BIGINT)) / 100000) AS DOUBLE) AS f1
+      FROM e JOIN fam ON kind = event_type GROUP BY ALL),
+    good AS (SELECT * FROM res WHERE k <> 4),
+    best AS (SELECT family, protocol, 's' || k AS setting, f1 AS best FROM good QUALIFY row_number() OVER (PARTITION BY family, protocol ORDER BY f1 DESC, k) = 1)"""
+
+
+def _results(spark, sf) -> DataFrame:
+    """The tables of runs written as CSV files to the shared folder and read back: every fifth setting's F1 is no number."""
+    import uuid
+
+    path = f"{scratch.shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    scratch.drop_at_exit(spark, path)
+    rows = _events(spark, sf).withColumns({"protocol": F.when(F.col("user_id") % 2 == 0, "coarse").otherwise("fine"), "k": F.col("event_id") % 9})
+    means = rows.groupBy("event_type", "protocol", "k").agg((F.avg(F.floor(F.col("value") * 100)) / 100000).alias("f1")).cache()
+    for name, kind, setting in _FAMILIES:
+        for protocol in ("coarse", "fine"):
+            own = means.where((F.col("event_type") == kind) & (F.col("protocol") == protocol))
+            f1 = F.when(F.col("k") == 4, "n/a, bad").otherwise(X.exact_text(F.col("f1"), 4))
+            cells = own.select("k", F.concat(F.lit("s"), "k").alias(setting), F.lit('say "so"').alias(f"Note {kind}"), f1.alias("F1"))
+            sinks.write_csv(cells.orderBy("k").drop("k"), f"{path}/{name}_{protocol}.csv", [setting, f"Note {kind}", "F1"])
+    means.unpersist()
+    return reports.read_tables(spark, path)
+
+
+@_query(f"""
+    WITH {_RESULTS_SQL}
+    SELECT family, c.setting AS coarse_setting, c.best AS coarse_best, f.setting AS fine_setting, f.best AS fine_best, round(f.best - c.best, 6) AS delta, coalesce(printf('%+.4f', f.best - c.best), '-') AS shown, coalesce(f.best > c.best, false) AS gain
+    FROM (SELECT * FROM best WHERE protocol = 'coarse') c FULL JOIN (SELECT * FROM best WHERE protocol = 'fine') f USING (family)""")
+def report_comparison(spark, sf):
+    found = reports.compare_protocols(reports.best_rows(_results(spark, sf)))
+    return found.select("family", "coarse_setting", "coarse_best", "fine_setting", "fine_best", F.round("delta", 6).alias("delta"), "shown", "gain")
+
+
+@_query(f"""
+    WITH {_RESULTS_SQL}, x AS (SELECT family, protocol, k, CASE WHEN k = 4 THEN 'n/a, bad' ELSE printf('%.4f', f1) END AS v, CASE WHEN k <> 4 THEN f1 END AS f1 FROM res)
+    SELECT family, protocol, CAST(row_number() OVER (PARTITION BY family, protocol ORDER BY k) - 1 AS INTEGER) AS "row", v AS "value", coalesce(f1 = max(f1) OVER (PARTITION BY family, protocol), false) AS best FROM x""")
+def report_cells(spark, sf):
+    """The F1 column of every table, with its best cells marked."""
+    return reports.marked_cells(_results(spark, sf)).where("column = 'F1'").select("family", "protocol", "row", "value", "best")

@@ -1,11 +1,14 @@
-"""Whole experiments as single plans: parameters are columns or loops over plans, never over collected rows."""
+"""Whole experiments as single plans. A sweep is one pass: what does not depend on a setting (curves, distances to the
+nearest cue or slide) is made once, then each row goes on once for each setting that it may pass, with the setting's
+parameters as columns and its name as a part of the sequence key."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -13,6 +16,8 @@ from ..functions.text import FILLERS, MARKER_TAGS, cue_count, cue_tags, hms_near
 from ..operators import evaluate as E
 from ..operators import folds, sequences, signals
 from ..operators import temporal_joins as J
+from ..operators.embedding import embed
+from ..operators.keys import once, with_settings
 
 #: Signals that each fused model takes. Fixed values.
 MODELS = {
@@ -31,16 +36,63 @@ def _preds(rows: DataFrame, time: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.col(time).alias("time"), (F.row_number().over(w) - 1).cast("int").alias("pred_index"))
 
 
-def score_settings(preds: DataFrame, truths: DataFrame, settings: DataFrame, tolerance: float = 30.0) -> DataFrame:
+#: Parameters of a setting; those that it does not name are null, and ask for nothing.
+SETTING = "setting string, threshold double, need_minimum boolean, least_prominence double, delta double, slide_rule string, slide_window double, distance double, tolerance double"
+
+
+def score_settings(preds: DataFrame, truths: DataFrame, settings: list[dict] | list[str], tolerance: float = 30.0) -> DataFrame:
     """Reports of every (setting, lecture): the settings are part of the sequence key, so all are one job. preds:
-    setting, lecture_id, time."""
+    setting, lecture_id, time. Settings are names, or have a ``tolerance`` of their own."""
+    named = [{"setting": s} if isinstance(s, str) else s for s in settings]
+    grid = [{"setting": s["setting"], "_tol": tolerance if s.get("tolerance") is None else s["tolerance"]} for s in named]
+    kind = "setting string, _tol double"
     key = F.struct("setting", "lecture_id").alias("case")
-    names = settings.select("setting").distinct()
-    cases = truths.select("lecture_id").distinct().crossJoin(names).select(key)  # lectures x settings: a stated grid
-    many = truths.crossJoin(names).select(key, "time", "gt_index")
+    many = with_settings(truths.select("lecture_id", "time", "gt_index"), grid, kind).select(key, "time", "gt_index", "_tol")
+    within = F.create_map(*(F.lit(v) for g in grid for v in (g["setting"], g["_tol"])))
     w = Window.partitionBy("case").orderBy("time")
-    p = preds.select(key, "time").withColumn("pred_index", (F.row_number().over(w) - 1).cast("int"))
-    return E.report(p, many, tolerance, "case", cases).select("case.*", "pred_count", "gt_count", "tp", "fp", "fn", "precision", "recall", "f1")
+    p = preds.select(key, "time", F.element_at(within, F.col("setting")).alias("_tol")).withColumn("pred_index", (F.row_number().over(w) - 1).cast("int"))
+    return E.report(p, many, "_tol", "case").select("case.*", "pred_count", "gt_count", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
+def boundary_sweep(edges: DataFrame, settings: list[dict], marks: DataFrame | None = None, slides: DataFrame | None = None, span: int = 1) -> DataFrame:
+    """setting, lecture_id, boundary_time, similarity: the boundaries of every setting (see SETTING), from one scan of
+    the edges, one of the markers (time) and one or two of the slides (time).
+
+    A dip is under the threshold, a local minimum if need_minimum, of least_prominence, within delta of a marker, and
+    with slide_rule ``and`` within slide_window of a slide; with ``or`` slides within delta of a marker join in with
+    similarity 1. Boundaries are spaced by distance (the strongest of a crowd stays), or not at all.
+    """
+    rows = signals.shaped(edges, span).where(F.col("similarity") < max(s["threshold"] for s in settings))
+    rows = rows.select("lecture_id", F.col("right_start").alias("boundary_time"), "similarity", "_minimum", "prominence")
+    near = lambda rows, events, name: J.nearest(rows, events.select("lecture_id", F.col("time").alias("r_time"), F.lit(0).alias("r_idx")), left_time="boundary_time").drop("r_time", "r_idx").withColumnRenamed("distance", name)
+    met = F.col("similarity") < F.col("threshold")
+    met &= ~F.coalesce("need_minimum", F.lit(False)) | F.col("_minimum")
+    met &= F.col("least_prominence").isNull() | (F.col("prominence") >= F.col("least_prominence") - 1e-12)
+    if any(s.get("delta") is not None for s in settings):
+        rows = near(rows, marks, "_mark")
+        met &= F.col("delta").isNull() | (F.col("_mark") <= F.col("delta"))
+    if any(s.get("slide_rule") == "and" for s in settings):
+        rows = near(rows, slides, "_slide")
+        met &= F.col("slide_rule").isNull() | (F.col("slide_rule") == "or") | (F.col("_slide") <= F.col("slide_window"))
+    kept = with_settings(rows, settings, SETTING).where(met).select("setting", "lecture_id", "boundary_time", "similarity", "distance")
+    if extra := [s for s in settings if s.get("slide_rule") == "or"]:
+        aux = near(slides.select("lecture_id", F.col("time").alias("boundary_time")), marks, "_mark")
+        aux = with_settings(aux.drop("distance"), extra, SETTING).where(F.col("_mark") <= F.col("delta"))
+        kept = kept.unionByName(aux.select("setting", "lecture_id", "boundary_time", F.lit(1.0).alias("similarity"), "distance"))
+    kept = kept.withColumn("distance", F.coalesce("distance", F.lit(0.0)))  # at a distance of 0 all stay
+    whole = ["setting", "lecture_id"]
+    kept = signals.reindexed(kept, "boundary_index", whole, "boundary_time", "similarity")
+    return folds.space_strongest(kept, "distance", whole).select(*whole, "boundary_time", "similarity")
+
+
+def _swept(edges: DataFrame, truths: DataFrame, settings: list[dict], tolerance: float, marks: DataFrame | None = None, slides: DataFrame | None = None) -> DataFrame:
+    found = boundary_sweep(edges, settings, marks, slides).select("setting", "lecture_id", F.col("boundary_time").alias("time"))
+    return score_settings(found, truths, settings, tolerance)
+
+
+def marks_of(cues: DataFrame, distance: float = 20.0) -> DataFrame:
+    """Marker times, spaced."""
+    return folds.space_first(signals.marker_times(cues), distance)
 
 
 def windows_from_cues(cues: DataFrame, representation: str = "sentence", size: float = 5, min_chars: int = 25, stride: int = 1) -> DataFrame:
@@ -59,15 +111,12 @@ def semantic_boundaries(edges: DataFrame, threshold: float = 0.55, rule: str = "
 
 
 def distance_sweep(edges: DataFrame, truths: DataFrame, distances: list[float], threshold: float = 0.55, tolerance: float = 30.0) -> DataFrame:
-    found = [semantic_boundaries(edges, threshold, distance=d).select(F.lit(setting_id("d", d=d)).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for d in distances]
-    settings = edges.sparkSession.createDataFrame([(setting_id("d", d=d),) for d in distances], "setting string")
-    return score_settings(_union(found), truths, settings, tolerance)
+    return _swept(edges, truths, [{"setting": setting_id("d", d=d), "threshold": threshold, "need_minimum": True, "distance": d} for d in distances], tolerance)
 
 
 def rule_ablation(edges: DataFrame, truths: DataFrame, threshold: float = 0.55, distance: float = 20.0, tolerance: float = 30.0) -> DataFrame:
-    rules = ["threshold", "minimum", "minimum+distance"]
-    found = [semantic_boundaries(edges, threshold, r, distance).select(F.lit(r).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for r in rules]
-    return score_settings(_union(found), truths, edges.sparkSession.createDataFrame([(r,) for r in rules], "setting string"), tolerance)
+    rules = {"threshold": {}, "minimum": {"need_minimum": True}, "minimum+distance": {"need_minimum": True, "distance": distance}}
+    return _swept(edges, truths, [{"setting": r, "threshold": threshold, **how} for r, how in rules.items()], tolerance)
 
 
 def signal_times(cues: DataFrame, slides: DataFrame, edges: DataFrame | None = None, distance: float = 20.0, threshold: float = 0.55) -> DataFrame:
@@ -94,14 +143,14 @@ def signal_fusion(cues: DataFrame, slides: DataFrame, truths: DataFrame, edges:
     """Reports of all fused models; those with the semantic signal need edges."""
     models = {m: s for m, s in MODELS.items() if edges is not None or "semantic" not in s}
     found = fuse(signal_times(cues, slides, edges, distance), models, distance)
-    return score_settings(found, truths, cues.sparkSession.createDataFrame([(m,) for m in models], "setting string"), tolerance)
+    return score_settings(found, truths, list(models), tolerance)
 
 
 def marker_gated(edges: DataFrame, cues: DataFrame, threshold: float = 0.6, delta: float = 15.0, distance: float = 30.0, least_prominence: float | None = None, slides: DataFrame | None = None, slide_rule: str = "or", slide_window: float = 20.0, marker_distance: float = 20.0) -> DataFrame:
     """Dips with a marker nearby, by choice of some prominence, by choice with slides (``or``: slide times that have a
     marker nearby join in, whatever slide_window; ``and``: a slide within slide_window is needed too), then spaced."""
     found = signals.dips(edges, threshold, least_prominence=least_prominence)
-    marks = folds.space_first(signals.marker_times(cues), marker_distance)
+    marks = marks_of(cues, marker_distance)
     reason = "marker_gated_semantic" if least_prominence is None else "marker_gated_prominence_semantic"
     if slides is None:
         kept = J.gate(found, marks, delta, reason)
@@ -114,15 +163,15 @@ def marker_gated(edges: DataFrame, cues: DataFrame, threshold: float = 0.6, delt
 
 
 def gate_sweep(edges: DataFrame, cues: DataFrame, truths: DataFrame, deltas: list[float], thresholds: list[float], distance: float = 30.0, tolerance: float = 30.0) -> DataFrame:
-    names = {setting_id("F1", pm=d, c=t, md=distance): (d, t) for d in deltas for t in thresholds}
-    found = [marker_gated(edges, cues, t, d, distance).select(F.lit(n).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for n, (d, t) in names.items()]
-    return score_settings(_union(found), truths, edges.sparkSession.createDataFrame([(n,) for n in names], "setting string"), tolerance)
+    settings = [{"setting": setting_id("F1", pm=d, c=t, md=distance), "threshold": t, "need_minimum": True, "delta": d, "distance": distance} for d in deltas for t in thresholds]
+    return _swept(edges, truths, settings, tolerance, marks_of(cues))
 
 
 def draft_labels(cues: DataFrame) -> DataFrame:
     """lecture_id, idx, time, label, topic, text of the cues that have a class."""
-    rows = cues.select("lecture_id", F.col("block_id").alias("idx"), F.col("start").alias("time"), "text", L.cue_class(F.col("text")).alias("class"), L.topic(F.col("text")).alias("raw")).where("class is not null")
-    rows = rows.withColumn("label", L.question_value(F.col("class"), F.col("text"), F.col("raw")))
+    rows = cues.select("lecture_id", F.col("block_id").alias("idx"), F.col("start").alias("time"), "text")
+    rows = once(once(rows, **{"class": L.cue_class(F.col("text"))}).where("class is not null"), raw=L.topic(F.col("text")))
+    rows = once(rows, label=L.question_value(F.col("class"), F.col("text"), F.col("raw")))
     return rows.select("lecture_id", "idx", "time", "label", L.schema_topic(F.col("label"), F.col("raw"), F.col("text")).alias("topic"), "text")
 
 
@@ -201,42 +250,51 @@ def top_candidates(edges: DataFrame, most: int) -> DataFrame:
 
 # ---- sweeps from cues to tables of results
 
-def _edges_of(cues: DataFrame, embed: Callable[[DataFrame], DataFrame], representation: str, size: float) -> DataFrame:
-    return signals.adjacent_similarity(embed(windows_from_cues(cues, representation, size)))
+def windows_of_settings(cues: DataFrame, raw_cues: DataFrame, settings: list[tuple[str, float]], min_chars: int = 25) -> DataFrame:
+    """Windows of every (representation, size), with setting (``sentence_5``): all sizes of sentence windows are one pass
+    over the units of cues, all sizes of time windows one over the raw cues."""
+    grid = lambda kind: [{"setting": f"{kind}_{size:g}", "_size": size} for k, size in settings if k == kind]
+    whole, found = ["setting", "lecture_id"], []
+    if own := grid("sentence"):
+        units = sequences.merge_short(sequences.sentence_units(cues), min_chars)
+        found.append(sequences.sliding_windows(with_settings(units, own, "setting string, _size double"), "_size", seq=whole, most=int(max(s["_size"] for s in own))))
+    if own := grid("time"):
+        found.append(sequences.tumbling_windows(with_settings(raw_cues, own, "setting string, _size double"), "_size", whole))
+    return _union(found)
 
 
-def representation_sweep(cues: DataFrame, truths: DataFrame, embed: Callable[[DataFrame], DataFrame], settings: list[tuple[str, float]] | None = None, threshold: float = 0.55, distance: float = 20.0, tolerance: float = 30.0) -> DataFrame:
-    """Reports of each representation (``sentence`` or ``time``) and size: windows, edges, dips, spacing, matching.
-    embed gives windows their embeddings."""
+def representation_sweep(cues: DataFrame, raw_cues: DataFrame, truths: DataFrame, embed: Callable[[DataFrame], DataFrame], settings: list[tuple[str, float]] | None = None, threshold: float = 0.55, distance: float = 20.0, tolerance: float = 30.0) -> DataFrame:
+    """Reports of each representation and size: windows, edges, dips, spacing, matching. Sentence windows are of cues,
+    which are cleaned; time windows are of raw cues. embed gives windows their embeddings, of all settings at once."""
     settings = settings or [("sentence", 5), ("time", 10.0)]
-    names = [f"{kind}_{size:g}" for kind, size in settings]
-    found = [semantic_boundaries(_edges_of(cues, embed, kind, size), threshold, distance=distance).select(F.lit(n).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for n, (kind, size) in zip(names, settings)]
-    return score_settings(_union(found), truths, cues.sparkSession.createDataFrame([(n,) for n in names], "setting string"), tolerance)
+    whole = ["setting", "lecture_id"]
+    edges = signals.adjacent_similarity(embed(windows_of_settings(cues, raw_cues, settings)), whole)
+    dips = signals.dips(edges, threshold, seq=whole)
+    found = folds.space_strongest(dips.select(*whole, "boundary_time", "boundary_index", "similarity"), distance, whole)
+    return score_settings(found.select(*whole, F.col("boundary_time").alias("time")), truths, [f"{kind}_{size:g}" for kind, size in settings], tolerance)
 
 
 def window_sweep(cues: DataFrame, truths: DataFrame, embed: Callable[[DataFrame], DataFrame], sizes: list[int] | None = None, **how: float) -> DataFrame:
     """Reports of sentence windows of each size."""
-    return representation_sweep(cues, truths, embed, [("sentence", n) for n in sizes or [1, 3, 5, 7, 10]], **how)
+    return representation_sweep(cues, cues, truths, embed, [("sentence", n) for n in sizes or [1, 3, 5, 7, 10]], **how)
 
 
-def prominence_sweep(edges: DataFrame, cues: DataFrame, truths: DataFrame, least: list[float] | None = None, tolerance: float = 30.0, **gate: float) -> tuple[DataFrame, DataFrame]:
+def prominence_sweep(edges: DataFrame, cues: DataFrame, truths: DataFrame, least: list[float] | None = None, tolerance: float = 30.0, threshold: float = 0.6, delta: float = 15.0, distance: float = 30.0, marker_distance: float = 20.0) -> tuple[DataFrame, DataFrame]:
     """Reports of gated dips for each least prominence, and how many lectures each improves on the first."""
-    names = {setting_id("F2", p=x): x for x in least or [0.0, 0.02, 0.04, 0.06, 0.08]}
-    found = [marker_gated(edges, cues, least_prominence=x, **gate).select(F.lit(n).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for n, x in names.items()]
-    rows = score_settings(_union(found), truths, edges.sparkSession.createDataFrame([(n,) for n in names], "setting string"), tolerance)
-    return rows, E.improvements(rows, rows.where(F.col("setting") == next(iter(names))), "setting")
+    settings = [{"setting": setting_id("F2", p=x), "threshold": threshold, "need_minimum": True, "least_prominence": x, "delta": delta, "distance": distance} for x in least or [0.0, 0.02, 0.04, 0.06, 0.08]]
+    rows = _swept(edges, truths, settings, tolerance, marks_of(cues, marker_distance))
+    return rows, E.improvements(rows, rows.where(F.col("setting") == settings[0]["setting"]), "setting")
 
 
 #: Slide variants: rule and distance of slides. Fixed values.
 SLIDE_VARIANTS = [("or", 20.0), ("or", 30.0), ("and", 20.0)]
 
 
-def slide_sweep(edges: DataFrame, cues: DataFrame, slides: DataFrame, truths: DataFrame, reference_f1: float, variants: list[tuple[str, float]] | None = None, tolerance: float = 30.0, **gate: float) -> tuple[DataFrame, DataFrame]:
+def slide_sweep(edges: DataFrame, cues: DataFrame, slides: DataFrame, truths: DataFrame, reference_f1: float, variants: list[tuple[str, float]] | None = None, tolerance: float = 30.0, threshold: float = 0.6, delta: float = 15.0, distance: float = 30.0, marker_distance: float = 20.0) -> tuple[DataFrame, DataFrame]:
     """Reports of each way to join slides in, and each one's macro average with its difference to a reference F1."""
-    variants = variants or SLIDE_VARIANTS
-    names = [f"{rule.upper()}{window:g}" for rule, window in variants]
-    found = [marker_gated(edges, cues, slides=slides, slide_rule=rule, slide_window=window, **gate).select(F.lit(n).alias("setting"), "lecture_id", F.col("boundary_time").alias("time")) for n, (rule, window) in zip(names, variants)]
-    rows = score_settings(_union(found), truths, edges.sparkSession.createDataFrame([(n,) for n in names], "setting string"), tolerance)
+    gate = {"threshold": threshold, "need_minimum": True, "delta": delta, "distance": distance}
+    settings = [{"setting": f"{rule.upper()}{window:g}", "slide_rule": rule, "slide_window": window, **gate} for rule, window in variants or SLIDE_VARIANTS]
+    rows = _swept(edges, truths, settings, tolerance, marks_of(cues, marker_distance), slides)
     return rows, delta_to(E.macro_average(rows, "setting"), "avg_f1", reference_f1)
 
 
@@ -251,10 +309,28 @@ def stage_counts(stages: dict[str, DataFrame], seq: str = "lecture_id") -> DataF
     return long.groupBy(seq).pivot("stage", list(stages)).count().na.fill(0, list(stages))
 
 
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """rows, and how many there were (``.get["rows"]``) once whatever uses them has run: no pass of its own."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def kept_edges(windows: DataFrame, path: str, windowing: str, model: str, make_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """Edges of windows by a model, with windowing and model: made once and kept under the path by those two names, read
+    from there ever after."""
+    from ..sources import sinks, transcripts
+
+    spark = windows.sparkSession
+    place = f"{path.rstrip('/')}/windowing={windowing}/model={model}"
+    if not transcripts.exists(spark, f"{place}/_SUCCESS"):
+        sinks.write_vectors(signals.adjacent_similarity(embed(windows, make_model)), place)
+    return spark.read.parquet(place).select(F.lit(windowing).alias("windowing"), F.lit(model).alias("model"), "*")
+
+
 def compare_truths(preds: DataFrame, old: DataFrame, new: DataFrame, tolerance: float = 30.0) -> tuple[DataFrame, DataFrame]:
     """Predictions (setting, lecture_id, time) under two versions of the truth: metrics side by side with differences
     for each setting and lecture, and their means for each setting."""
-    settings = preds.select("setting").distinct()
+    settings = sorted(r["setting"] for r in preds.select("setting").distinct().collect())  # a sweep's names
     detail = E.compare_versions(*(score_settings(preds, t, settings, tolerance) for t in (old, new)), "setting", "lecture_id")
     means = [F.avg(c).alias(c) for c in detail.columns if c not in ("setting", "lecture_id")]
     return detail, detail.groupBy("setting").agg(F.count("*").alias("lectures"), *means)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html import escape
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 def write_csv(df: DataFrame, path: str, header: list[str]) -> None:
     """One CSV file with the given columns in order; null cells are blank. For report tables, not for large data."""
-    df.select(*header).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.select(*header).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -24,8 +25,9 @@ def write_vectors(df: DataFrame, path: str) -> None:
 
 
 def write_lines(df: DataFrame, path: str, line: str, *order: str) -> None:
-    """One text line per row, in order within each file."""
-    df.sortWithinPartitions(*order).select(F.col(line).alias("value")).write.mode("overwrite").text(path)
+    """One text line per row, in order over all files: their numbers grow with the order, and so do lines in each."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges.select(F.col(line).alias("value")).write.mode("overwrite").text(path)
 
 
 def replace_keyed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -38,6 +40,16 @@ def overwrite_partitions(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def replace_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: what a batch says of a key takes the place of all that is there of it. A batch that is run again
+    writes the same rows in the same place, so nothing doubles."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        overwrite_partitions(batch, path, key)
+
+    return write
+
+
 def pretty_json(df: DataFrame) -> str:
     """A small table as one JSON document, a list of indented records in which characters stay as they are. The rows go
     through the driver one partition at a time."""
@@ -52,15 +64,33 @@ def preview(items: Column, most: int = 8) -> Column:
     return F.when(more > 0, F.concat(shown, F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(shown)
 
 
-def html_table(df: DataFrame, best: str | None = None) -> str:
-    """A report's table as HTML, all its rows, the one with the greatest value of ``best`` (first of equals) highlighted."""
+def html_table(df: DataFrame, best: str | None = None, whole_row: bool = False, most: int = 100_000) -> str:
+    """A report's table as HTML, all its rows. In the column ``best`` the cells with the greatest number are highlighted,
+    or with whole_row the first row that has it; cells that are no numbers are passed over. For reports: a table of more
+    than ``most`` rows is refused, as the page is made on the driver."""
+    if (n := df.limit(most + 1).count()) > most:
+        raise ValueError(f"a report shows up to {most} rows")
+    if not n:
+        return "<p><em>No data</em></p>"
     rows = list(df.toLocalIterator())
-    values = [r[best] if best else None for r in rows]
+    values = [_number(r[best]) if best else None for r in rows]
     top = max((v for v in values if v is not None), default=None)
-    first = values.index(top) if top is not None else -1
+    first = next((i for i, v in enumerate(values) if v == top and v is not None), -1)
     head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
-    body = "".join(f"<tr{' class="best"' if i == first else ''}>" + "".join(f"<td>{'' if v is None else escape(str(v))}</td>" for v in r) + "</tr>" for i, r in enumerate(rows))
-    return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
+    body = []
+    for i, (r, v) in enumerate(zip(rows, values)):
+        hit = v is not None and abs(v - top) < 1e-12
+        cells = "".join(f"<td{' class="best"' if hit and c == best and not whole_row else ''}>{'' if x is None else escape(str(x))}</td>" for c, x in zip(df.columns, r))
+        body.append(f"<tr{' class="best"' if whole_row and i == first else ''}>{cells}</tr>")
+    return f"<table><thead><tr>{head}</tr></thead><tbody>{''.join(body)}</tbody></table>"
+
+
+def _number(cell) -> float | None:
+    try:
+        v = float(cell)
+    except (TypeError, ValueError):
+        return None
+    return v if v == v else None
 
 
 def html_report(title: str, tables: dict[str, tuple[DataFrame, str | None]]) -> str:

@@ -11,40 +11,59 @@ CUES = "lecture_id string, block_id int, start double, end double, text string"
 _ARROW = "-->"
 
 
-def _whole(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True)
+def bodies(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """lecture_id (the file's name without suffix and extension), body: whole files with ends of lines made one kind."""
+    return _named(spark.read.text(path, wholetext=True), suffix)
+
+
+def stream_bodies(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """The same as a stream of the files that come to a folder or glob."""
+    return _named(spark.readStream.text(path, wholetext=True), suffix)
+
+
+def _named(raw: DataFrame, suffix: str) -> DataFrame:
     return raw.select(file_stem(F.col("_metadata.file_path"), suffix).alias("lecture_id"), F.regexp_replace("value", "\r\n?", "\n").alias("body"))
 
 
-def read_cues(spark: SparkSession, path: str, cleaning: str = "tags", drop_empty: bool = False, skip_notes: bool = True) -> DataFrame:
-    """CUES of WebVTT files, one row per cue in file order.
+def cues_of(files: DataFrame, cleaning: str = "tags", drop_empty: bool = False, skip_notes: bool = True, strict: bool = False) -> DataFrame:
+    """CUES of WebVTT bodies (lecture_id, body), a table or a stream: one row per cue in file order.
 
     cleaning: strict (tags and [labels] go), tags, or none (the raw variant). drop_empty leaves out cues whose cleaned
-    text is empty. An id line before the times is passed over; text ends at a blank line.
+    text is empty. An id line before the times is passed over; text ends at a blank line. A time that is no clock is
+    null, or with strict stops the job. A body is taken apart where it lies; nothing is shuffled.
     """
-    blocks = _whole(spark, path, "").select("lecture_id", F.posexplode(F.split("body", r"\n[ \t]*\n")).alias("place", "block"))
+    blocks = F.split("body", r"\n[ \t]*\n")
     if skip_notes:
-        blocks = blocks.where(~F.rlike(F.trim("block"), F.lit(r"^NOTE\b[^\n]*$")))
-    lines = F.transform(F.split("block", "\n"), lambda x: F.trim(x))
-    blocks = blocks.select("lecture_id", "place", lines.alias("lines")).where(F.exists("lines", lambda x: F.contains(x, F.lit(_ARROW))))
-    at = F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit(_ARROW))), True).cast("int")
-    cues = blocks.select("lecture_id", "place", F.element_at("lines", at).alias("times"), F.array_join(F.filter(F.slice("lines", at + 1, F.size("lines")), lambda x: x != ""), " ").alias("text"))
-    cues = cues.select(
-        "lecture_id", "place",
-        clock_seconds(F.regexp_extract("times", r"(\S+)\s*-->", 1)).alias("start"),
-        clock_seconds(F.regexp_extract("times", r"-->\s*(\S+)", 1)).alias("end"),
-        clean(F.col("text"), cleaning).alias("text"),
-    )
+        blocks = F.filter(blocks, lambda b: ~F.rlike(F.trim(b), F.lit(r"^NOTE\b[^\n]*$")))
+    lines = F.filter(F.transform(blocks, lambda b: F.transform(F.split(b, "\n"), lambda x: F.trim(x))), lambda b: F.exists(b, lambda x: F.contains(x, F.lit(_ARROW))))
+
+    def cue(b: Column) -> Column:
+        at = F.array_position(F.transform(b, lambda x: F.contains(x, F.lit(_ARROW))), True).cast("int")
+        text = F.array_join(F.filter(F.slice(b, at + 1, F.size(b)), lambda x: x != ""), " ")
+        return F.struct(F.element_at(b, at).alias("times"), clean(text, cleaning).alias("text"))
+
+    cues = F.transform(lines, cue)
     if drop_empty:
-        cues = cues.where("text != ''")
-    number = F.row_number().over(Window.partitionBy("lecture_id").orderBy("place")) - 1
-    return cues.select("lecture_id", number.cast("int").alias("block_id"), "start", "end", "text")
+        cues = F.filter(cues, lambda c: c["text"] != "")
+    rows = files.select("lecture_id", F.posexplode(cues).alias("block_id", "_c"))
+    clock = lambda pattern: clock_seconds(F.regexp_extract("_c.times", pattern, 1), strict)
+    return rows.select("lecture_id", "block_id", clock(r"(\S+)\s*-->").alias("start"), clock(r"-->\s*(\S+)").alias("end"), F.col("_c.text").alias("text"))
+
+
+def read_cues(spark: SparkSession, path: str, cleaning: str = "tags", drop_empty: bool = False, skip_notes: bool = True, strict: bool = False) -> DataFrame:
+    """CUES of WebVTT files, as cues_of() takes them apart."""
+    return cues_of(bodies(spark, path), cleaning, drop_empty, skip_notes, strict)
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """lecture_id, line, value: the trimmed lines of bodies."""
+    return files.select("lecture_id", F.posexplode(F.split("body", "\n")).alias("line", "value")).withColumn("value", F.trim("value"))
 
 
 def _lines(spark: SparkSession, path: str, suffix: str, optional: bool = False) -> DataFrame:
     if optional and not exists(spark, path):
         return spark.createDataFrame([], "lecture_id string, line int, value string")
-    return _whole(spark, path, suffix).select("lecture_id", F.posexplode(F.split("body", "\n")).alias("line", "value")).withColumn("value", F.trim("value"))
+    return lines_of(bodies(spark, path, suffix))
 
 
 def _numbered(rows: DataFrame, name: str, *order: str) -> Column:
@@ -57,8 +76,13 @@ def read_boundaries(spark: SparkSession, path: str, suffix: str = "_boundaries",
     File order is kept; lenient takes one-digit hours, needs a title and sorts by time; strip_prefix takes a leading
     ``L<n>:`` off titles and sorts too. With optional, files that do not exist give an empty table.
     """
+    return boundaries_of(_lines(spark, path, suffix, optional), lenient, strip_prefix)
+
+
+def boundaries_of(lines: DataFrame, lenient: bool = False, strip_prefix: bool = False) -> DataFrame:
+    """read_boundaries' rows of lines (lines_of())."""
     pattern = r"^(\d{1,2}:\d{2}:\d{2})\s+(.+)$" if lenient else r"^(\d{2}:\d{2}:\d{2})\s+(.*)$"
-    rows = _lines(spark, path, suffix, optional).withColumn("time_str", F.regexp_extract("value", pattern, 1)).where("time_str != ''")
+    rows = lines.withColumn("time_str", F.regexp_extract("value", pattern, 1)).where("time_str != ''")
     title = F.trim(F.regexp_extract("value", pattern, 2))
     if strip_prefix:
         title = F.regexp_replace(title, r"^L\d+:\s*", "")
@@ -68,7 +92,11 @@ def read_boundaries(spark: SparkSession, path: str, suffix: str = "_boundaries",
 
 def read_fine_boundaries(spark: SparkSession, path: str, suffix: str = "_boundaries") -> DataFrame:
     """Fine annotations with their tab-separated parts: seg_id, label, section, topic beside read_boundaries' columns."""
-    rows = read_boundaries(spark, path, suffix)
+    return fine_parts(read_boundaries(spark, path, suffix))
+
+
+def fine_parts(rows: DataFrame) -> DataFrame:
+    """Boundaries with the tab-separated parts of their titles."""
     part = F.split("title", "\t")
     topic = F.regexp_extract(F.get(part, F.lit(2)), r"^(.*?) : (.*)$", 2)
     section = F.regexp_extract(F.get(part, F.lit(2)), r"^(.*?) : (.*)$", 1)
@@ -77,8 +105,12 @@ def read_fine_boundaries(spark: SparkSession, path: str, suffix: str = "_boundar
 
 def read_silences(spark: SparkSession, path: str, suffix: str = "_pred") -> DataFrame:
     """lecture_id, time of MM:SS.cc lines, sorted by whoever reads them; digits after the second of the fraction are cut."""
+    return silences_of(_lines(spark, path, suffix))
+
+
+def silences_of(lines: DataFrame) -> DataFrame:
     pattern = r"^(\d+):(\d{2})\.(\d{2,})"
-    rows = _lines(spark, path, suffix).where(F.rlike("value", F.lit(pattern)))
+    rows = lines.where(F.rlike("value", F.lit(pattern)))
     get = lambda k: F.regexp_extract("value", pattern, k)
     return rows.select("lecture_id", (get(1).cast("double") * 60 + get(2).cast("double") + F.substring(get(3), 1, 2).cast("double") / 100).alias("time"))
 
@@ -86,8 +118,12 @@ def read_silences(spark: SparkSession, path: str, suffix: str = "_pred") -> Data
 def read_slides(spark: SparkSession, path: str, suffix: str = "_slides") -> DataFrame:
     """lecture_id, time of slide changes: a leading HH:MM:SS; blank and # lines are skipped. Files that do not exist give
     an empty table."""
+    return slides_of(_lines(spark, path, suffix, True))
+
+
+def slides_of(lines: DataFrame) -> DataFrame:
     found = F.regexp_extract("value", r"^(\d{1,2}:\d{2}:\d{2})", 1)
-    return _lines(spark, path, suffix, True).select("lecture_id", clock_seconds(F.when(found != "", found)).alias("time")).where("time is not null")
+    return lines.select("lecture_id", clock_seconds(F.when(found != "", found)).alias("time")).where("time is not null")
 
 
 def scene_times(log: DataFrame) -> DataFrame:
@@ -120,11 +156,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def lectures_with(spark: SparkSession, lectures: list[str], *patterns: str, missing: str = "skip") -> list[str]:
+    """The lectures for which every pattern (``{}`` stands for the lecture) names a file. Others are left out, or with
+    missing="raise" are an error."""
+    if missing not in ("skip", "raise"):
+        raise ValueError(f"missing is skip or raise, not {missing!r}")
+    lacks = {k: [p.format(k) for p in patterns if not exists(spark, p.format(k))] for k in lectures}
+    if missing == "raise" and any(lacks.values()):
+        raise FileNotFoundError("; ".join(f"{k}: {', '.join(v)}" for k, v in lacks.items() if v))
+    return [k for k in lectures if not lacks[k]]
+
+
 def read_csv(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """The first of the paths that exists, with a header; an empty table if none does."""
     for path in paths:
         if exists(spark, path):
-            return spark.read.schema(schema).option("header", True).csv(path)
+            return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     return spark.createDataFrame([], schema)
 
 

@@ -87,7 +87,7 @@ def test_silence_and_slides(spark, lecture):
 def test_sweeps_from_cues(lecture, edges):
     cues, truths, slides = lecture
     model = lambda windows: embed(windows, lambda: lambda texts: np.array([[len(t) % 7, len(t) % 5 + 0.1] for t in texts], float))
-    assert {r["setting"] for r in X.representation_sweep(cues, truths, model, threshold=0.99).collect()} == {"sentence_5", "time_10"}
+    assert {r["setting"] for r in X.representation_sweep(cues, cues, truths, model, threshold=0.99).collect()} == {"sentence_5", "time_10"}
     assert {r["setting"] for r in X.window_sweep(cues, truths, model, [1, 3], threshold=0.99).collect()} == {"sentence_1", "sentence_3"}
     rows, better = X.prominence_sweep(edges, cues, truths, [0.0, 0.5], threshold=0.999)
     assert rows.count() == 2 and {(r["setting"], r["improved"] + r["worse"] + r["unchanged"]) for r in better.collect()} == {("F2_p00", 1), ("F2_p05", 1)}

@@ -84,7 +84,7 @@ def test_keyed_replace_and_report(spark):
     new = spark.createDataFrame([("b", 3)], "k string, v int")
     assert {tuple(r) for r in sinks.replace_keyed(old, new, "k").collect()} == {("a", 1), ("b", 3)}
     page = sinks.html_table(new, "v")
-    assert 'class="best"' in page and "<td>3</td>" in page
+    assert '<td class="best">3</td>' in page and "<td>b</td>" in page
 
 
 def test_optional_files_and_sinks(spark, tmp_path):
@@ -100,6 +100,11 @@ def test_optional_files_and_sinks(spark, tmp_path):
     assert sinks.html_table(spark.range(1500)).count("<tr>") == 1501
     page = sinks.html_report("A & B", {"one": (df, "v"), "two": (df, None)})
     assert "A &amp; B" in page and page.count("<h2>") == 2 and page.count('class="best"') == 1
+    odd = spark.createDataFrame([("x", "0.5"), ("y", "n/a"), ("z", " 0.5"), ("w", None), ("v", "nan")], "k string, v string")
+    assert sinks.html_table(odd, "v").count('class="best"') == 2 and sinks.html_table(odd, "v", whole_row=True).count('<tr class="best"><td>x') == 1
+    assert "No data" in sinks.html_table(odd.where("false"), "v")
+    with pytest.raises(ValueError, match="up to 3 rows"):
+        sinks.html_table(odd, most=3)
 
 
 def test_display_formats(spark):
