@@ -83,8 +83,8 @@ def hms_centis(seconds: Column) -> Column:
 
 
 def signed(x: Column, digits: int = 4) -> Column:
-    """The number with its sign and so many digits."""
-    return F.format_string(f"%+.{digits}f", x)
+    """The number with its sign and so many digits, rounded by its exact binary value."""
+    return F.concat(F.when(x >= 0, "+").otherwise(""), exact_text(x, digits))
 
 
 def named(value: Column, names: dict[str, str], otherwise: str | None = None) -> Column:

@@ -76,7 +76,7 @@ def _doc_cues(spark: SparkSession, sf: str) -> DataFrame:
 #: an object, which most topics are known by. Both go round at different paces, so each meets each.
 _OPENINGS = [
     "let's define what we mean by", "for example we take", "mathematically this is the same as", "keep in mind that we need", "good question: how do we read",
-    "today we go on with", "suppose we have", "in practice people use", "the definition of", "why does it depend on", "okay, so", "about the deadline and", "another word on",
+    "today we go on with", "suppose we have", "in practice people use", "the definition of", "why does it depend on", "okay, so", "about the deadline and", "another word on", "now let's move on to", "next up is",
 ]
 _OBJECTS = [
     "a numpy array", "the pandas data frame", "artificial intelligence", "machine learning", "supervised data", "the loss function", "gradient descent", "a classifier", "linear regression",
@@ -903,3 +903,335 @@ def report_comparison(spark, sf):
 def report_cells(spark, sf):
     """The F1 column of every table, with its best cells marked."""
     return reports.marked_cells(_results(spark, sf)).where("column = 'F1'").select("family", "protocol", "row", "value", "best")
+
+
+# ---- whole experiments on the events' talk: clicks are edges, views slides, purchases truths
+
+def _talk(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges, cues, slides and truths."""
+    rows = _events(spark, sf).select(F.col("user_id").alias("lecture_id"), "event_id", "event_type", "value", (F.col("t") / 600).alias("time"))
+    of = lambda kind: rows.where(F.col("event_type") == kind)
+    edges = of("click").select("lecture_id", F.col("event_id").alias("left_window_id"), (F.col("event_id") + 1).alias("right_window_id"), F.col("time").alias("left_start"), F.col("time").alias("left_end"), F.col("time").alias("right_start"), (F.col("time") + 5).alias("right_end"), F.col("value").alias("similarity"))
+    w = Window.partitionBy("lecture_id").orderBy("time", "event_id")
+    truths = of("purchase").select("lecture_id", (F.row_number().over(w) - 1).cast("int").alias("gt_index"), "time", X.hms_nearest(F.col("time")).alias("time_str"), F.concat(F.lit("Part "), "event_id").alias("title"))
+    return edges, _speech(spark, sf), of("view").select("lecture_id", "time"), truths
+
+
+def _space_sql(out: str, src: str, distance: str) -> str:
+    """CTEs whose last, ``out`` (k, time), spaces src (k, time, value, id) so that the strongest of a crowd stays; where
+    all values are equal, the first does."""
+    far = f"o.time - lt >= {distance}"
+    return f"""
+    {out}_o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY time, value, id) AS rn FROM {src}),
+    {out}_r AS (SELECT k, rn, 1 AS n, time AS lt, CAST(value AS DOUBLE) AS lv FROM {out}_o WHERE rn = 1
+      UNION ALL SELECT o.k, o.rn, CASE WHEN {far} THEN n + 1 ELSE n END, CASE WHEN {far} OR o.value < lv THEN o.time ELSE lt END, CASE WHEN {far} OR o.value < lv THEN o.value ELSE lv END
+      FROM {out}_r r JOIN {out}_o o ON o.k = r.k AND o.rn = r.rn + 1),
+    {out} AS (SELECT k, arg_max(lt, rn) AS time FROM {out}_r GROUP BY k, n)"""
+
+
+_MARKS_SQL = "|".join(p for _, p in X.MARKER_TAGS).replace("'", "''")
+_TALK = f"""{_E}, c AS (SELECT user_id, event_id, event_type, value, t / 600 AS t, {_SPEECH_SQL} AS text FROM e),
+    mk AS (SELECT user_id AS k, t AS time, 0 AS value, event_id AS id FROM c WHERE regexp_matches(lower(text), '{_MARKS_SQL}')), {_space_sql("marks", "mk", "20")},
+    sl AS (SELECT user_id, t, event_id FROM c WHERE event_type = 'view'),
+    d AS (SELECT user_id, event_id, t, value, coalesce(value < lag(value) OVER w AND value < lead(value) OVER w, false) AS low, coalesce(least(lag(value) OVER w - value, lead(value) OVER w - value), 0) AS prom
+      FROM c WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    g AS (SELECT user_id, t AS time, 'Part ' || event_id AS title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS INTEGER) AS gt_index FROM c WHERE event_type = 'purchase')"""
+_MARKED = "EXISTS (SELECT 1 FROM marks WHERE marks.k = {0}.user_id AND abs(marks.time - {0}.t) <= {1})"
+
+
+def _kept_sql(setting: str, where: str, distance: float, table: str = "d", value: str = "value") -> str:
+    return f"SELECT '{setting}' || '/' || user_id AS k, {distance}::DOUBLE AS dd, t AS time, CAST({value} AS DOUBLE) AS value, event_id AS id FROM {table} WHERE {where}"
+
+
+def _scores_sql(kept: list[str], tolerance: float = 30.0, spaced: str | None = None) -> str:
+    """CTEs whose last, ``scores``, has the reports of every setting and user; kept: SELECTs by _kept_sql()."""
+    names = " UNION ALL ".join(f"SELECT '{n}' AS setting" for n in dict.fromkeys(k.split("'", 2)[1] for k in kept))
+    return f"""
+    kept AS ({" UNION ALL ".join(kept)}), {_space_sql("sp", "kept", "o.dd")},
+    ps AS (SELECT k, time, CAST(row_number() OVER (PARTITION BY k ORDER BY time) - 1 AS INTEGER) AS pred_index FROM sp),
+    gs AS (SELECT setting || '/' || user_id AS k, time, gt_index FROM g, ({names}) n),
+    {_greedy_sql('ps', 'gs', 'k', tolerance)}, {_prf_sql('m', 'ps', 'gs', 'k')},
+    scores AS (SELECT split_part(k, '/', 1) AS setting, CAST(split_part(k, '/', 2) AS BIGINT) AS user_id, pred_count, gt_count, tp, fp, fn, precision, recall, f1 FROM f)"""
+
+
+_SHOWN = "setting, user_id, pred_count, gt_count, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("setting", F.col("lecture_id").alias("user_id"), "pred_count", "gt_count", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@_query(f"WITH RECURSIVE {_TALK}, {_scores_sql([_kept_sql('threshold', 'value < 60', 0), _kept_sql('minimum', 'value < 60 AND low', 0), _kept_sql('minimum+distance', 'value < 60 AND low', 90)])} SELECT {_SHOWN} FROM scores")
+def rule_ablation(spark, sf):
+    edges, _, _, truths = _talk(spark, sf)
+    return _shown(experiments.rule_ablation(edges, truths, 60.0, 90.0))
+
+
+@_query(f"WITH RECURSIVE {_TALK}, {_scores_sql([_kept_sql(f'd_d{d}', 'value < 80 AND low', d) for d in (20, 60, 200)])} SELECT {_SHOWN} FROM scores")
+def distance_sweep(spark, sf):
+    edges, _, _, truths = _talk(spark, sf)
+    return _shown(experiments.distance_sweep(edges, truths, [20.0, 60.0, 200.0], 80.0))
+
+
+@_query(f"WITH RECURSIVE {_TALK}, {_scores_sql([_kept_sql(f'F1_pm{d}_c{c}_md30', f'value < {c} AND low AND ' + _MARKED.format('d', d), 30) for d in (15, 60) for c in (60, 90)])} SELECT {_SHOWN} FROM scores")
+def marker_gate_sweep(spark, sf):
+    edges, cues, _, truths = _talk(spark, sf)
+    return _shown(experiments.gate_sweep(edges, cues, truths, [15.0, 60.0], [60.0, 90.0]))
+
+
+_LEAST = [0.0, 10.0, 25.0]
+_PROMINENT = f"{_TALK}, {_scores_sql([_kept_sql(f'F2_p0{str(p)[:-2] if p else 0}' if not p else f'F2_p{p:g}', f'value < 90 AND low AND prom >= {p} - 1e-12 AND ' + _MARKED.format('d', 60), 30) for p in _LEAST])}"
+
+
+def _prominence(spark, sf) -> tuple[DataFrame, DataFrame]:
+    edges, cues, _, truths = _talk(spark, sf)
+    return experiments.prominence_sweep(edges, cues, truths, _LEAST, threshold=90.0, delta=60.0)
+
+
+@_query(f"WITH RECURSIVE {_PROMINENT} SELECT {_SHOWN} FROM scores")
+def prominence_sweep(spark, sf):
+    return _shown(_prominence(spark, sf)[0])
+
+
+@_query(f"WITH RECURSIVE {_PROMINENT}, b AS (SELECT s.setting, s.f1 - coalesce(x.f1, 0) AS dd FROM scores s LEFT JOIN (SELECT * FROM scores WHERE setting = 'F2_p00') x ON x.user_id = s.user_id) SELECT setting, count(*) FILTER (dd > 1e-6) AS improved, count(*) FILTER (dd < -1e-6) AS worse, count(*) FILTER (abs(dd) <= 1e-6) AS unchanged FROM b GROUP BY setting")
+def prominence_improvements(spark, sf):
+    return _prominence(spark, sf)[1]
+
+
+_WITH_SLIDES = f"value < 90 AND low AND {_MARKED.format('d', 60)}"
+_SLIDES = f"""{_TALK}, {_scores_sql([
+    _kept_sql('OR20', _WITH_SLIDES, 30), _kept_sql('OR20', _MARKED.format('sl', 60), 30, 'sl', '1.0'), _kept_sql('OR30', _WITH_SLIDES, 30), _kept_sql('OR30', _MARKED.format('sl', 60), 30, 'sl', '1.0'),
+    _kept_sql('AND20', _WITH_SLIDES + ' AND EXISTS (SELECT 1 FROM sl WHERE sl.user_id = d.user_id AND abs(sl.t - d.t) <= 20)', 30)])}"""
+
+
+def _slides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    edges, cues, slides, truths = _talk(spark, sf)
+    return experiments.slide_sweep(edges, cues, slides, truths, 0.25, threshold=90.0, delta=60.0)
+
+
+@_query(f"WITH RECURSIVE {_SLIDES} SELECT {_SHOWN} FROM scores")
+def slide_sweep(spark, sf):
+    return _shown(_slides(spark, sf)[0])
+
+
+@_query(f"WITH RECURSIVE {_SLIDES}, a AS (SELECT setting, {_mean_sql('precision')} AS avg_precision, {_mean_sql('recall')} AS avg_recall, {_mean_sql('f1')} AS avg_f1, round(avg(pred_count), 2) AS avg_pred_count, count(*) AS n FROM scores GROUP BY setting) SELECT *, round(avg_f1 - 0.25, 4) AS delta FROM a")
+def slide_sweep_deltas(spark, sf):
+    return _slides(spark, sf)[1]
+
+
+_FILLERS_SQL = "len(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x IN (" + ", ".join(f"'{f}'" for f in X.FILLERS) + ")))"
+_SIGNALS = f"""
+    fc AS (SELECT user_id, event_id, t, {_FILLERS_SQL} AS n FROM c), fs AS (SELECT user_id, event_id, t, sum(n) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS v FROM fc),
+    fk AS (SELECT *, v >= coalesce(lag(v) OVER w, v) AND v >= coalesce(lead(v) OVER w, v) AS peak FROM fs WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    fi AS (SELECT user_id AS k, t AS time, 0 AS value, event_id AS id FROM fk WHERE v >= 3 AND peak), {_space_sql("fillers", "fi", "20")},
+    si AS (SELECT user_id AS k, t AS time, 0 AS value, event_id AS id FROM sl), {_space_sql("slides", "si", "20")},
+    sig AS (SELECT k AS user_id, time AS t, 'marker' AS signal, 0 AS event_id FROM marks UNION ALL SELECT k, time, 'filler', 0 FROM fillers UNION ALL SELECT k, time, 'slide', 0 FROM slides)"""
+
+
+@_query(f"WITH RECURSIVE {_TALK}, {_SIGNALS}, {_scores_sql([_kept_sql(m.title(), f'signal = {m!r}', 20, 'sig', '0') for m in ('marker', 'filler', 'slide')])} SELECT {_SHOWN} FROM scores")
+def fusion_scores(spark, sf):
+    """The models of structural signals alone: markers, peaks of fillers, slides."""
+    _, cues, slides, truths = _talk(spark, sf)
+    return _shown(experiments.signal_fusion(cues, slides, truths))
+
+
+_ALIGNED = f"""{_TALK}, p AS (SELECT user_id, t AS time, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS INTEGER) AS pred_index FROM d WHERE value < 60), {_greedy_sql('p', 'g', 'user_id', 30.0)}, {_prf_sql('m', 'p', 'g', 'user_id')},
+    u AS (SELECT p.* FROM p ANTI JOIN m USING (user_id, pred_index)), fp AS (SELECT u.user_id, u.pred_index, u.time, min(abs(g.time - u.time)) AS dist FROM u LEFT JOIN g ON g.user_id = u.user_id GROUP BY ALL),
+    fb AS (SELECT *, CASE WHEN dist <= 30 THEN 'redundant_near_gt' WHEN dist <= 120 THEN 'offset_near_miss' ELSE 'spurious_far' END AS fp_bucket FROM fp)"""
+
+
+def _talk_preds(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Predictions (clicks of low value), truths, cues and slides."""
+    edges, cues, slides, truths = _talk(spark, sf)
+    w = Window.partitionBy("lecture_id").orderBy("right_start", "left_window_id")
+    preds = edges.where("similarity < 60").select("lecture_id", (F.row_number().over(w) - 1).cast("int").alias("pred_index"), F.col("right_start").alias("time"))
+    return preds, truths, cues, slides
+
+
+_BUCKETS = ("redundant_near_gt", "offset_near_miss", "spurious_far")
+
+
+@_query(f"""
+    WITH RECURSIVE {_ALIGNED}, b AS (SELECT user_id, count(*) AS n, {", ".join(f"count(*) FILTER (fp_bucket = '{x}') AS {x}" for x in _BUCKETS)} FROM fb GROUP BY user_id),
+    dens AS (SELECT user_id, avg(n) AS mean_n, max(n) AS max_n FROM (SELECT g.user_id, g.gt_index, count(p.pred_index) AS n FROM g LEFT JOIN p ON p.user_id = g.user_id AND abs(p.time - g.time) <= 30 GROUP BY ALL) GROUP BY user_id)
+    SELECT f.user_id, pred_count, gt_count, tp, fp, fn, round(f1, 6) AS f1, {", ".join(f"coalesce({x}, 0) AS {x}, coalesce(round(100 * ({x} / n), 2), 0) AS {x}_pct" for x in _BUCKETS)}, round(mean_n, 6) AS mean_preds_per_gt, max_n AS max_preds_per_gt
+    FROM f LEFT JOIN b USING (user_id) LEFT JOIN dens USING (user_id)""")
+def alignment_summary(spark, sf):
+    preds, truths, _, _ = _talk_preds(spark, sf)
+    found = experiments.alignment_summary(preds, truths).withColumnRenamed("lecture_id", "user_id")
+    return found.select("user_id", "pred_count", "gt_count", "tp", "fp", "fn", F.round("f1", 6).alias("f1"), *(c for x in _BUCKETS for c in (x, f"{x}_pct")), F.round("mean_preds_per_gt", 6).alias("mean_preds_per_gt"), "max_preds_per_gt")
+
+
+_HMS_SQL = "printf('%02d:%02d:%02d', CAST(round_even({0}, 0) AS BIGINT) // 3600, CAST(round_even({0}, 0) AS BIGINT) % 3600 // 60, CAST(round_even({0}, 0) AS BIGINT) % 60)"
+_TAGS_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(snippet), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in X.MARKER_TAGS) + "], lambda x: x IS NOT NULL), ';')"
+
+
+@_query(f"""
+    WITH RECURSIVE {_ALIGNED}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY dist DESC NULLS LAST, pred_index) AS rank FROM fb), top AS (SELECT * FROM r WHERE rank <= 3),
+    gi AS (SELECT top.user_id, top.pred_index, min({{'d': abs(g.time - top.time), 'i': g.gt_index, 'title': g.title}}) AS b FROM top JOIN g ON g.user_id = top.user_id GROUP BY ALL),
+    sn AS (SELECT top.user_id, pred_index, count(*) AS n, string_agg('[' || {_HMS_SQL.format("c.t")} || '–' || {_HMS_SQL.format("(c.t + 5)")} || '] ' || c.text, ' ' ORDER BY c.event_id) AS snippet FROM top JOIN c ON c.user_id = top.user_id AND NOT (c.t + 5 < top.time - 45 OR c.t > top.time + 45) AND c.text <> '' GROUP BY ALL),
+    mn AS (SELECT top.user_id, pred_index, min(abs(mk.time - top.time)) AS dm FROM top JOIN mk ON mk.k = top.user_id GROUP BY ALL), sd AS (SELECT top.user_id, pred_index, min(abs(sl.t - top.time)) AS ds FROM top JOIN sl ON sl.user_id = top.user_id GROUP BY ALL),
+    a AS (SELECT top.user_id, top.pred_index, CAST(rank AS INTEGER) AS rank, top.time, dist, gi.b.title AS title, coalesce(snippet, '') AS snippet, coalesce(n, 0) AS n, dm, ds FROM top LEFT JOIN gi USING (user_id, pred_index) LEFT JOIN sn USING (user_id, pred_index) LEFT JOIN mn USING (user_id, pred_index) LEFT JOIN sd USING (user_id, pred_index))
+    SELECT user_id, pred_index, rank, {_HMS_SQL.format("time")} AS pred_time_hms, title AS nearest_gt_title, round(dist, 4) AS distance, snippet, n AS snippet_block_count,
+      CAST({_FILLERS_SQL.replace("text", "snippet")} AS BIGINT) AS filler_hits_in_snippet, {_TAGS_SQL} AS marker_patterns_in_snippet,
+      CASE WHEN dm IS NULL THEN 'no' WHEN dm <= 15 THEN printf('yes Δ=%.1fs', dm) ELSE printf('no (nearest %.0fs)', dm) END AS marker_cue_near_pred,
+      CASE WHEN ds IS NULL THEN 'no' WHEN ds <= 20 THEN printf('yes Δ=%.1fs', ds) ELSE printf('no (nearest %.0fs)', ds) END AS slide_near_pred FROM a""")
+def false_positive_review(spark, sf):
+    """The three farthest false positives of each talk with all that a reviewer sees of them."""
+    preds, truths, cues, slides = _talk_preds(spark, sf)
+    found = experiments.false_positive_review(preds, truths, cues, slides, most=3)
+    return found.select(F.col("lecture_id").alias("user_id"), "pred_index", "rank", "pred_time_hms", "nearest_gt_title", F.round("nearest_gt_dist_sec", 4).alias("distance"), "snippet", F.col("snippet_block_count"), F.col("filler_hits_in_snippet").cast("long").alias("filler_hits_in_snippet"), "marker_patterns_in_snippet", "marker_cue_near_pred", "slide_near_pred")
+
+
+@_query(f"""
+    WITH {_E}, {_DRAFT_SQL}, {_MERGE_SQL}, n AS (SELECT user_id, generate_subscripts(xs, 1) AS seg_index, unnest(xs) AS s FROM s6),
+    g AS (SELECT user_id, t / 600 AS time, 'Part ' || event_id AS title FROM e WHERE event_type = 'purchase'), ff AS (SELECT user_id, arg_min(title, time) AS title FROM g GROUP BY user_id),
+    x AS (SELECT n.user_id, n.seg_index, n.s.time AS time, n.s.label AS label, n.s.topic AS topic, n.s.text AS text FROM n),
+    ln AS (SELECT x.*, coalesce(g.title, ff.title, 'Unassigned Section') AS section, trim(regexp_replace(x.text, '[^A-Za-z0-9 ,.''-]', '', 'g')) AS plain FROM x ASOF LEFT JOIN g ON g.user_id = x.user_id AND x.time >= g.time LEFT JOIN ff ON ff.user_id = x.user_id)
+    SELECT user_id, CAST(seg_index AS INTEGER) AS seg_index, {_HMS_SQL.format("time")} || chr(9) || printf('S%03d', CAST(seg_index AS INTEGER)) || chr(9) || label || chr(9) || section || ' : ' || topic || chr(9) || CASE WHEN length(plain) > 80 THEN rtrim(plain[:77]) || '...' ELSE plain END AS line FROM ln""")
+def draft_lines(spark, sf):
+    """Draft annotations of every talk, each under its section, as the lines of their files."""
+    _, cues, _, truths = _talk(spark, sf)
+    return experiments.draft_boundaries(cues.repartition("lecture_id"), truths, True).withColumnRenamed("lecture_id", "user_id")
+
+
+@_query(f"""
+    WITH {_E}, q AS (SELECT user_id, t / 600 AS t, event_id FROM e WHERE event_type = 'error'), qc AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 30 THEN 0 ELSE 1 END AS new FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+    cl AS (SELECT user_id, avg(t) AS t FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM qc) GROUP BY user_id, c), g AS (SELECT user_id, t / 600 AS time, event_id FROM e WHERE event_type = 'purchase'),
+    d AS (SELECT g.user_id, g.event_id, min(abs(cl.t - g.time)) AS d FROM g LEFT JOIN cl ON cl.user_id = g.user_id GROUP BY ALL)
+    SELECT user_id, tolerance, count(*) AS gt_count, count(*) FILTER (d <= tolerance) AS hits, round(100 * count(*) FILTER (d <= tolerance) / count(*), 6) AS hit_rate FROM d, (VALUES (5.0::DOUBLE), (10.0), (15.0)) x(tolerance) GROUP BY ALL""")
+def silence_check(spark, sf):
+    """How many truths have a cluster of silences within each tolerance."""
+    _, _, _, truths = _talk(spark, sf)
+    silences = _events(spark, sf).where("event_type = 'error'").select(F.col("user_id").alias("lecture_id"), (F.col("t") / 600).alias("time"))
+    found = experiments.silence_check(truths, silences, 30.0)
+    return found.select(F.col("lecture_id").alias("user_id"), "tolerance", "gt_count", "hits", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+@_query(f"""
+    WITH RECURSIVE {_TALK}, {_scores_sql([_kept_sql('low', 'value < 30', 0), _kept_sql('high', 'value < 60', 0)])}, ga AS (SELECT setting || '/' || user_id AS k, time + 25 AS time, gt_index FROM g, (SELECT 'low' AS setting UNION ALL SELECT 'high') n),
+    {_greedy_sql('ps', 'ga', 'k', 30.0, 'm2')}, {_prf_sql('m2', 'ps', 'ga', 'k', 'f2')}
+    SELECT split_part(f.k, '/', 1) AS setting, count(*) AS lectures, {", ".join(f"round(avg(f.{c}), 6) AS {c}_orig, round(avg(f2.{c}), 6) AS {c}_corrected, round(avg(f2.{c} - f.{c}), 6) AS delta_{c}" for c in ("precision", "recall", "f1"))}
+    FROM f JOIN f2 ON f2.k = f.k GROUP BY 1""")
+def truth_versions(spark, sf):
+    """Means over talks under two versions of the truth, for two sets of predictions."""
+    edges, _, _, truths = _talk(spark, sf)
+    preds = [edges.where(F.col("similarity") < v).select(F.lit(n).alias("setting"), "lecture_id", F.col("right_start").alias("time")) for n, v in (("low", 30.0), ("high", 60.0))]
+    means = experiments.compare_truths(preds[0].unionByName(preds[1]), truths, truths.withColumn("time", F.col("time") + 25))[1]
+    return means.select("setting", "lectures", *(F.round(f"{c}_{v}" if v != "delta" else f"delta_{c}", 6).alias(f"{c}_{v}" if v != "delta" else f"delta_{c}") for c in ("precision", "recall", "f1") for v in ("orig", "corrected", "delta")))
+
+
+@_query(f"""
+    WITH RECURSIVE {_E}, x AS (SELECT DISTINCT user_id AS k, CAST(printf('%.2f', floor(value * 40) / 4) AS DOUBLE) AS time, 0 AS value, 0 AS id FROM e WHERE event_type IN ('view', 'click')), {_space_sql("s", "x", "1.5")}
+    SELECT k AS user_id, time, {_HMS_SQL.format("time")} AS line FROM s""")
+def slide_changes(spark, sf):
+    """Logs of scene changes (several a line, repeated ones) taken apart, made distinct and spaced."""
+    said = F.concat(F.lit("n:1 pts_time:"), F.format_string("%.2f", F.floor(F.col("value") * 40) / 4), F.lit(" x"))
+    rows = _events(spark, sf).where("event_type IN ('view', 'click')").select("user_id", "event_id", said.alias("said"))
+    log = rows.groupBy(F.col("user_id").alias("lecture_id"), (F.col("event_id") % 3).alias("part")).agg(F.array_join(F.collect_list("said"), "\n").alias("value"))
+    return experiments.slide_changes(log, 1.5).withColumnRenamed("lecture_id", "user_id")
+
+
+@_query(r"""
+    WITH t AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS k, '<b>' || trim(split_part(text, chr(10), 1)) || '</b>  [x]' AS said FROM conversations),
+    v(variant) AS (VALUES ('none'), ('tags'), ('strict')), a AS (SELECT variant, conv_id, k, CASE WHEN k % 3 = 1 THEN '[noise]' ELSE said END AS said FROM t, v),
+    b AS (SELECT variant, conv_id, k, CASE variant WHEN 'none' THEN said WHEN 'tags' THEN trim(regexp_replace(regexp_replace(said, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) ELSE trim(regexp_replace(regexp_replace(regexp_replace(said, '<[^>]+>', '', 'g'), '\[(.*?)\]', '', 'g'), '\s+', ' ', 'g')) END AS text FROM a)
+    SELECT variant, conv_id, CAST(row_number() OVER (PARTITION BY variant, conv_id ORDER BY k) - 1 AS INTEGER) AS block_id, CAST(k * 60 AS DOUBLE) AS start, text FROM b WHERE variant <> 'strict' OR text <> ''""")
+def vtt_variants(spark, sf):
+    """The same bodies read raw, without tags, and strictly without empty cues; with notes and clocks of two parts."""
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    said = F.concat(F.lit("<b>"), F.trim(F.get(F.split("text", "\n"), F.lit(0))), F.lit("</b>  [x]"))
+    rows = _table(spark, sf, "conversations").select("conv_id", k.alias("k"), said.alias("said")).withColumn("said", F.when(F.col("k") % 3 == 1, "[noise]").otherwise(F.col("said")))
+    cue = F.concat(F.lit("NOTE {} \n\n"), F.format_string("%02d:00,000 --> %02d:30.500", "k", "k"), F.lit("\r\n"), "said")
+    files = rows.select("conv_id", "k", cue.alias("cue")).groupBy(F.col("conv_id").alias("lecture_id")).agg(F.concat(F.lit("WEBVTT\n\n"), F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "cue"))), lambda x: x["cue"]), "\n \n"), "\r\n?", "\n")).alias("body"))
+    found = [transcripts.cues_of(files, mode, mode == "strict").select(F.lit(mode).alias("variant"), F.col("lecture_id").alias("conv_id"), "block_id", "start", "text") for mode in ("none", "tags", "strict")]
+    return found[0].union(found[1]).union(found[2])
+
+
+@_query(f"""
+    WITH {_E}, x AS (SELECT user_id, 'lenient' AS kind, CAST(floor(t) AS BIGINT) % 35999 AS s, event_id FROM e WHERE event_type = 'signup' UNION ALL SELECT user_id, 'coarse', CAST(floor(t) AS BIGINT) % 35999, event_id FROM e WHERE event_type = 'purchase')
+    SELECT user_id, kind, CAST(row_number() OVER (PARTITION BY user_id, kind ORDER BY s, event_id) - 1 AS INTEGER) AS gt_index, CAST(s AS DOUBLE) AS time, s // 3600 || printf(':%02d:%02d', s % 3600 // 60, s % 60) AS time_str, 'Title ' || event_id AS title FROM x""")
+def truth_variants(spark, sf):
+    """Annotations with hours of one digit, out of order, some without a title, and sections with prefixes, read back."""
+    rows = _events(spark, sf).where("event_type IN ('signup', 'purchase')").select("user_id", "event_type", "event_id", (F.floor("t") % 35999).alias("s"))
+    coarse = F.col("event_type") == "purchase"
+    clock = F.concat(F.floor(F.col("s") / 3600).cast("string"), F.format_string(":%02d:%02d", F.floor(F.col("s") % 3600 / 60), F.col("s") % 60))
+    line = F.concat(clock, F.lit(" "), F.when(coarse, F.lit("L12: ")).otherwise(""), F.lit("Title "), "event_id", F.lit("  \n0:00:09\n"))
+    files = rows.select("user_id", "event_type", "event_id", line.alias("line")).groupBy(F.col("user_id").alias("lecture_id"), "event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("body"))
+    found = [transcripts.boundaries_of(transcripts.lines_of(files.where(F.col("event_type") == kind)), True, kind == "purchase").select(F.col("lecture_id").alias("user_id"), F.lit(name).alias("kind"), "gt_index", "time", "time_str", "title") for kind, name in (("signup", "lenient"), ("purchase", "coarse"))]
+    return found[0].union(found[1])
+
+
+# ---- display names, and tables that are written and read again
+
+_RULES = {"click": "Threshold only", "view": "Threshold + Local minima", "error": "Threshold + Local minima + Min-distance"}
+
+
+@_query(f"""
+    WITH {_E}, c AS (SELECT user_id, event_id, event_type, value, {_SPEECH_SQL} AS text FROM e)
+    SELECT event_id, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in X.MARKER_TAGS)}], lambda x: x IS NOT NULL), ';') AS tags,
+      CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RULES.items())} ELSE event_type END AS rule, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RULES.items())} ELSE '-' END AS known,
+      CASE WHEN value < 50 THEN '✓' ELSE '×' END AS low, printf('%+.4f', value - 50) AS signed, printf('%.3f', value) AS three, 'lecture' || user_id AS lecture_id,
+      array_to_string(list_transform(range(least(event_id % 12, 8)), lambda i: 't' || i), ', ') || CASE WHEN event_id % 12 > 8 THEN ' (+' || (event_id % 12 - 8) || ' more)' ELSE '' END AS preview FROM c""")
+def display_names(spark, sf):
+    """What reports show of an event: cue tags, names from maps, ticks, signed and fixed numbers, a file's lecture, previews."""
+    rows = _events(spark, sf).select("user_id", "event_id", "event_type", "value").join(_speech(spark, sf).select(F.col("block_id").alias("event_id"), "text"), "event_id")
+    path = F.concat(F.lit("s3://x/y/lecture"), "user_id", F.lit("_boundaries.txt"))
+    n = F.col("event_id") % 12
+    items = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.concat(F.lit("t"), i))).otherwise(F.array().cast("array<string>"))
+    kind = F.col("event_type")
+    return rows.select("event_id", X.cue_tags(F.col("text")).alias("tags"), X.named(kind, _RULES).alias("rule"), X.named(kind, _RULES, "-").alias("known"), X.tick(F.col("value") < 50).alias("low"), X.signed(F.col("value") - 50).alias("signed"), X.exact_text(F.col("value"), 3).alias("three"), X.file_stem(path, "_boundaries").alias("lecture_id"), sinks.preview(items).alias("preview"))
+
+
+def _place(spark, name: str) -> str:
+    import uuid
+
+    path = f"{scratch.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    scratch.drop_at_exit(spark, path)
+    return path
+
+
+@_query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_fallback(spark, sf):
+    """A table written as CSV in a folder of snapshots, found there as the first place has none."""
+    path = _place(spark, "tables")
+    sinks.write_csv(_table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), f"{path}/old/t.csv", ["c_custkey", "c_name", "c_acctbal"])
+    return transcripts.read_csv(spark, "c_custkey long, c_name string, c_acctbal double", f"{path}/t.csv", f"{path}/old/t.csv")
+
+
+@_query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total, len(embedding) AS dim FROM embeddings")
+def vector_table(spark, sf):
+    """Vectors written as an array column and read again."""
+    path = _place(spark, "vectors")
+    sinks.write_vectors(_table(spark, sf, "embeddings"), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return spark.read.parquet(path).select("vec_id", "label", F.round(total, 6).alias("total"), F.size("embedding").cast("long").alias("dim"))
+
+
+@_query(f"""
+    WITH {_E}, m AS (SELECT user_id, event_type, count(*) AS tp, {_HMS_SQL.format("min(t) % 86400")} AS first_hms FROM e GROUP BY ALL)
+    SELECT 'lecture' || user_id AS lecture_id, event_type AS setting, tp, first_hms FROM m""")
+def json_summaries(spark, sf):
+    """Summaries written as JSON under a folder for each setting, found at any depth, with the setting from the path."""
+    path = _place(spark, "summaries")
+    rows = _events(spark, sf).groupBy("user_id", "event_type").agg(F.count("*").alias("tp"), F.min("t").alias("t"))
+    shaped = rows.select(F.concat(F.lit("lecture"), "user_id").alias("lecture_id"), F.col("event_type").alias("setting"), "tp", X.hms_nearest(F.col("t") % 86400).alias("first_hms"))
+    for kind in [r[0] for r in shaped.select("setting").distinct().orderBy("setting").collect()]:  # a handful of names
+        sinks.write_json(shaped.where(F.col("setting") == kind).drop("setting"), f"{path}/{kind}/evaluation_summary")
+    found = spark.read.schema("lecture_id string, tp long, first_hms string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    return found.select("lecture_id", F.regexp_extract("_metadata.file_path", r"([^/]+)/evaluation_summary/[^/]+$", 1).alias("setting"), "tp", "first_hms")
+
+
+@_query(f"""
+    WITH RECURSIVE {_TALK}, mc AS (SELECT user_id, count(*) AS n FROM c WHERE regexp_matches(lower(text), '{_MARKS_SQL}') GROUP BY 1), sp AS (SELECT k AS user_id, count(*) AS n FROM marks GROUP BY 1),
+    raw AS (SELECT user_id, count(*) FILTER (value < 90 AND low) AS n, count(*) FILTER (value < 90 AND low AND {_MARKED.format("d", 60)}) AS kept FROM d GROUP BY 1)
+    SELECT u.user_id, coalesce(mc.n, 0) AS markers, coalesce(sp.n, 0) AS markers_spaced, coalesce(raw.n, 0) AS dips, coalesce(raw.kept, 0) AS dips_gated
+    FROM (SELECT DISTINCT user_id FROM (SELECT user_id FROM mc UNION ALL SELECT user_id FROM raw WHERE n > 0)) u LEFT JOIN mc USING (user_id) LEFT JOIN sp USING (user_id) LEFT JOIN raw USING (user_id)""")
+def gate_counts(spark, sf):
+    """How many rows each stage of marker gating leaves."""
+    edges, cues, _, _ = _talk(spark, sf)
+    marks = signals.marker_times(cues)
+    spaced = experiments.marks_of(cues)
+    found = signals.dips(edges, 90.0)
+    stages = {"markers": marks, "markers_spaced": spaced, "dips": found, "dips_gated": J.gate(found, spaced, 60.0, "marker_gated_semantic")}
+    return experiments.stage_counts(stages).withColumnRenamed("lecture_id", "user_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import signed
+
 #: What a table may call its settings, in order of preference; how far a cell may lie from the best. Fixed values.
 SETTING_NAMES = ["Setting", "Model", "Method", "Representation", "Rule", "Window Size", "Min-distance"]
 EQUAL = 1e-12
@@ -56,7 +58,7 @@ def compare_protocols(best: DataFrame, one: str = "coarse", other: str = "fine")
     side = lambda p: best.where(F.col("protocol") == p).select("family", "table", F.col("setting").alias(f"{p}_setting"), F.col("best").alias(f"{p}_best"))
     both = side(one).join(side(other), ["family", "table"], "full")
     delta = F.col(f"{other}_best") - F.col(f"{one}_best")
-    shown = F.when(delta.isNull(), "-").otherwise(F.format_string("%+.4f", delta))
+    shown = F.when(delta.isNull(), "-").otherwise(signed(delta))
     return both.select("*", delta.alias("delta"), shown.alias("shown"), F.coalesce(delta > 0, F.lit(False)).alias("gain"))
 
 
