@@ -1,14 +1,15 @@
 """Near-duplicate groups by order MinHash, verified by banded alignment.
 
-A text's words are its lower-case runs of letters and digits. Each run of five words, labelled with how often it has
-occurred before, is an element; a band takes the elements with the least hash values under its own order, and its key
-is their five-word hashes in text order. Texts that are alike as sequences share band keys; texts that merely share
-many runs in another order do not. A few edits leave a short text no run of five, so texts of under SHORT words use
-runs of two; texts just above, which can be linked with shorter ones, use both.
+A text's words are its lower-case runs of letters and digits. Each run of two words, labelled with how often it has
+occurred before, is an element; a band takes the TAKEN elements with the least hash values under its own order, and its
+key is their hashes in text order. Texts that are alike as sequences share band keys; texts that merely share many runs
+in another order do not. Runs are of two words at every length: edits that lie evenly, one in every five words, leave a
+text of whatever length no run of five, but three in five of its runs of two. A key of two runs still holds four words
+and their order, and few unlike texts share one.
 
 Of each bucket (band key), all texts are compared with one of them, its centre. That puts large groups together at a
 cost linear in a bucket's size. The rest is exact: the texts of buckets that still hold several groups are dealt to
-blocks, near ones together and none with more than BLOCK_WORDS words but for a single text; linked texts must share so
+blocks, near ones together and none with many more than BLOCK_WORDS words or BLOCK_TEXTS texts; linked texts must share so
 many pairs of neighbouring words that a good part is among the rarest of each, so the blocks that share as many of these
 make a tile, and in each tile all texts of different groups whose lengths and words allow it are aligned. Only texts that
 share as much with the other block go to a tile. Only links leave a
@@ -16,8 +17,8 @@ tile. No link between two texts of one bucket is lost, whatever its size; a text
 pair. Two texts are linked if their word edit distance is at most ``1 - similarity`` of the longer one's length, found
 by alignment within that band of diagonals. Classes are the connected components, named by their least doc_id.
 
-With 20 % of the words replaced, inserted or deleted at random, 95 % of pairs and more share a bucket (a test measures
-it); with 10 %, all do.
+With 20 % of the words replaced, inserted or deleted, at random or evenly spread, 95 % of pairs and more share a bucket
+at every length (a test measures it); with 10 %, all do.
 
 Equal texts count once, by a 64-bit hash of the text (among 10^10 different texts some three pairs are expected to
 collide; such a pair would count as equal), and are never compared or paired with each other.
@@ -40,12 +41,10 @@ from pyspark.sql import functions as F
 from .common import partitions, words_of, written
 from .components import components
 
-SHINGLE, SIMILARITY = 5, 0.8
-BANDS, TAKEN = 112, 2
-#: Texts of fewer words use elements of SHORT_SHINGLE words, and SHORT_BANDS bands.
-SHORT, SHORT_SHINGLE, SHORT_BANDS = 64, 2, 24
-#: Words of a block of texts that are compared with each other and other blocks; counters of a text's words there.
-BLOCK_WORDS, WORD_SLOTS = 200_000, 2048
+SHINGLE, SIMILARITY = 2, 0.8
+BANDS, TAKEN = 32, 2
+#: Words and texts of a block that is compared with itself and other blocks; counters of a text's words there.
+BLOCK_WORDS, BLOCK_TEXTS, WORD_SLOTS = 200_000, 2000, 2048
 #: Counters, up to 255, of how many texts have a pair of words. They only order the pairs: that decides the cost, never
 #: the result.
 SLOTS, PARTS = 1 << 24, 64
@@ -109,23 +108,12 @@ def order_minhash(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN, shi
     return keys.view(np.int64)
 
 
-def keys_of(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN, similarity: float = SIMILARITY) -> np.ndarray:
-    """A text's band keys: of runs of SHINGLE words, of SHORT_SHINGLE for a short text, of both where a text can be
-    linked with texts on either side."""
-    found = []
-    if len(words) >= similarity * SHORT:
-        found.append(order_minhash(words, bands, taken, SHINGLE))
-    if len(words) < SHORT:
-        found.append(order_minhash(words, SHORT_BANDS, taken, SHORT_SHINGLE))
-    return np.concatenate(found)
-
-
-def signatures(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
     """node (the text's hash), keys: one row for each distinct text of docs that has a doc_id."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys = [keys_of(np.asarray(w, np.int64), bands, taken, similarity) for w in frame["words"]]
+            keys = [order_minhash(np.asarray(w, np.int64), bands, taken) for w in frame["words"]]
             yield pd.DataFrame({"node": frame["node"], "keys": keys})
 
     rows = docs.where("doc_id is not null").select(node_of("text").alias("node"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
@@ -326,8 +314,8 @@ def links_of(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
 
 def _blocks(members: DataFrame) -> DataFrame:
     """members (node, component, home, n) with block and its shortest text's m words: texts of one home in as many blocks
-    as their words need."""
-    need = members.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_WORDS).alias("k"))
+    as their words and number need."""
+    need = members.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("k"))
     dealt = members.join(need, "home").select("node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), "k")).alias("block"), "n")
     return dealt.join(dealt.groupBy("block").agg(F.min("n").alias("m")), "block")
 
@@ -371,7 +359,7 @@ def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
     """node, class_id for each distinct text of docs (doc_id, text) that has a doc_id."""
-    entries = signatures(docs, similarity, bands, taken).select("node", F.explode("keys").alias("bucket"))
+    entries = signatures(docs, bands, taken).select("node", F.explode("keys").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("bucket", "centre")
     entries = written(entries.join(shared, "bucket"), "entries", batch=1000)
     words = written(_words(docs, entries.select("node").distinct()), "words", batch=1000)

@@ -265,6 +265,11 @@ def groups_of(n, links):
 def changed(rng, w, kind):
     """w with a fifth of it replaced, inserted, deleted or a mixture."""
     w, n = list(w), len(w)
+    if kind.startswith("every"):
+        step = int(kind[5:])
+        for at in range(rng.randrange(step), n, step):
+            w[at] = f"e{at}x{rng.getrandbits(40)}"
+        return w
     for k in range(n // 4 if kind == "insert" else n // 5):
         do = kind if kind != "mixed" else rng.choice(["replace", "insert", "delete"])
         at = rng.randrange(len(w))
@@ -277,22 +282,23 @@ def changed(rng, w, kind):
     return w
 
 
-@pytest.mark.parametrize("kind", ["replace", "insert", "delete", "mixed"])
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete", "mixed", "every5", "every6", "every7"])
 def test_candidate_recall_at_the_limit(kind):
     import xxhash
 
     rng = random.Random(17)
     hash_ = lambda w: np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
-    for n in (6, 10, 20, 40, 55, 70, 100, 300, 1000):
-        met = 0
-        for g in range(120):
-            a = [f"g{g}w{j}" for j in range(n)]
+    for n in (6, 10, 20, 40, 55, 63, 64, 65, 70, 100, 300, 1000):
+        met = tried = 0
+        while tried < 120:
+            a = [f"g{tried}w{j}" for j in range(n)]
             b = changed(rng, a, kind)
+            if kind.startswith("every") and plain_or_banded(a, b) > int(0.2 * n + 1e-9):
+                continue  # one edit more than the length allows
             assert plain_or_banded(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
-            met += bool(set(near_dup.keys_of(hash_(a)).tolist()) & set(near_dup.keys_of(hash_(b)).tolist()))
-        assert met >= 0.9 * 120, (n, met)
-        test_candidate_recall_at_the_limit.found = getattr(test_candidate_recall_at_the_limit, "found", []) + [met / 120]
-    assert np.mean(test_candidate_recall_at_the_limit.found) >= 0.95
+            tried += 1
+            met += bool(set(near_dup.order_minhash(hash_(a)).tolist()) & set(near_dup.order_minhash(hash_(b)).tolist()))
+        assert met >= 0.95 * 120, (n, met)
 
 
 def plain_or_banded(a, b):
