@@ -4,8 +4,10 @@ A text's words are its lower-case runs of letters and digits. Each run of two wo
 occurred before, is an element; a band takes the TAKEN elements with the least hash values under its own order, and its
 key is their hashes in text order. Texts that are alike as sequences share band keys; texts that merely share many runs
 in another order do not. Runs are of two words at every length: edits that lie evenly, one in every five words, leave a
-text of whatever length no run of five, but three in five of its runs of two. A key of two runs still holds four words
-and their order, and few unlike texts share one.
+text of whatever length no run of five, but three in five of its runs of two. A key holds three runs, so six words and
+their order, and few unlike texts share one. Texts of under SHORT words, whose few runs an edit takes a good part of,
+have keys of two runs; those just above, which can be linked with shorter ones, have both. Either way 95 % of linked
+pairs and more share a key.
 
 Of each bucket (band key), all texts are compared with one of them, its centre. That puts large groups together at a
 cost linear in a bucket's size. The rest is exact: the texts of buckets that still hold several groups are dealt to
@@ -42,7 +44,9 @@ from .common import partitions, words_of, written
 from .components import components
 
 SHINGLE, SIMILARITY = 2, 0.8
-BANDS, TAKEN = 32, 2
+BANDS, TAKEN = 64, 3
+#: The same of texts with fewer than SHORT words.
+SHORT, SHORT_BANDS, SHORT_TAKEN = 64, 32, 2
 #: Words and texts of a block that is compared with itself and other blocks; counters of a text's words there.
 BLOCK_WORDS, BLOCK_TEXTS, WORD_SLOTS = 200_000, 2000, 2048
 #: Counters, up to 255, of how many texts have a pair of words. They only order the pairs: that decides the cost, never
@@ -101,19 +105,29 @@ def order_minhash(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN, shi
             place = h.argmin(axis=1)
             places.append(place)
             h[rows, place] = np.uint64(2**64 - 1)
-        key = np.arange(at, end, dtype=np.uint64) + np.uint64(shingle << 32)
+        key = np.arange(at, end, dtype=np.uint64) + np.uint64(taken << 32)
         for place in np.sort(np.array(places), axis=0):
             key = _splitmix(key * np.uint64(0x9E3779B97F4A7C15) + runs[place])
         keys[at:end] = key
     return keys.view(np.int64)
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
+def keys_of(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN, similarity: float = SIMILARITY) -> np.ndarray:
+    """A text's band keys: those of long texts, of short ones, or of both where it can be linked with either."""
+    found = []
+    if len(words) >= similarity * SHORT:
+        found.append(order_minhash(words, bands, taken))
+    if len(words) < SHORT:
+        found.append(order_minhash(words, SHORT_BANDS, SHORT_TAKEN))
+    return np.concatenate(found)
+
+
+def signatures(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
     """node (the text's hash), keys: one row for each distinct text of docs that has a doc_id."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys = [order_minhash(np.asarray(w, np.int64), bands, taken) for w in frame["words"]]
+            keys = [keys_of(np.asarray(w, np.int64), bands, taken, similarity) for w in frame["words"]]
             yield pd.DataFrame({"node": frame["node"], "keys": keys})
 
     rows = docs.where("doc_id is not null").select(node_of("text").alias("node"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
@@ -359,7 +373,7 @@ def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
     """node, class_id for each distinct text of docs (doc_id, text) that has a doc_id."""
-    entries = signatures(docs, bands, taken).select("node", F.explode("keys").alias("bucket"))
+    entries = signatures(docs, similarity, bands, taken).select("node", F.explode("keys").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("bucket", "centre")
     entries = written(entries.join(shared, "bucket"), "entries", batch=1000)
     words = written(_words(docs, entries.select("node").distinct()), "words", batch=1000)
