@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -143,6 +144,28 @@ def test_text_goes_on_behind_adverts_and_short_articles_stay():
     assert html_extract.main_text(f"<article><ul>{links}</ul></article>").count("\n") == 3
 
 
+LONG = "A sentence that goes on for quite a while so that it is main text, and then some more of it."
+LINKS = "".join(f"<li><a href={i}>Other page {i}</a></li>" for i in range(3))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f'<div class="content with sidebar"><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>', f"T\n{LONG}\n{LONG}"),
+    (f'<nav>x</nav><div class="post share-enabled"><article><h1>T</h1><p>{LONG}</p></article></div>', f"T\n{LONG}"),
+    (f'<div id=content><p>{LONG}</p><p>{LONG}</p></div><ul>{LINKS}</ul><article class=card><p>Teaser</p></article>', f"{LONG}\n{LONG}"),
+    (f'<main><p>{LONG}</p><p>{LONG}</p></main><article><p>Another one.</p></article>', f"{LONG}\n{LONG}"),
+    (f'<article><h1 class="page-header">Title</h1><p>{LONG}</p></article>', f"Title\n{LONG}"),
+    (f"<p>{LONG}</p><ul>{LINKS}</ul><p>A short last one.</p>", f"{LONG}\nA short last one."),
+    (f"<p>{LONG}</p><ul>{LINKS}{LINKS}</ul><p>A short one.</p>", LONG),
+    (f"<div>Home</div><div>About</div><h2>Two words</h2><p>{LONG}</p><p>Jane Doe</p><div>Copyright 2020 by them</div>", f"Two words\n{LONG}\nJane Doe"),
+    (f'<article><p>{LONG}</p></article><div id="comments">' + f"<p>{LONG}</p>" * 9 + "</div>", LONG),
+    (f'<div><p>{LONG}</p></div><div class="comment-list">' + f"<p>{LONG}</p>" * 9 + "</div>", LONG),
+    (f'<div class="ad"><p>{LONG}</p></div><article><p>Short.</p></article>', "Short."),
+    (f'<div class="post comments-open"><p>{LONG}</p><div class="ad">{LONG}</div></div>', LONG),
+])
+def test_lengths_decide_and_names_weigh(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def plain_segments(lengths, named):
     """Marks every line between a surge and the next dive, from window sums taken anew for each line."""
     window, n = html_extract.WINDOW, len(lengths)
@@ -225,13 +248,78 @@ def test_mined_rules_match_brute_force(spark):
     assert got[999] == "allow" and got[998] == "block"
 
 
-def test_mined_rules_change_verdicts_on_the_pages(spark):
+def plain_rules(rows, support, confidence):
+    """All combinations of tokens, counted by a plain loop, and pruned."""
+    from itertools import combinations
+
+    n, found = len(rows), {}
+    for tokens in {t for tokens, _ in rows for k in range(1, len(tokens) + 1) for t in combinations(sorted(tokens), k)}:
+        have = [v for own, v in rows if set(tokens) <= set(own)]
+        for said in ("block", "allow"):
+            hits = have.count(said)
+            if hits / n >= support and hits / len(have) >= confidence:
+                found[tokens, said] = (hits / len(have), hits / n)
+    weaker = {r for r in found for part in found if part != r and part[1] == r[1] and set(part[0]) < set(r[0]) and found[part][0] >= found[r][0]}
+    return {r: v for r, v in found.items() if r not in weaker}
+
+
+def test_rules_equal_a_plain_miner(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(300):
+        tokens = {t for t in "abcdef" if rng.random() < 0.5}
+        said = "block" if {"a", "b"} <= tokens and rng.random() < 0.95 else "allow" if rng.random() < 0.8 else None
+        rows.append((sorted(tokens), said))
+    got = {(tuple(r["antecedent"]), r["said"]): (r["confidence"], r["support"]) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.7).collect()}
+    expected = plain_rules(rows, 0.02, 0.7)
+    assert set(got) == set(expected) and (("a", "b"), "block") in got
+    assert all(got[r] == pytest.approx(expected[r]) for r in got)
+    sets = [(str(i), sorted({t for t in "abcdefg" if rng.random() < 0.5})) for i in range(60)]
+    found = {r["set_id"]: (r["said"], r["confidence"]) for r in url_filter.match(spark.createDataFrame(sets, "set_id string, tokens array<string>"), spark.createDataFrame([(i, list(a), s, c, u) for i, ((a, s), (c, u)) in enumerate(got.items())], "rule long, antecedent array<string>, said string, confidence double, support double")).collect()}
+    for i, tokens in sets:
+        fired = [(c, u, s == "block", s) for (a, s), (c, u) in got.items() if set(a) <= set(tokens)]
+        assert found.get(i) == ((max(fired)[3], max(fired)[0]) if fired else None)
+
+
+def test_verdicts_that_no_word_of_the_host_gives(spark):
+    """What pages show teaches which URLs to block: here a path with a query key, neither of which tells alone."""
+    rng = random.Random(7)
+    odd = '<meta name="rating" content="adult">', "<p>Free spins and a Jackpot</p>", "<p>text</p>" + '<a href="/x">some link</a>' * 60
+    rows = []
+    for i in range(600):
+        path, key = rng.choice(["offer", "news"]), rng.choice(["aff", "page"])
+        bad = path == "offer" and key == "aff"
+        html = (rng.choice(odd) if bad and rng.random() < 0.9 else "<p>Plain text of some length</p><a href='/y'>more</a>") if i % 50 else None
+        rows.append((i, f"http://site{i % 5}.example.org/1/2/3/4/5/6/7/8/9/{path}/{i}?{key}=1", html))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert all(got[i] == ("block" if "offer" in u and "aff=" in u else "allow") for i, u, _ in rows)
+    assert not any(w in u for _, u, _ in rows for w in url_filter.SEEDS)
+    plain = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages.drop("html")).collect()}
+    assert set(plain.values()) == {"allow"}
+
+
+def test_mined_verdicts_on_the_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = url_filter.judge(pages).where("rule is null").collect()
     blocked = [r for r in got if r["verdict"] == "block"]
     assert blocked and all(r["mined_confidence"] >= 0.8 for r in blocked)
-    word = lambda r: set(re.findall(r"[^\W\d_]+", r["host"])) & set(url_filter.SEEDS)
-    assert all(word(r) for r in blocked) and not any(word(r) for r in got if r["verdict"] == "allow")
+
+
+def test_near_equal_tokens_finish(spark):
+    keys = [f"k{chr(97 + j)}" for j in range(20)]
+    rows = [(f"http://site.org/{chr(97 + i % 7)}?" + "&".join(f"{k}=1" for j, k in enumerate(keys) if j != i % 20), "block" if i % 20 < 10 else "allow") for i in range(300)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    pages = labelled.select(F.monotonically_increasing_id().alias("page_id"), "url", "verdict")
+    began = time.perf_counter()
+    got = url_filter.judge(pages, [], labelled, 0.01).collect()
+    assert time.perf_counter() - began < 60 and len(got) == 300
+
+
+def test_every_segment_is_a_token(spark):
+    path = "/1a/b/c/d/e/f/g/h/casino/x"
+    r = spark.range(1).select(url_filter.url_tokens(F.lit("a.org"), F.lit(path), F.lit("http://a.org" + path)).alias("t")).first()
+    assert {"p:casino", "p:x", "p:#a", "h0:org", "h1:a"} <= set(r["t"])
 
 
 def test_long_common_paths_finish(spark):
