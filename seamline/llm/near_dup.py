@@ -4,7 +4,7 @@ A text's words are its lower-case runs of letters and digits. Each run of two wo
 occurred before, is an element; a band takes the TAKEN elements with the least hash values under its own order, and its
 key is their hashes in text order. Texts that are alike as sequences share band keys; texts that merely share many runs
 in another order do not. Runs are of two words at every length: edits that lie evenly, one in every five words, leave a
-text of whatever length no run of five, but three in five of its runs of two. A key holds three runs, so six words and
+text of whatever length no run of five, but three in five of its runs of two. A key holds four runs, so eight words and
 their order, and few unlike texts share one. Texts of under SHORT words, whose few runs an edit takes a good part of,
 have keys of two runs; those just above, which can be linked with shorter ones, have both. Either way 95 % of linked
 pairs and more share a key.
@@ -44,7 +44,7 @@ from .common import partitions, words_of, written
 from .components import components
 
 SHINGLE, SIMILARITY = 2, 0.8
-BANDS, TAKEN = 64, 3
+BANDS, TAKEN = 128, 4
 #: The same of texts with fewer than SHORT words.
 SHORT, SHORT_BANDS, SHORT_TAKEN = 64, 32, 2
 #: Words and texts of a block that is compared with itself and other blocks; counters of a text's words there.

@@ -38,6 +38,14 @@ def test_top_k_equals_brute_force(spark):
     assert topk_search.top_k(df.where("false"), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+def test_repeated_vectors_are_spread(spark):
+    one = spark.range(4000).select(F.lit(7).cast("long").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")).union(spark.range(50, 51).select("id", F.array(F.lit(1.0), F.lit(0.0))))
+    found = topk_search.top_k(one, "vec_id", "embedding", F.col("vec_id") == 50, shard_rows=500)
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [(50, r, 7, 256 * 256) for r in range(1, 6)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" in plan
+
+
 def test_large_components_stay_exact():
     a, b = np.array([[2**58 + 1, 3]]), np.array([[5, 7], [1, 1]])
     assert topk_search._product(a, b).tolist() == [[5 * (2**58 + 1) + 21, 2**58 + 4]]
@@ -290,7 +298,7 @@ def test_candidate_recall_at_the_limit(kind):
     hash_ = lambda w: np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
     for n in (6, 10, 20, 40, 55, 63, 64, 65, 70, 100, 300, 1000):
         met = tried = 0
-        while tried < 120:
+        while tried < 80:
             a = [f"g{tried}w{j}" for j in range(n)]
             b = changed(rng, a, kind)
             if kind.startswith("every") and plain_or_banded(a, b) > int(0.2 * n + 1e-9):
@@ -298,7 +306,7 @@ def test_candidate_recall_at_the_limit(kind):
             assert plain_or_banded(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
             tried += 1
             met += bool(set(near_dup.keys_of(hash_(a)).tolist()) & set(near_dup.keys_of(hash_(b)).tolist()))
-        assert met >= 0.95 * 120, (n, met)
+        assert met >= 0.95 * 80, (n, met)
 
 
 def plain_or_banded(a, b):
@@ -501,10 +509,12 @@ def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, "the null id of a text that is here", None, None, None), (9001, None, "en", None, 0), (9002, "", None, "s", 0), (9003, "\U0001f600", None, "s", 1)], docs.schema)
     rows = docs.unionByName(odd).unionByName(odd).withColumn("score", F.lit("clash")).withColumn("class_id", F.lit("clash")).withColumn("node", F.lit("clash"))
+    rows = rows.withColumns({c: F.lit("clash") for c in ("lang_pred", "rejected", "_node", "own_0_score")})
     rows = spark.createDataFrame(rows.collect(), rows.schema)
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, rows, SF)
         assert out.columns == rows.columns
+        assert out.where("score != 'clash' OR lang_pred != 'clash' OR rejected != 'clash' OR _node != 'clash'").count() == 0
         rows = spark.createDataFrame(out.collect(), rows.schema)
     kept = [r["doc_id"] for r in rows.collect()]
     assert not {9001, 9002, 9003} & set(kept) and len(kept) > 20
