@@ -94,11 +94,13 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_docs: int = 16_384) -> DataFrame:
     """Pack all documents into windows of ``capacity`` ids: one row per piece, PACKED.
 
-    Pieces are dealt at random to groups of about ``group_docs`` documents, so a group's size does not grow with the
-    table, and each group packs its own windows; what that costs is part of one window per group. A sequence's id has
-    its group in the upper half.
+    Pieces are dealt by the places of their rows, whatever these hold, to groups of about ``group_docs`` pieces (a piece
+    being some 4,000 characters at least, or a document), so a group's size does not grow with the table, with long
+    documents or with repeated rows, and each group packs its own windows; what that costs is part of one window per
+    group. A sequence's id has its group in the upper half.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.floor(F.length("text") / 4000)).alias("more")).first()
+    groups = max(1, -(-(size["n"] + (size["more"] or 0)) // group_docs))
 
     def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
@@ -106,5 +108,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
         return frame.drop(columns="pack_group").assign(sequence_id=np.array(windows, "int64") + (int(key[0]) << 32), offset=offsets)
 
     pieces = cut(docs, tokenizer, end_id, capacity)
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(packed, PACKED)

@@ -114,8 +114,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     spark = docs.sparkSession
     ranged = (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(partitions(spark), "doc_id", "tie")
+        .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(partitions(spark), "doc_id", "tie", "row")  # equal rows may lie in several ranges
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )

@@ -61,8 +61,8 @@ def _tile_top(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFram
 def top_k(vectors: DataFrame, id_col: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, query_block: int = 8192, shard_rows: int = 8192) -> DataFrame:
     """The k best of all rows for each row for which is_query holds: query_id, rank, vec_id, score.
 
-    Queries are dealt to blocks and rows to shards, both of bounded size by a hash of the id; each (block, shard) tile
-    is one matrix product in one task. Per-query lists of k are then merged twice: within groups of shards, then over
+    Queries, each once, are dealt to blocks by a hash of the id, rows to shards by their places, so that repeated rows
+    are spread; both are of bounded size. Each (block, shard) tile is one matrix product in one task. Per-query lists of k are then merged twice: within groups of shards, then over
     the groups. What moves is (number of query blocks) x rows and (number of shards) x queries.
     """
     n = vectors.select(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
@@ -73,10 +73,10 @@ def top_k(vectors: DataFrame, id_col: str, vector: str, is_query: Column, k: int
     asked = quantized(vectors.where(is_query), id_col, vector, scale).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", narrow, F.size("v").alias("dim"))
     shards, blocks = max(1, -(-n["n"] // shard_rows)), max(1, -(-n["q"] // query_block))
     group = max(1, int(shards**0.5))
-    dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(n)).cast("int")
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("vec_id", "v", "dim", dealt(blocks, 1).alias("qb")).select("*", every(shards).alias("shard"))
-    right = rows.select("vec_id", "v", "dim", dealt(shards, 2).alias("shard")).select("*", every(blocks).alias("qb"))
+    left = asked.select("vec_id", "v", "dim", dealt(blocks, "vec_id", "v").alias("qb")).select("*", every(shards).alias("shard"))
+    right = rows.select("vec_id", "v", "dim", dealt(shards, F.monotonically_increasing_id()).alias("shard")).select("*", every(blocks).alias("qb"))
 
     def tile(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(shard):

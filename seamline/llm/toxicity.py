@@ -24,6 +24,7 @@ An empty table gives an empty result. Only doc_id, text and the label are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -247,14 +248,14 @@ def _distinct(texts: list[str]) -> list[int]:
     seen: list[set[int]] = [set() for _ in range(4)]
     kept = []
     for i, text in enumerate(texts):
-        words = np.array([hash(w) & 0xFFFFFFFF for w in text.lower().split()], np.uint64)  # only ever compared here
+        words = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.lower().split()], np.uint64)
         if len(words) >= 5:
             runs = np.zeros(len(words) - 4, np.uint64)
             for k in range(5):
                 runs = runs * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(runs)]
             marks = [int(((runs ^ np.uint64(f)) * np.uint64(0xD6E8FEB86659FD93)).min()) for f in (1 << 7, 1 << 23, 1 << 41, 1 << 59)]
         else:
-            marks = [hash(text)] * 4
+            marks = [zlib.crc32(text.encode("utf-8", "surrogatepass"))] * 4
         if not any(m in s for m, s in zip(marks, seen)):
             kept.append(i)
         for m, s in zip(marks, seen):

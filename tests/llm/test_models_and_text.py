@@ -381,6 +381,23 @@ def test_pack_covers_every_id_once(spark, source):
     assert packing.pack(df.where("false"), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_repeated_rows_and_long_texts_are_spread(spark, tmp_path):
+    """A third and more of all rows are one row; groups and segments stay of their size."""
+    same = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))
+    pieces = packing.pack(same, tokenizer_path("byte_bpe_50k.json"), group_docs=1000)
+    sizes = [r["count"] for r in pieces.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(sizes) >= 19 and max(sizes) < 2000 and sum(sizes) == 20_000
+    long = spark.range(4).select("id", F.repeat(F.lit("word "), 200_000).alias("text")).toDF("doc_id", "text")
+    groups = packing.pack(long, tokenizer_path("byte_bpe_50k.json"), group_docs=100).select(F.shiftright("sequence_id", 32)).distinct().count()
+    assert groups > 5
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(same, path, tokenizer_path("word_bpe_49k.json"), 2, 2, True)
+    parts = [r["n"] for r in token_store._payload(spark, path).groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert len(parts) == 4 and max(parts) < 0.5 * sum(parts)
+    got = token_store.indexed_digests(spark, path, same.select("doc_id"))
+    assert got.count() == 20_000 and got.select("start").distinct().count() == 20_000
+
+
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=300))
 @settings(max_examples=50, deadline=None)
 def test_perfect_hash(keys):
