@@ -369,12 +369,14 @@ def _errors(e: np.ndarray, y: np.ndarray, there: np.ndarray, a: np.ndarray) -> t
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slope (not below 0.05) and offset of a logistic regression, kept finite by a small penalty."""
+    """Slope (not below 0.05) and offset of a logistic regression, kept finite by a small penalty. The rarer label weighs
+    more, by the root of what the other has more of it, so that a few labels that nothing bears out do not outweigh it."""
     both, w, keep = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2), np.array([1e-2, 1e-4])
+    weight = np.where(y > 0, (max(len(y) / y.sum() - 1, 1e-9)) ** 0.25, (max(len(y) / y.sum() - 1, 1e-9)) ** -0.25)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(both @ w, -40, 40)))
-        slope = both.T @ (y - p) - keep * w
-        step = np.linalg.solve((both * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ both + np.diag(keep), slope)
+        slope = both.T @ (weight * (y - p)) - keep * w
+        step = np.linalg.solve((both * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ both + np.diag(keep), slope)
         w = w + step * min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
         w[0] = max(w[0], 0.05)
     return w
