@@ -52,6 +52,8 @@ BLOCK_WORDS, BLOCK_TEXTS, WORD_SLOTS = 200_000, 2000, 2048
 #: Counters, up to 255, of how many texts have a pair of words. They only order the pairs: that decides the cost, never
 #: the result.
 SLOTS, PARTS = 1 << 24, 64
+#: Texts that a Python worker holds at once.
+TEXTS_AT_ONCE = 250
 #: Ids are broadcast up to this many (8 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Partners of a text that share one task's copy of its words.
@@ -232,7 +234,7 @@ def _compare(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
             said = [linked(x, y, similarity) for x, y in zip(frame["words_a"], frame["words_b"])]
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "linked": said})
 
-    return written(both.select("a", "b", "words_a", "words_b").mapInPandas(run, "a long, b long, linked boolean"), "compared", batch=1000)
+    return written(both.select("a", "b", "words_a", "words_b").mapInPandas(run, "a long, b long, linked boolean"), "compared", batch=TEXTS_AT_ONCE)
 
 
 def _fits(a, b, similarity: float):
@@ -251,12 +253,13 @@ def _counts(members: DataFrame) -> np.ndarray:
     each task sends its counts, mostly zeros, compressed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, np.uint32)
+        total = np.zeros(SLOTS, np.uint8)
         for frame in frames:
-            slots, counts = np.unique(_slots(np.concatenate([_grams(w) for w in frame["words"]])), return_counts=True)
-            total[slots] += counts.astype(np.uint32)
+            for at in range(0, len(frame), TEXTS_AT_ONCE):
+                slots, counts = np.unique(_slots(np.concatenate([_grams(w) for w in frame["words"].iloc[at : at + TEXTS_AT_ONCE]])), return_counts=True)
+                total[slots] = np.minimum(total[slots] + counts, 255)
         press = zstandard.ZstdCompressor(3)
-        yield pd.DataFrame({"part": range(PARTS), "counts": [press.compress(x.tobytes()) for x in np.split(np.minimum(total, 255).astype(np.uint8), PARTS)]})
+        yield pd.DataFrame({"part": range(PARTS), "counts": [press.compress(x.tobytes()) for x in np.split(total, PARTS)]})
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS // PARTS, np.int64)
@@ -352,7 +355,7 @@ def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity:
             if len(row):
                 yield pd.DataFrame({"gram": np.concatenate(found), "node": frame["node"].to_numpy()[row], "component": frame["component"].to_numpy()[row], "block": frame["block"].to_numpy()[row], "n": frame["n"].to_numpy()[row], "m": frame["m"].to_numpy()[row]})
 
-    rare = written(members.mapInPandas(run, "gram long, node long, component long, block long, n int, m int"), "rare", batch=1000)
+    rare = written(members.mapInPandas(run, "gram long, node long, component long, block long, n int, m int"), "rare", batch=TEXTS_AT_ONCE)
     several = rare.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("gram")
     held = written(rare.join(several, "gram", "left_semi"), "held")  # read twice
     others = held.groupBy("gram", F.col("block").alias("other")).agg(F.first("m").alias("m"))
@@ -375,8 +378,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     """node, class_id for each distinct text of docs (doc_id, text) that has a doc_id."""
     entries = signatures(docs, similarity, bands, taken).select("node", F.explode("keys").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("bucket", "centre")
-    entries = written(entries.join(shared, "bucket"), "entries", batch=1000)
-    words = written(_words(docs, entries.select("node").distinct()), "words", batch=1000)
+    entries = written(entries.join(shared, "bucket"), "entries", batch=TEXTS_AT_ONCE)
+    words = written(_words(docs, entries.select("node").distinct()), "words", batch=TEXTS_AT_ONCE)
     sizes = words.select("node", "n")
     stars = entries.where("node != centre").select("node", "centre").distinct().join(sizes, "node").join(sizes.toDF("centre", "cn"), "centre")
     stars = written(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"), _fits(F.col("n"), F.col("cn"), similarity).alias("fits")), "stars")
