@@ -492,7 +492,7 @@ def test_queries_equal_sql(spark):
     from seamline.llm import queries
 
     con = duckdb.connect()
-    for t in "documents embeddings pages benchmark".split():
+    for t in "documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, SF)
