@@ -652,8 +652,8 @@ def id_difference(spark, sf):
     s AS (SELECT user_id, min(ms) AS a, max(ms) AS b FROM i WHERE quiet GROUP BY user_id, island)
     SELECT user_id, a AS start_ms, b AS end_ms, (a + b) // 2 AS mid_ms FROM s WHERE b - a >= 1000""")
 def frame_silence(spark, sf):
-    frames = _events(spark, sf).select(F.col("user_id").alias("seq_id"), F.floor(F.col("t") * 1000).alias("ms"), F.col("value").alias("energy"))
-    return transcripts.audio_frames_silence(frames).withColumnRenamed("seq_id", "user_id")
+    frames = _events(spark, sf).select(F.col("user_id").alias("seq_id"), F.floor(F.col("t") * 1000).alias("ms"), F.col("value").alias("energy"), "event_id")
+    return transcripts.audio_frames_silence(frames, ties="event_id").withColumnRenamed("seq_id", "user_id")
 
 
 @_query(f"""

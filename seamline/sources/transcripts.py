@@ -181,14 +181,15 @@ def silence_marks(frames: DataFrame, below: float = 16.0, least_ms: int = 1000)
     return frames.select("seq_id", F.lit(0).cast("long").alias("ms")).distinct().union(found)
 
 
-def audio_frames_silence(frames: DataFrame, below: float = 16.0, least_ms: int = 1000) -> DataFrame:
+def audio_frames_silence(frames: DataFrame, below: float = 16.0, least_ms: int = 1000, ties: str = "energy") -> DataFrame:
     """seq_id, start_ms, end_ms, mid_ms of quiet stretches in a table of frames (seq_id, ms, energy in dB).
 
-    A frame is quiet at ``below`` dB or more under its sequence's mean; stretches of at least ``least_ms`` count.
+    A frame is quiet at ``below`` dB or more under its sequence's mean; stretches of at least ``least_ms`` count. Frames of
+    one millisecond go in the order of the column ``ties``; a stretch ends where a frame is not quiet, so those that are
+    alike may come in any order.
     """
     mean = frames.groupBy("seq_id").agg(F.avg("energy").alias("mean_energy"))
-    rows = frames.join(mean, "seq_id").withColumn("quiet", F.col("energy") <= F.col("mean_energy") - below)
-    order = Window.partitionBy("seq_id").orderBy("ms")
-    island = F.row_number().over(order) - F.row_number().over(Window.partitionBy("seq_id", "quiet").orderBy("ms"))
-    spans = rows.withColumn("island", island).where("quiet").groupBy("seq_id", "island").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"))
+    rows = frames.join(mean, "seq_id").withColumn("quiet", F.coalesce(F.col("energy") <= F.col("mean_energy") - below, F.lit(False)))
+    order = Window.partitionBy("seq_id").orderBy("ms", ties, "quiet").rowsBetween(Window.unboundedPreceding, 0)
+    spans = rows.withColumn("island", F.count_if(~F.col("quiet")).over(order)).where("quiet").groupBy("seq_id", "island").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"))
     return spans.where(F.col("end_ms") - F.col("start_ms") >= least_ms).select("seq_id", "start_ms", "end_ms", F.expr("(start_ms + end_ms) div 2").alias("mid_ms"))

@@ -42,6 +42,18 @@ def plain_silence(samples, rate, channels, least, below):
     return [(a, b + least, (a + b + least) // 2) for a, b in out]
 
 
+def test_silence_of_frames_of_one_millisecond(spark):
+    """A stretch does not depend on the order in which frames of one millisecond come."""
+    level = lambda ms: 90.0 if ms % 9000 < 3000 else 10.0
+    once = [("a", ms, level(ms)) for ms in range(0, 60_000, 500)]
+    both = [("b", ms, x) for ms in range(0, 60_000, 500) for x in ([90.0, 10.0] if ms % 9000 == 6000 else [level(ms)])]
+    found = lambda rows: sorted(map(tuple, transcripts.audio_frames_silence(spark.createDataFrame(rows, "seq_id string, ms long, energy double")).collect()))
+    assert found(both) == found(both[::-1]) and len(found(both)) == 13
+    assert found(once) == found([r for r in once for _ in range(20)]) and len(found(once)) == 7
+    frames = spark.createDataFrame([(*r, i) for i, r in enumerate(both)], "seq_id string, ms long, energy double, id long")
+    assert sorted(map(tuple, transcripts.audio_frames_silence(frames, ties="id").collect())) != found(both)
+
+
 @pytest.mark.parametrize(("rate", "channels", "span"), [(8000, 1, 600_000), (11025, 2, 700)])
 def test_silence_of_wav_files(spark, tmp_path, rate, channels, span):
     rng = np.random.default_rng(7)
