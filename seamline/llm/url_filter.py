@@ -14,9 +14,10 @@ to go with the label often and surely enough, which takes in pages without evide
 that prove nothing.
 
 Combinations. Tokens that the same labelled rows have are one item to FP-growth; infrequent ones are left out before, as
-they are in no rule. Of a URL's items the BASKET ones whose shares of ``block`` stand out most go to FP-growth, so a URL
-has at most 2 ** BASKET combinations however many near-equal tokens it has: a parameter of the model. It only proposes:
-each proposed rule's support and confidence are then counted over all labelled rows with all their tokens.
+they are in no rule. Each verdict is mined from its own rows, of which every item goes to FP-growth but those that cannot
+be in a rule of several items: one that no row of another verdict has is as sure by itself, and one that all such rows
+have makes no rule surer. No rule is lost. FP-growth proposes: each proposed rule's support and confidence are then counted over
+all labelled rows with all their tokens. Its work grows with the number of frequent combinations.
 
 Everything is DataFrame operations on the JVM. Matching sees distinct token sets, so a host with a third of all rows is
 handled once.
@@ -29,6 +30,8 @@ empty result. Further columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +46,6 @@ SEEDS = ["adult", "bet", "bets", "betting", "casino", "escort", "gambling", "pok
 SALES = ["free spins", "no deposit bonus", "place your bets", "jackpot", "no prescription", "buy viagra", "hot singles", "18+ only", "adults only", "cracked version", "serial key", "work from home and earn"]
 #: A farm of links: how many it has at least, and their least share of the text.
 LINKS, LINK_SHARE = 40, 0.8
-#: Items of a URL that go to FP-growth at most.
-BASKET = 10
 #: Tables of at most so many rows (index, verdicts of token sets) are broadcast, joined by a shuffle beyond.
 INDEX_ROWS, SET_ROWS = 100_000, 500_000
 
@@ -116,7 +117,7 @@ def _firing(sets: DataFrame, rules: DataFrame, often: DataFrame) -> DataFrame:
     return hits.where(F.size(F.array_except("antecedent", "tokens")) == 0)
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, basket: int = BASKET) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
     """Rules from rows (tokens, verdict): rule long, antecedent array<string>, said string, confidence, support.
 
     Rows whose verdict is null count against every rule whose tokens they have, so a rule must hold among all URLs.
@@ -128,26 +129,26 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     labelled = written(labelled.select(set_id(F.col("tokens")).alias("set_id"), "tokens", "verdict"), "url-labels")
     of = {v: F.count_if(F.col("verdict") == v).alias(v) for v in ("block", "allow")}
     sets = written(labelled.groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"), *of.values()), "url-counts")
-    seen = sets.agg(F.sum("n").alias("n"), F.sum("block").alias("block")).first()
-    total = seen["n"] or 0
-    items = fold_items(labelled, min_support * total)
-    told = sets.select(F.explode("tokens").alias("item"), "n", "block").groupBy("item").agg(F.sum("n").alias("n"), F.sum("block").alias("b"))
-    stands_out = F.round(F.abs(F.col("b") / F.col("n") - (seen["block"] or 0) / max(total, 1)) * F.sqrt("n"), 9)
-    items = written(items.join(told, "item").select("token", "item", "n", (-stands_out).alias("order")), "url-items")
+    seen = sets.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *of))).first()
+    total, least = seen["n"], min_support * seen["n"] * (1 - 1e-9)  # rounding must lose none
+    items = fold_items(labelled, least)
+    told = sets.select(F.explode("tokens").alias("item"), "n", *of).groupBy("item").agg(*(F.sum(c).alias(c) for c in ("n", *of)))
+    items = written(items.join(told, "item"), "url-items")
     own = sets.select("set_id", F.explode("tokens").alias("token")).join(_small(items, INDEX_ROWS), "token")
-    own = own.groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("order", "item"))).alias("_items"))  # one URL's items
-    own = written(own.select("set_id", F.transform("_items", lambda x: x["item"]).alias("items")), "url-sets")
+    own = written(own.groupBy("set_id").agg(F.collect_set(F.struct("item", "n", *of)).alias("items")), "url-sets")  # one URL's items
     none = F.array().cast("array<string>")
-    rows = labelled.where("verdict is not null").select("set_id", "verdict").join(_small(own, SET_ROWS), "set_id", "left")
-    baskets = rows.select(F.concat(F.slice(F.coalesce("items", none), 1, basket), F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
-    # shares are of all rows, of which those without a verdict are in no rule
-    least = min(1.0, min_support * total / max(1, total - labelled.where("verdict is null").count()))
-    model = FPGrowth(itemsCol="items", minSupport=least, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
-    is_verdict = lambda x: F.startswith(x, F.lit("verdict="))
-    proposed = model.freqItemsets.where(F.exists("items", is_verdict) & (F.size("items") > 1))
-    proposed = proposed.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("antecedent"), F.substring(F.element_at(F.filter("items", is_verdict), 1), 9, 100).alias("said"))
+    proposed = [items.where(f"token = item and {v} >= {least}").select(F.array("item").alias("antecedent"), F.lit(v).alias("said")) for v in of]
+    for v in (v for v in of if seen[v]):
+        # items that none or all of the other rows have are in no rule of several items
+        helps = lambda x: (x[v] >= least) & (x["n"] > x[v]) & (x["n"] - x[v] < total - seen[v])  # noqa: B023, E731
+        helping = own.select("set_id", F.transform(F.filter("items", helps), lambda x: x["item"]).alias("items"))
+        rows = labelled.where(F.col("verdict") == v).select("set_id").join(_small(helping, SET_ROWS), "set_id", "left")
+        share = min(1.0, least / seen[v])  # of this verdict's rows
+        model = FPGrowth(itemsCol="items", minSupport=share, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(rows.select(F.coalesce("items", none).alias("items")))
+        proposed.append(model.freqItemsets.where(F.size("items") > 1).select(F.array_sort("items").alias("antecedent"), F.lit(v).alias("said")))
+    proposed = reduce(DataFrame.union, proposed)
     proposed = written(proposed.withColumn("rule", F.xxhash64("antecedent")), "url-proposed")
-    held = sets.select("set_id", "n", "block", "allow").join(_small(own, SET_ROWS), "set_id").withColumnRenamed("items", "tokens")
+    held = sets.select("set_id", "n", "block", "allow").join(_small(own.select("set_id", F.col("items.item").alias("tokens")), SET_ROWS), "set_id")
     often = items.where("token = item").select("token", "n")
     counted = _firing(held.withColumnRenamed("n", "rows"), proposed.select("rule", "antecedent").distinct(), often)
     counted = counted.groupBy("rule").agg(F.sum("rows").alias("rows"), F.sum("block").alias("block"), F.sum("allow").alias("allow"))

@@ -281,6 +281,17 @@ def test_rules_equal_a_plain_miner(spark):
         assert found.get(i) == ((max(fired)[3], max(fired)[0]) if fired else None)
 
 
+def test_a_rule_of_items_that_do_not_stand_out(spark):
+    """Neither of two tokens tells anything alone, and every URL has more than ten others that do."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        pair = [{"y", "z"}, set(), {"y"}, {"z"}][i % 4]
+        rows.append((sorted({t for t in "abcdefghijklm" if rng.random() < (0.9 if i % 4 < 2 else 0.99)} | pair), "block" if i % 4 < 2 else "allow"))
+    got = {(tuple(r["antecedent"]), r["said"]): (r["confidence"], r["support"]) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.2, 0.95).collect()}
+    assert got[("y", "z"), "block"] == pytest.approx((1.0, 0.25))
+
+
 def test_verdicts_that_no_word_of_the_host_gives(spark):
     """What pages show teaches which URLs to block: here a path with a query key, neither of which tells alone."""
     rng = random.Random(7)
