@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokenizing import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
+#: Texts that a Python worker holds at once.
+TEXTS_AT_ONCE = 512
 
 
 class OpenWindows:
@@ -107,6 +110,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
         windows, offsets = best_fit(frame["length"].tolist(), capacity)
         return frame.drop(columns="pack_group").assign(sequence_id=np.array(windows, "int64") + (int(key[0]) << 32), offset=offsets)
 
-    pieces = cut(docs, tokenizer, end_id, capacity)
+    pieces = written(cut(docs, tokenizer, end_id, capacity), "pieces", batch=TEXTS_AT_ONCE)
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(packed, PACKED)

@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 from hypothesis import given, settings
@@ -375,6 +376,16 @@ def test_best_fit_equals_a_plain_search():
     assert sum(left) < 0.02 * 64 * len(left) + 64
 
 
+def test_pack_holds_few_texts_at_once(spark, monkeypatch):
+    def sizes(docs, *_):
+        return docs.mapInPandas(lambda frames: (pd.DataFrame({"doc_id": [0], "start": [0], "length": [len(f)], "ids_crc32": [0], "doc_tokens": [0]}) for f in frames), packing.PIECES)
+
+    monkeypatch.setattr(packing, "cut", sizes)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    held = [r["length"] for r in packing.pack(docs, "").collect()]
+    assert sum(held) == 2000 and max(held) <= 512
+
+
 @pytest.mark.parametrize("source", ["table", "odd"])
 def test_pack_covers_every_id_once(spark, source):
     df = docs_of(spark) if source == "table" else spark.createDataFrame(ODD, "doc_id long, text string").withColumn("length", F.lit("clash"))
