@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tokenizing import release
+
 PREDICTED = "lang_pred string, score double, rejected boolean"
 _ORDERS = (2, 3, 4)
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -186,6 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size set by bits, width and the number of languages
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         model = shared.value
         for frame in frames:
             langs, score, rejected = model.predict(frame["text"].tolist())

@@ -40,8 +40,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, words_of, written
+from .common import batches_of, partitions, words_of, written
 from .components import components
+from .tokenizing import release
 
 SHINGLE, SIMILARITY = 2, 0.8
 BANDS, TAKEN = 128, 4
@@ -128,6 +129,7 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     """node (the text's hash), keys: one row for each distinct text of docs that has a doc_id."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for frame in frames:
             keys = [keys_of(np.asarray(w, np.int64), bands, taken, similarity) for w in frame["words"]]
             yield pd.DataFrame({"node": frame["node"], "keys": keys})
@@ -268,7 +270,8 @@ def _counts(members: DataFrame) -> np.ndarray:
                 total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
         yield pd.DataFrame({"part": [int(key[0])], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
 
-    rows = members.select("words").mapInPandas(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    with batches_of(members.sparkSession, TEXTS_AT_ONCE):
+        rows = members.select("words").mapInPandas(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
     return np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in sorted(rows, key=lambda r: r["part"])] or [np.zeros(SLOTS, np.uint8)])
 
 

@@ -126,3 +126,8 @@ def encoder(path: str, drops_space: bool, width: int) -> Encoder:
         _encoders.clear()
         _encoders[key] = Encoder(path, drops_space, width)
     return _encoders[key]
+
+
+def release() -> None:
+    """Frees this worker's encoder: where other work follows in the same workers, its cache would stay beside that."""
+    _encoders.clear()

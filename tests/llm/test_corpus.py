@@ -522,3 +522,20 @@ def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
     empty = rows.where("false")
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_language_stage_gives_python_few_texts_at_once(spark, monkeypatch):
+    import corpus_pipeline
+    from seamline.llm import language_id
+
+    def predict(docs, model):
+        def run(frames):
+            for frame in frames:
+                yield frame.assign(lang_pred="en", score=float(len(frame)), rejected=len(frame) > 512)
+
+        return docs.mapInPandas(run, docs._jdf.schema().toDDL() + ", lang_pred string, score double, rejected boolean")
+
+    monkeypatch.setattr(language_id, "predict", predict)
+    monkeypatch.setattr(language_id, "train", lambda docs: None)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    assert corpus_pipeline.known_language(spark, docs, SF).count() == 2000
