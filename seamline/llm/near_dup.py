@@ -13,7 +13,7 @@ Of each bucket (band key), all texts are compared with one of them, its centre.
 cost linear in a bucket's size. The rest is exact: the texts of buckets that still hold several groups are dealt to
 blocks, near ones together and none with many more than BLOCK_WORDS words or BLOCK_TEXTS texts; linked texts must share so
 many pairs of neighbouring words that a good part is among the rarest of each, so the blocks that share as many of these
-make a tile, and in each tile all texts of different groups whose lengths and words allow it are aligned. Only texts that
+(each counted once a block, however many of its texts have it) make a tile, and in each tile all texts of different groups whose lengths and words allow it are aligned. Only texts that
 share as much with the other block go to a tile. Only links leave a
 tile. No link between two texts of one bucket is lost, whatever its size; a text travels once per tile, not once per
 pair. Two texts are linked if their word edit distance is at most ``1 - similarity`` of the longer one's length, found
@@ -55,6 +55,11 @@ BLOCK_WORDS, BLOCK_TEXTS, WORD_SLOTS = 200_000, 2000, 2048
 SLOTS, PARTS = 1 << 24, 64
 #: Texts that a Python worker holds at once.
 TEXTS_AT_ONCE = 250
+#: A block's texts: their rarest pairs of words, each once, with the least and greatest component that has it; the nodes
+#: whose pairs other groups of the block have; and all nodes, their words, and the places of their pairs, packed.
+PACKED = "block long, m int, grams array<long>, c1 array<long>, c2 array<long>, own array<long>, nodes binary, ns binary, sizes binary, places binary"
+#: Pairs of words that a block shares with others, of which a task takes as many at once.
+SLICE_GRAMS = 1_000_000
 #: Ids are broadcast up to this many (8 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Partners of a text that share one task's copy of its words.
@@ -332,6 +337,37 @@ def links_of(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     return found
 
 
+def packed_block(frame: pd.DataFrame, counts: np.ndarray, similarity: float) -> pd.DataFrame:
+    """PACKED of a block's texts (node, component, block, words, n, m): each of their rarest pairs of words once, with the
+    least and greatest component that has it; and of each text the places of its own among these."""
+    found = [rarest(w, counts, similarity) for w in frame["words"]]
+    sizes = np.array([len(f) for f in found])
+    grams, places = np.unique(np.concatenate(found), return_inverse=True)
+    component, text = frame["component"].to_numpy(), np.repeat(np.arange(len(frame)), sizes)
+    c1, c2 = np.full(len(grams), 2**63 - 1), np.full(len(grams), -(2**63))
+    np.minimum.at(c1, places, component[text])
+    np.maximum.at(c2, places, component[text])
+    n, m = frame["n"].to_numpy("int64"), int(frame["m"].iloc[0])
+    both = np.bincount(text[(c1 != c2)[places]], minlength=len(frame))
+    own = frame["node"].to_numpy()[both >= shared_least(np.minimum(n, m))]  # may be linked with a text of the same block
+    packed = {"nodes": frame["node"].to_numpy("<i8"), "ns": n.astype("<i8"), "sizes": sizes.astype("<i8"), "places": places.astype("<i4")}
+    return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "m": [m], "grams": [grams], "c1": [c1], "c2": [c2], "own": [own]} | {k: [x.tobytes()] for k, x in packed.items()})
+
+
+def sides_of(texts: pd.DataFrame, meets: pd.DataFrame) -> pd.DataFrame:
+    """node, block, other: the texts of a block (PACKED) that share enough of their rarest pairs of words with each other
+    block of meets (other, its shortest text's m words, shared: pairs that both blocks have)."""
+    x, out = texts.iloc[0], [pd.DataFrame({"node": [], "block": [], "other": []}, dtype="int64")]
+    nodes, n, sizes = (np.frombuffer(x[k], "<i8") for k in ("nodes", "ns", "sizes"))
+    grams, places, text = np.asarray(x["grams"]), np.frombuffer(x["places"], "<i4"), np.repeat(np.arange(len(nodes)), sizes)
+    for other, m, shared in zip(meets["other"].tolist(), meets["m"].tolist(), meets["shared"]):
+        there = np.zeros(len(grams), bool)
+        there[np.searchsorted(grams, np.asarray(shared))] = True
+        count = np.bincount(text[there[places]], minlength=len(nodes))
+        out.append(pd.DataFrame({"node": nodes[count >= shared_least(np.minimum(n, m))], "block": int(x["block"]), "other": other}))
+    return pd.concat(out)
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """members (node, component, home, n) with block and its shortest text's m words: texts of one home in as many blocks
     as their words and number need."""
@@ -351,21 +387,23 @@ def _rest(entries: DataFrame, grouped: DataFrame, words: DataFrame, similarity:
     members = written(words.select("node", "words").join(blocks, "node"), "members")
     counts = members.sparkSession.sparkContext.broadcast(_counts(members))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [rarest(w, counts.value, similarity) for w in frame["words"]]
-            row = np.repeat(np.arange(len(frame)), [len(f) for f in found])
-            if len(row):
-                yield pd.DataFrame({"gram": np.concatenate(found), "node": frame["node"].to_numpy()[row], "component": frame["component"].to_numpy()[row], "block": frame["block"].to_numpy()[row], "n": frame["n"].to_numpy()[row], "m": frame["m"].to_numpy()[row]})
-
-    rare = written(members.mapInPandas(run, "gram long, node long, component long, block long, n int, m int"), "rare", batch=TEXTS_AT_ONCE)
-    several = rare.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("gram")
-    held = written(rare.join(several, "gram", "left_semi"), "held")  # read twice
-    others = held.groupBy("gram", F.col("block").alias("other")).agg(F.first("m").alias("m"))
-    # a text goes where it meets a block that shares enough with it
-    alike = held.select("gram", "node", "block", "n").join(others, "gram").groupBy("node", "block", "n", "other").agg(F.count("*").alias("shared"), F.first("m").alias("m"))
-    alike = alike.where("shared > least(n, m) div 8")  # shared_least()
-    sides = written(alike.select("node", "block", "other", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("tile")), "sides")
+    # of a block's texts that have a pair of words in common, other blocks meet the pair once
+    dealt = members.repartition(partitions(members.sparkSession), "block").groupBy("block")
+    packed = written(dealt.applyInPandas(lambda frame: packed_block(frame, counts.value, similarity), PACKED), "packed")
+    rare = packed.select("block", "m", F.inline(F.arrays_zip("grams", "c1", "c2"))).withColumnRenamed("grams", "gram")
+    several = rare.groupBy("gram").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 != c2").select("gram")
+    held = written(rare.select("gram", "block", "m").join(several, "gram", "left_semi"), "held")  # read twice
+    shared = held.join(held.toDF("gram", "other", "other_m"), "gram").where("block < other").groupBy("block", "other").agg(F.collect_list("gram").alias("shared"), F.first("m").alias("m"), F.first("other_m").alias("other_m"))
+    shared = written(shared.where("size(shared) > least(m, other_m) div 8"), "shared")  # shared_least()
+
+    # a text goes where it meets a block that shares enough with it; of a block's others some at a time
+    meets = shared.select("block", "other", F.col("other_m").alias("m"), "shared").union(shared.select(F.col("other"), "block", "m", "shared"))
+    slices = meets.groupBy("block").agg(F.ceil(F.sum(F.size("shared")) / SLICE_GRAMS).cast("int").alias("slices"))
+    meets = meets.join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("other"), F.col("slices")).cast("int")).drop("slices")
+    texts = packed.drop("c1", "c2", "m", "own").join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    sides = texts.groupBy("block", "slice").cogroup(meets.groupBy("block", "slice")).applyInPandas(sides_of, "node long, block long, other long")
+    sides = sides.union(packed.select(F.explode("own").alias("node"), "block", F.col("block").alias("other")))
+    sides = written(sides.select("node", "block", "other", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("tile")), "sides")
     tiles = sides.groupBy("tile").agg(F.count("*").alias("k"), F.max(F.col("block") == F.col("other")).alias("own"), F.min("block").alias("low"), F.max("block").alias("high")).where("k > 1 and (own or low != high)")
     sides = sides.join(tiles.select("tile"), "tile", "left_semi").select("node", "tile")
 

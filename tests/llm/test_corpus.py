@@ -226,6 +226,16 @@ def test_copies_among_many_texts_with_a_common_passage(spark):
     assert got == expected
 
 
+def test_a_block_meets_others_once_by_each_pair_of_words(spark, monkeypatch):
+    seen, keep = {}, near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, name, *a, **b: seen.setdefault(name, keep(df, name, *a, **b)) if name == "held" else keep(df, name, *a, **b))
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(g, " ".join(passage + [f"o{g}x{j}" for j in range(30)])) for g in range(200)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["doc_id"] == r["class_id"] for r in got)
+    assert seen["held"].count() > 0 and seen["held"].groupBy("gram", "block").count().where("count > 1").isEmpty()
+
+
 def test_linked_texts_share_one_of_their_rarest_pairs_of_words(monkeypatch):
     rng = random.Random(8)
     monkeypatch.setattr(near_dup, "SLOTS", 128)
