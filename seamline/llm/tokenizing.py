@@ -20,6 +20,8 @@ _BARE = re.compile(f"[^{_WS}]+")
 #: Words of letters that no normalizer splits or composes; and a word's end, as vocabularies with word ends mark it.
 _PLAIN = re.compile(f"[{_LETTERS}]+").fullmatch
 _WORD_END = "</w>"
+#: Such a word and the marks after it, which are a pre-token of their own; none starts with an apostrophe, as 's does.
+_MARKED = re.compile(f"([{_LETTERS}]+)([{_MARKS}#$%&*]+)").fullmatch
 
 
 def _bare_chunks(text: str) -> list[str]:
@@ -77,14 +79,14 @@ class Encoder:
         for c in chunks:
             if _PLAIN(c):
                 plain.add(c)
-            elif c[-1] in _MARKS and _PLAIN(c[:-1]):
-                marked.append(c)
+            elif parts := _MARKED(c):
+                marked.append((c, *parts.groups()))
             else:
                 other.append(c)
-        missing = {c[:-1] for c in marked}.difference(self.known)
-        out = self._learn_words(list(plain | missing)) | self._learn_each([*other, *_MARKS])
-        for c in marked:
-            out[c] = (out[c[:-1]] if c[:-1] in out else self.known[c[:-1]]) + out[c[-1]]
+        missing = {w for _, w, _ in marked}.difference(self.known)
+        out = self._learn_words(list(plain | missing)) | self._learn_each([*other, *{x for *_, x in marked}.difference(other)])
+        for c, w, x in marked:
+            out[c] = (out[w] if w in out else self.known[w]) + out[x]
         return out
 
     def _learn_each(self, chunks: list[str]) -> dict[str, bytes]:
@@ -107,7 +109,7 @@ class Encoder:
         if fresh:
             found = self._learn(list(fresh))
             if len(known) + len(found) <= self.most:
-                known.update((k, v) for k, v in found.items() if len(k) <= self.longest)
+                known.update(found if max(map(len, found)) <= self.longest else {k: v for k, v in found.items() if len(k) <= self.longest})
             if not fresh <= known.keys():
                 get = ChainMap(found, known).__getitem__ if len(fresh) < 64 else {**{k: known[k] for k in set(chain.from_iterable(parts)) - fresh}, **found}.__getitem__
         out = [b"".join(map(get, p)) for p in parts]

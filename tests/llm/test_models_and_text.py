@@ -386,6 +386,15 @@ def test_pack_holds_few_texts_at_once(spark, monkeypatch):
     assert sum(held) == 2000 and max(held) <= 512
 
 
+def test_words_with_several_marks_are_learned_as_words():
+    enc = Encoder(tokenizer_path("word_bpe_49k.json"), True, 2)
+    each, learn = [], enc._learn_each
+    enc._learn_each = lambda chunks: each.extend(chunks) or learn(chunks)
+    text = "inesat$$$ Ciónblew,*** lechpa.%%% aneauier&&& LEÉÇ!! oh's don't,, a*b c'# x"
+    assert enc.encode_all([text])[0] == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert sorted(each) == sorted(["$$$", ",***", ".%%%", "&&&", "!!", "oh's", "don't,,", "a*b", "c'#"])
+
+
 @pytest.mark.parametrize("source", ["table", "odd"])
 def test_pack_covers_every_id_once(spark, source):
     df = docs_of(spark) if source == "table" else spark.createDataFrame(ODD, "doc_id long, text string").withColumn("length", F.lit("clash"))
