@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokenizing import encoder
+from .tokenizing import MOST, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -72,11 +72,11 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return at, offsets
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """The pieces of each document: full windows, then the rest of under a window."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, chunks: int = MOST) -> DataFrame:
+    """The pieces of each document: full windows, then the rest of under a window. chunks: see pack()."""
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer, False, 4), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, False, 4, chunks), np.array([end_id], "<u4").tobytes()
         for frame in frames:
             rows = []
             for at in range(0, len(frame), 512):
@@ -94,13 +94,14 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(pieces, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_docs: int = 16_384) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_docs: int = 16_384, chunks: int = MOST) -> DataFrame:
     """Pack all documents into windows of ``capacity`` ids: one row per piece, PACKED.
 
     Pieces are dealt by the places of their rows, whatever these hold, to groups of about ``group_docs`` pieces (a piece
     being some 4,000 characters at least, or a document), so a group's size does not grow with the table, with long
     documents or with repeated rows, and each group packs its own windows; what that costs is part of one window per
-    group. A sequence's id has its group in the upper half.
+    group. A sequence's id has its group in the upper half. chunks: chunks of text whose ids a Python worker keeps; with
+    fewer it holds less memory and encodes more anew.
     """
     size = docs.agg(F.count("*").alias("n"), F.sum(F.floor(F.length("text") / 4000)).alias("more")).first()
     groups = max(1, -(-(size["n"] + (size["more"] or 0)) // group_docs))
@@ -110,6 +111,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
         windows, offsets = best_fit(frame["length"].tolist(), capacity)
         return frame.drop(columns="pack_group").assign(sequence_id=np.array(windows, "int64") + (int(key[0]) << 32), offset=offsets)
 
-    pieces = written(cut(docs, tokenizer, end_id, capacity), "pieces", batch=TEXTS_AT_ONCE)
+    pieces = written(cut(docs, tokenizer, end_id, capacity, chunks), "pieces", batch=TEXTS_AT_ONCE)
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(packed, PACKED)

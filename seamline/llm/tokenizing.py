@@ -22,6 +22,8 @@ _PLAIN = re.compile(f"[{_LETTERS}]+").fullmatch
 _WORD_END = "</w>"
 #: Such a word and the marks after it, which are a pre-token of their own; none starts with an apostrophe, as 's does.
 _MARKED = re.compile(f"([{_LETTERS}]+)([{_MARKS}#$%&*]+)").fullmatch
+#: Chunks that a worker's cache holds; so many take some 300 MB.
+MOST = 1_400_000
 
 
 def _bare_chunks(text: str) -> list[str]:
@@ -39,7 +41,7 @@ class Encoder:
     chunks come early); the rest are encoded anew for each call.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, width: int = 4, most: int = 1_400_000, longest: int = 64):
+    def __init__(self, path: str, drops_space: bool = False, width: int = 4, most: int = MOST, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,12 +123,12 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, drops_space: bool, width: int) -> Encoder:
+def encoder(path: str, drops_space: bool, width: int, most: int = MOST) -> Encoder:
     """This worker's encoder of that file; kept for later tasks, as loading a vocabulary takes a moment."""
-    key = (path, drops_space, width)
+    key = (path, drops_space, width, most)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(path, drops_space, width)
+        _encoders[key] = Encoder(path, drops_space, width, most)
     return _encoders[key]
 
 

@@ -549,3 +549,29 @@ def test_language_stage_gives_python_few_texts_at_once(spark, monkeypatch):
     monkeypatch.setattr(language_id, "train", lambda docs: None)
     docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     assert corpus_pipeline.known_language(spark, docs, SF).count() == 2000
+
+
+def test_packing_stage_keeps_few_chunks(spark, monkeypatch):
+    """Of 8,000 words a worker keeps no more than CHUNKS; the pieces are the same."""
+    import corpus_pipeline as P
+    from seamline.llm import packing, tokenizing
+
+    class Frames:
+        select = lambda self, *columns: self
+        mapInPandas = lambda self, run, schema: run
+
+    held, real = [], packing.cut
+
+    def cut(docs, *how):
+        tokenizing.release()
+        rows = list(real(Frames(), *how)(iter([docs.select("doc_id", "text").toPandas()])))
+        held.extend(len(e.known) for e in tokenizing._encoders.values())
+        tokenizing.release()
+        return spark.createDataFrame(rows[0].astype("int64"), packing.PIECES)
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{5 * i + k}x" for k in range(5))) for i in range(1600)], "doc_id long, text string")
+    whole = sorted(map(tuple, P.packed(spark, docs, SF).drop("sequence_id", "offset").collect()))
+    monkeypatch.setattr(packing, "cut", cut)
+    monkeypatch.setattr(P, "CHUNKS", 6000, raising=False)
+    assert sorted(map(tuple, P.packed(spark, docs, SF).drop("sequence_id", "offset").collect())) == whole
+    assert len(held) == 1 and 0 < held[0] <= 6000
